@@ -1 +1,403 @@
-"""To be filled."""
+"""Scans and sinks, run over files that Spark writes from the shared tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..session import scratch_path
+from ..sources.logs import (
+    append_checked, discover_log, last_by_id, merge_new, next_ids, read_or_empty, read_sessions,
+    scored_trials, session_summary, stale_keys, write_stamped,
+)
+from ..sources.recordings import (
+    decode_samples, markers_of, recording_start, sample_to_micros, scan_channel_map,
+    scan_electrodes, scan_headers, scan_markers,
+)
+from .adapters import EV, SIG, events, signal, table, words
+from .registry import query
+
+DAY0 = 1_704_067_200_000_000  # 2024-01-01 in epoch microseconds
+MS_POS = f"(us - {DAY0}) // 1000 + 1"
+
+
+def marker_files(spark: SparkSession, sf: str) -> str:
+    """Trigger text files, one folder per session, at 1000 samples per second."""
+    ev = events(spark, sf)
+    pos = F.floor((F.col("us") - DAY0) / 1000) + 1
+    lines = ev.select(
+        F.col("user_id").alias("session"),
+        F.format_string("Mk%d=Stimulus,%s,%d,1,0", F.col("event_id") + 2, F.col("event_type"), pos).alias("value"),
+    )
+    start = ev.select(F.col("user_id").alias("session")).distinct().select(
+        "session", F.lit("Mk1=New Segment,,1,1,0,20240101000000000000").alias("value")
+    )
+    path = scratch_path(spark, "markers")
+    lines.unionByName(start).repartition("session").write.partitionBy("session").text(path)
+    return path
+
+
+@query("marker_scan", "S1 K6", f"WITH {EV} SELECT user_id AS session, {MS_POS} AS sample FROM ev WHERE event_type = 'purchase'")
+def marker_scan(spark: SparkSession, sf: str) -> DataFrame:
+    rows = markers_of(scan_markers(spark, marker_files(spark, sf)), "purchase")
+    return rows.select(F.col("session").cast("bigint").alias("session"), "sample").orderBy("session", "sample")
+
+
+@query(
+    "marker_scan_all_codes", "S2 S3 F7 F8",
+    f"""WITH {EV} SELECT user_id AS session, event_type AS code, count(*) AS n,
+    round(min(({MS_POS} - 1) / 1000.0), 6) AS first_s,
+    min({DAY0} + ({MS_POS} - 1) * 1000) AS first_us FROM ev GROUP BY ALL""",
+)
+def marker_scan_all_codes(spark: SparkSession, sf: str) -> DataFrame:
+    marks = scan_markers(spark, marker_files(spark, sf))
+    start = recording_start(marks)
+    stim = marks.where(F.col("kind") == "Stimulus")
+    per = stim.groupBy("session", "code").agg(F.count(F.lit(1)).alias("n"), F.min("sample").alias("s0"))
+    return per.join(start, "session").select(
+        F.col("session").cast("bigint").alias("session"), "code", "n",
+        F.round((F.col("s0") - 1) / 1000.0, 6).alias("first_s"),
+        sample_to_micros(F.col("start_us"), F.col("s0"), 1000.0).alias("first_us"),
+    )
+
+
+@query(
+    "header_scan", "S4",
+    """SELECT r_regionkey AS session, n_nationkey AS idx, n_name AS name, round(CAST(n_nationkey AS DOUBLE) * 0.1, 1) AS resolution,
+    CAST((n_nationkey % 7) * 5 AS DOUBLE) AS kohm
+    FROM nation JOIN region ON n_regionkey = r_regionkey""",
+)
+def header_scan(spark: SparkSession, sf: str) -> DataFrame:
+    nation = table(spark, sf, "nation")
+    ch = F.format_string("Ch%d=%s,,%.1f,uV", "n_nationkey", "n_name", F.col("n_nationkey") * 0.1)
+    imp = F.format_string("%s: %d", "n_name", (F.col("n_nationkey") % 7) * 5)
+    texts = nation.groupBy(F.col("n_regionkey").alias("session")).agg(
+        F.concat_ws("\n", F.lit("[Channel Infos]"), F.collect_list(ch), F.lit("NATION_0: 99"),
+                    F.lit("Impedance [kOhm] at 12:00:00 :"), F.collect_list(imp)).alias("value")
+    )
+    path = scratch_path(spark, "headers")
+    texts.write.partitionBy("session").text(path)
+    channels, impedance = scan_headers(spark, path)
+    return channels.join(impedance.withColumnRenamed("electrode", "name"), ["session", "name"]).select(
+        "session", "idx", "name", "resolution", "kohm"
+    )
+
+
+@query(
+    "trial_record_sink", "S5 S10 F6",
+    f"""WITH {SIG} SELECT trial, printf('%03d', trial) AS tag, count(*) AS n,
+    round(sum(CAST(x[1] AS DOUBLE)), 6) AS first_sum FROM sig GROUP BY trial""",
+)
+def trial_record_sink(spark: SparkSession, sf: str) -> DataFrame:
+    sig = signal(spark, sf)
+    rec = sig.select(
+        F.concat(F.lit("sub001_t"), F.lpad(F.col("trial").cast("string"), 3, "0")).alias("record"),
+        "t", F.struct("x", "label").alias("sample"),
+    )
+    path = scratch_path(spark, "records")
+    rec.write.partitionBy("record").json(path)
+    back = spark.read.schema("t bigint, sample struct<x:array<double>,label:int>").json(path)
+    tag = F.regexp_extract(F.input_file_name(), r"_t(\d{3,})", 1)
+    found = back.select(tag.alias("tag"), F.col("sample.x")[0].alias("v"))
+    wanted = sig.select("trial").distinct()
+    return (
+        found.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("first_sum"))
+        .withColumn("trial", F.col("tag").cast("bigint")).join(wanted, "trial", "left_semi")
+    )
+
+
+@query(
+    "multiplexed_samples", "S6 P8",
+    f"WITH {SIG} SELECT trial, t, round(CAST(x[1] AS DOUBLE) * 1e6, 4) AS first_uv, round(CAST(x[64] AS DOUBLE) * 1e6, 4) AS last_uv, len(x) AS n_ch FROM sig",
+)
+def multiplexed_samples(spark: SparkSession, sf: str) -> DataFrame:
+    def pack(batches):
+        import numpy as np
+
+        for pdf in batches:
+            pdf["content"] = [np.asarray(v, dtype="<f4").tobytes() for v in pdf["x"]]
+            yield pdf[["trial", "t", "content"]]
+
+    packed = signal(spark, sf).select("trial", "t", "x").mapInPandas(pack, "trial bigint, t bigint, content binary")
+    back = decode_samples(packed).withColumn("x", F.transform("x", lambda v: v * 1e6))
+    return back.select(
+        "trial", "t", F.round(F.col("x")[0], 4).alias("first_uv"), F.round(F.col("x")[63], 4).alias("last_uv"),
+        F.size("x").cast("bigint").alias("n_ch"),
+    )
+
+
+def session_files(spark: SparkSession, sf: str) -> str:
+    """Behaviour documents: one order is a session, its lines are the trials."""
+    li, od = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    row = F.struct(
+        F.col("l_linenumber").alias("trial"), F.col("l_linestatus").alias("label"),
+        F.when(F.col("l_discount") > 0.01, F.col("l_quantity")).alias("gap_onset"),
+        (F.col("l_quantity") + F.col("l_tax")).alias("av_onset"), F.col("l_tax").alias("delay"),
+        (F.col("l_returnflag") == "A").alias("aborted"),
+        F.when(F.col("l_discount") > 0.02, F.col("l_tax") > 0.03).alias("correct"),
+        F.col("l_partkey").cast("string").alias("audio_stim"),
+    )
+    docs = (
+        li.join(od, li.l_orderkey == od.o_orderkey)
+        .groupBy(F.col("o_orderkey").cast("string").alias("session"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("started"))
+        .agg(F.sort_array(F.collect_list(row)).alias("trials"))
+    )
+    path = scratch_path(spark, "sessions")
+    docs.write.json(path)
+    return path
+
+
+SESS = """li AS (SELECT CAST(l_orderkey AS VARCHAR) AS session, l_linenumber AS trial, l_linestatus AS label,
+ CASE WHEN l_discount > 0.01 THEN l_quantity END AS gap_onset, l_quantity + l_tax AS av_onset, l_tax AS delay,
+ l_returnflag = 'A' AS aborted, CASE WHEN l_discount > 0.02 THEN l_tax > 0.03 END AS correct,
+ CAST(l_partkey AS VARCHAR) AS audio_stim FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(
+    "behaviour_scan", "S7 P9",
+    f"WITH {SESS} SELECT session, trial, label, gap_onset, round(av_onset, 6) AS av_onset, delay FROM li WHERE NOT aborted AND gap_onset IS NOT NULL",
+)
+def behaviour_scan(spark: SparkSession, sf: str) -> DataFrame:
+    rows = scored_trials(read_sessions(spark, session_files(spark, sf)))
+    return rows.select("session", "trial", "label", "gap_onset", F.round("av_onset", 6).alias("av_onset"), "delay")
+
+
+@query(
+    "last_trial_by_id", "S8",
+    """SELECT session, label, trial, audio_stim FROM (
+     SELECT CAST(l_orderkey AS VARCHAR) AS session, l_linestatus AS label, l_linenumber AS trial, CAST(l_partkey AS VARCHAR) AS audio_stim,
+      row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber DESC, l_partkey DESC) AS rn
+     FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE rn = 1""",
+)
+def last_trial_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("session"), F.col("l_linestatus").alias("label"),
+        F.col("l_linenumber").alias("trial"), F.col("l_partkey").alias("pk"),
+    )
+    rows = rows.withColumn("order", F.struct("trial", "pk"))
+    return last_by_id(rows, ["session", "label"], "order").select(
+        "session", "label", "trial", F.col("pk").cast("string").alias("audio_stim")
+    )
+
+
+LOG_TOL = 36_000_000_000
+
+
+@query(
+    "log_discovery", "S9",
+    f"""WITH {EV}, c AS (SELECT r.user_id, r.event_id AS rec, l.event_id AS log, l.k % 5 AS n_trials, abs(l.us - r.us) AS dist
+      FROM ev r JOIN ev l ON r.user_id = l.user_id AND l.event_type = 'view' AND l.k % 5 >= 1 AND abs(l.us - r.us) <= {LOG_TOL}
+      WHERE r.event_type = 'signup')
+    SELECT user_id, rec, log, n_trials, dist FROM (SELECT *, row_number() OVER (PARTITION BY user_id, rec ORDER BY n_trials DESC, dist, log) AS rn FROM c) WHERE rn = 1""",
+)
+def log_discovery(spark: SparkSession, sf: str) -> DataFrame:
+    ev = events(spark, sf)
+    rec = ev.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("rec"), F.col("us").alias("start"))
+    log = ev.where("event_type = 'view'").select(
+        "user_id", F.col("event_id").alias("log"), F.col("us").alias("log_start"), (F.col("k") % 5).alias("n_trials")
+    )
+    return discover_log(rec, log, ["user_id"], "rec", "start", "log", "log_start", "n_trials", LOG_TOL)
+
+
+@query(
+    "game_record_scan", "S11",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS game, CAST(rn - 1 AS INTEGER) AS pos, l_linenumber AS tick, l_returnflag AS action, l_extendedprice AS frame_time
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_extendedprice) AS rn FROM lineitem)""",
+)
+def game_record_scan(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    step = F.struct(F.col("l_linenumber").alias("tick"), F.col("l_returnflag").alias("action"), F.col("l_extendedprice").alias("ft"))
+    games = li.groupBy(F.col("l_orderkey").cast("string").alias("game")).agg(F.sort_array(F.collect_list(step)).alias("s"))
+    path = scratch_path(spark, "games")
+    games.select(
+        "game", F.transform("s", lambda r: F.struct(r.tick.alias("tick"), r.action.alias("action"))).alias("inputs"),
+        F.transform("s", lambda r: r.ft).alias("frame_times_s"),
+    ).write.json(path)
+    schema = "game string, inputs array<struct<tick:int,action:string>>, frame_times_s array<double>"
+    back = spark.read.schema(schema).json(path)
+    both = back.select("game", F.posexplode(F.arrays_zip("inputs", "frame_times_s")).alias("pos", "r"))
+    return both.select("game", "pos", "r.inputs.tick", "r.inputs.action", F.col("r.frame_times_s").alias("frame_time"))
+
+
+@query(
+    "electrode_scan", "S12",
+    """SELECT n_name AS name, n_nationkey AS number, CAST(n_nationkey * 3.5 AS DOUBLE) AS theta, CAST(n_regionkey * 10.0 AS DOUBLE) AS phi
+    FROM nation WHERE n_nationkey % 6 <> 0""",
+)
+def electrode_scan(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "nation").select(
+        F.col("n_name").alias("Name"), F.when(F.col("n_nationkey") % 6 != 0, F.col("n_nationkey")).alias("Number"),
+        (F.col("n_nationkey") * 3.5).alias("Theta"), (F.col("n_regionkey") * 10.0).alias("Phi"),
+    )
+    path = scratch_path(spark, "montage")
+    rows.write.format("xml").option("rootTag", "Electrodes").option("rowTag", "Electrode").save(path)
+    return scan_electrodes(spark, path)
+
+
+@query("channel_map_scan", "S13", "SELECT n_nationkey AS number, n_name AS label FROM nation")
+def channel_map_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "channel-map")
+    pair = F.struct(F.col("n_nationkey").cast("string"), F.col("n_name"))
+    table(spark, sf, "nation").agg(F.map_from_entries(F.collect_list(pair)).alias("map")).write.json(path)
+    return scan_channel_map(spark, path)
+
+
+@query(
+    "word_alignment_scan", "S14 S22",
+    """SELECT c.conv_id AS clip, c.turn, CAST(u.pos - 1 AS INTEGER) AS pos, u.word, round(CAST((u.pos - 1) AS DOUBLE) * 0.4, 6) AS start_s
+    FROM conversations c LEFT JOIN LATERAL (SELECT unnest(str_split(c.text, ' ')) AS word, generate_subscripts(str_split(c.text, ' '), 1) AS pos) u ON c.role = 'user'""",
+)
+def word_alignment_scan(spark: SparkSession, sf: str) -> DataFrame:
+    conv = table(spark, sf, "conversations")
+    w = F.transform(F.split("text", " "), lambda x, i: F.struct(x.alias("word"), (i * 0.4).alias("start_s")))
+    docs = conv.select(F.col("conv_id").alias("clip"), "turn", F.when(F.col("role") == "user", w).alias("words"))
+    path = scratch_path(spark, "words")
+    docs.write.json(path)
+    back = spark.read.schema("clip bigint, turn bigint, words array<struct<word:string,start_s:double>>").json(path)
+    flat = back.select("clip", "turn", F.posexplode_outer("words").alias("pos", "w"))
+    return flat.select("clip", "turn", "pos", "w.word", F.round("w.start_s", 6).alias("start_s"))
+
+
+@query(
+    "utterance_scan_limit", "S15 K7",
+    "SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id LIMIT 300",
+)
+def utterance_scan_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "source", "n_chars").orderBy("doc_id").limit(300)
+
+
+@query(
+    "manifest_round_trip", "S16 S17",
+    "SELECT source AS id, count(*) AS n_words, CAST(0 AS BIGINT) AS n_before, true AS stamped FROM documents GROUP BY source",
+)
+def manifest_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    schema = "id string, n_words bigint, created string, updated string"
+    path = scratch_path(spark, "manifest")
+    before = read_or_empty(spark, path, schema).agg(F.count(F.lit(1)).alias("n_before"))
+    clips = table(spark, sf, "documents").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n_words"))
+    write_stamped(clips, path)
+    now = read_or_empty(spark, path, schema)
+    return now.crossJoin(F.broadcast(before)).select(
+        "id", "n_words", "n_before", (F.col("created").isNotNull() & F.col("updated").isNotNull()).alias("stamped")
+    )
+
+
+@query(
+    "manifest_merge", "S18 U5",
+    """SELECT p_partkey AS id, 'old' AS origin FROM part WHERE p_size < 25
+    UNION ALL SELECT p_partkey, 'new' FROM part WHERE p_size >= 25""",
+)
+def manifest_merge(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    old = part.where("p_size < 25").select(F.col("p_partkey").alias("id"), F.lit("old").alias("origin"))
+    new = part.select(F.col("p_partkey").alias("id"), F.lit("new").alias("origin"))
+    return merge_new(old, new, ["id"])
+
+
+@query(
+    "next_id_allocation", "S19",
+    """SELECT s_suppkey, 'clip_' || printf('%06d', CAST((SELECT max(CAST(regexp_extract(n_name, '_(\\d+)$', 1) AS BIGINT)) FROM nation)
+     + row_number() OVER (ORDER BY s_suppkey) AS BIGINT)) AS new_id FROM supplier""",
+)
+def next_id_allocation(spark: SparkSession, sf: str) -> DataFrame:
+    return next_ids(
+        table(spark, sf, "nation"), "n_name", table(spark, sf, "supplier").select("s_suppkey"), ["s_suppkey"], "clip_"
+    )
+
+
+@query(
+    "append_with_header_check", "S20",
+    """SELECT 'log' AS target, count(*) * 2 AS n FROM supplier UNION ALL SELECT 'log-3cols', count(*) FROM supplier""",
+)
+def append_with_header_check(spark: SparkSession, sf: str) -> DataFrame:
+    sup = table(spark, sf, "supplier")
+    path = scratch_path(spark, "appends") + "/log"
+    two = sup.select("s_suppkey", "s_name")
+    append_checked(two, path)
+    append_checked(two, path)
+    other = append_checked(sup.select("s_suppkey", "s_name", "s_acctbal"), path)
+    count = lambda p, name: spark.read.option("header", True).csv(p).agg(F.lit(name).alias("target"), F.count(F.lit(1)).alias("n"))
+    return count(path, "log").unionByName(count(other, "log-3cols"))
+
+
+@query(
+    "session_summary", "S21 A24",
+    f"""WITH {SESS} SELECT session, count(*) AS n_trials_run, count(correct) AS n_scored, count(CASE WHEN correct THEN 1 END) AS n_correct,
+    round(avg(CAST(CAST(correct AS INTEGER) AS DOUBLE)), 4) AS accuracy FROM li GROUP BY session""",
+)
+def session_summary_query(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_sessions(spark, session_files(spark, sf)).select("session", F.explode("trials").alias("r")).select("session", "r.*")
+    path = scratch_path(spark, "summary")
+    session_summary(rows).write.json(path)
+    return spark.read.schema("session string, n_trials_run bigint, n_scored bigint, n_correct bigint, accuracy double").json(path)
+
+
+@query(
+    "event_table_sinks", "S23",
+    f"WITH {EV} SELECT event_type AS code, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY event_type",
+)
+def event_table_sinks(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "events")
+    events(spark, sf).select("event_id", "event_type", "value").write.option("header", True).csv(path + "/csv")
+    back = spark.read.option("header", True).schema("event_id bigint, event_type string, value double").csv(path + "/csv")
+    back.groupBy(F.col("event_type").alias("code")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")
+    ).write.json(path + "/metrics")
+    return spark.read.schema("code string, n bigint, total double").json(path + "/metrics")
+
+
+@query(
+    "feature_cache", "S24 S25",
+    f"WITH {SIG} SELECT trial FROM sig GROUP BY trial HAVING trial % 3 <> 0 OR trial % 2 = 0",
+)
+def feature_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Trials to compute again: two thirds are absent, every even one was cached under another montage."""
+    sig = signal(spark, sf)
+    feats = sig.groupBy("trial").agg(F.avg(F.col("x")[0]).alias("m")).select(
+        "trial", F.array("m").alias("feature"),
+        F.when(F.col("trial") % 2 == 0, F.md5(F.lit("other"))).otherwise(F.md5(F.lit("montage"))).alias("channel_hash"),
+    )
+    path = scratch_path(spark, "features")
+    feats.where("trial % 3 = 0").write.partitionBy("channel_hash").parquet(path)
+    wanted = sig.select("trial").distinct().withColumn("channel_hash", F.md5(F.lit("montage")))
+    return stale_keys(wanted, spark.read.parquet(path), ["trial"], "channel_hash").select("trial")
+
+
+@query(
+    "frame_index_scan", "S27 A40",
+    f"""WITH {EV} SELECT user_id, count(*) AS n_frames, round((max(us) - min(us)) / 1e6, 6) AS extent_s, min(us) AS first_us FROM ev GROUP BY user_id""",
+)
+def frame_index_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "frames")
+    events(spark, sf).select("user_id", "event_id", "us").write.option("header", True).csv(path)
+    back = spark.read.option("header", True).schema("user_id bigint, event_id bigint, us bigint").csv(path)
+    return back.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_frames"), F.round((F.max("us") - F.min("us")) / 1e6, 6).alias("extent_s"),
+        F.min("us").alias("first_us"),
+    )
+
+
+@query(
+    "stream_selection", "S28 O2",
+    f"WITH {EV} SELECT event_type AS stream_type, count(*) AS n FROM ev WHERE event_type IN ('click', 'view') GROUP BY ALL",
+)
+def stream_selection(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "streams")
+    events(spark, sf).withColumn("stream_type", F.col("event_type")).write.partitionBy("stream_type").parquet(path)
+    return spark.read.parquet(path).where(F.col("stream_type").isin("click", "view")).groupBy("stream_type").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@query(
+    "word_tables", "S22 P18",
+    """WITH w AS (SELECT conv_id AS clip, turn, unnest(str_split(text, ' ')) AS word, generate_subscripts(str_split(text, ' '), 1) - 1 AS pos FROM conversations)
+    SELECT clip, turn, count(*) AS n_heard FROM w WHERE (pos + 1) * 0.4 <= 20.0 AND word <> 'unk' GROUP BY ALL""",
+)
+def word_tables(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "word-tables")
+    words(spark, sf).withColumn("end_s", (F.col("pos") + 1) * 0.4).write.option("header", True).option("escape", '"').csv(path)
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema(
+        "clip bigint, turn bigint, pos int, word string, end_s double"
+    ).csv(path)
+    heard = back.where((F.col("end_s") <= 20.0) & ((F.col("word") != "unk") | F.col("word").isNull()))
+    return heard.groupBy("clip", "turn").agg(F.count(F.lit(1)).alias("n_heard"))

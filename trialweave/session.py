@@ -83,4 +83,4 @@ def is_small(df: DataFrame) -> bool:
     if limit <= 0:
         return False
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit
+    return int(str(size)) <= limit
