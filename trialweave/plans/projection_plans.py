@@ -110,11 +110,11 @@ def fit_to_length(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "bounded_scores", "P12",
-    """WITH z AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_totalprice - 250000) / 20000 END AS z FROM orders)
+    """WITH z AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_totalprice - 250000) / 30011 END AS z FROM orders)
     SELECT o_orderkey, round(greatest(-8.0, least(8.0, coalesce(z, 0.0))), 6) AS b FROM z""",
 )
 def bounded_scores(spark: SparkSession, sf: str) -> DataFrame:
-    z = F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_totalprice") - 250000) / 20000).otherwise(F.lit(float("nan")))
+    z = F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_totalprice") - 250000) / 30011).otherwise(F.lit(float("nan")))
     return table(spark, sf, "orders").select("o_orderkey", F.round(bounded(z), 6).alias("b"))
 
 
@@ -235,8 +235,8 @@ def best_grid_cell(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "most_frequent_value", "A31",
-    """SELECT l_suppkey, qty FROM (SELECT l_suppkey, CAST(l_quantity AS INTEGER) AS qty, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, CAST(l_quantity AS INTEGER)) AS rn
-    FROM lineitem GROUP BY ALL) WHERE rn = 1""",
+    """SELECT l_suppkey, qty FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY c DESC, qty) AS rn
+    FROM (SELECT l_suppkey, CAST(l_quantity AS INTEGER) AS qty, count(*) AS c FROM lineitem GROUP BY ALL)) WHERE rn = 1""",
 )
 def most_frequent_value(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "lineitem").groupBy("l_suppkey", F.col("l_quantity").cast("int").alias("qty")).agg(F.count(F.lit(1)).alias("c"))
