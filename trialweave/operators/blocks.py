@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 DEFAULT_WIDTH = 4096
 
@@ -23,6 +24,7 @@ def with_halo(
     if not before and not after:
         return df.withColumn("blk", home).withColumn("core", F.lit(True))
     first = F.floor((F.col(t) - F.lit(after)) / F.lit(width))
+    first = F.when(home >= 0, F.greatest(first, F.lit(0))).otherwise(first)
     last = F.floor((F.col(t) + F.lit(before)) / F.lit(width))
     return df.withColumn("blk", F.explode(F.sequence(first, last))).withColumn(
         "core", F.col("blk") == home
@@ -54,7 +56,7 @@ def map_blocks(
     df: DataFrame,
     by: Sequence[str],
     fn: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: str,
+    schema: StructType,
     t: str = "t",
     before: int = 0,
     after: int = 0,
@@ -66,6 +68,8 @@ def map_blocks(
     """
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not pdf["core"].any():  # halo copies past the end of a series
+            return pd.DataFrame([], columns=schema.names)
         return fn(pdf.sort_values(t, kind="stable").reset_index(drop=True))
 
     return with_halo(df, t, before, after, width).groupBy(*by, "blk").applyInPandas(task, schema)

@@ -119,25 +119,30 @@ def lag_view(m: np.ndarray, rows: np.ndarray, lags: Sequence[int]) -> np.ndarray
     return out
 
 
-def lagged_views(pdf: pd.DataFrame, x: str, y: str, t: str, x_lags, y_lags, edge: str):
-    """Lagged matrices of the core rows of a block, with the chosen edge rule."""
+def lagged_views(pdf: pd.DataFrame, x: str, y: str, t: str, x_lags, y_lags, edge: str, shift: int = 0):
+    """Lagged matrices of the core rows of a block, with the chosen edge rule.
+
+    The stimulus side is first moved by ``shift`` (zeros on the vacated side), then lagged.
+    """
     ts = pdf[t].to_numpy()
     base = ts - ts[0]
     core = pdf["core"].to_numpy(dtype=bool)
     rows = base[core]
 
-    def view(col: str, lags: Sequence[int]) -> np.ndarray:
+    def view(col: str, lags: Sequence[int], move: int = 0) -> np.ndarray:
         v = np.stack(pdf[col].to_list())
         m = np.zeros((base[-1] + 1, v.shape[1]))
         m[base] = v
-        out = lag_view(m, rows, lags)
+        out = lag_view(m, rows, [k + move for k in lags])
+        for i, k in enumerate(lags):
+            out[ts[core] < k, i * m.shape[1] : (i + 1) * m.shape[1]] = 0.0
         if edge == "both":
             reach = max(abs(k) for k in lags)
             length = pdf["_len"].to_numpy()[core]
             out[(ts[core] < reach) | (ts[core] >= length - reach)] = 0.0
         return out
 
-    return ts[core], view(x, x_lags), view(y, y_lags)
+    return ts[core], view(x, x_lags), view(y, y_lags, shift)
 
 
 def lagged_stats(
@@ -171,7 +176,7 @@ def lagged_stats(
                 pdf[x] = list(x_map(np.stack(pdf[x].to_list())))
             key = tuple(pdf.iloc[0][by])
             for d in shift_list:
-                _, xv, yv = lagged_views(pdf, x, y, t, x_lags, [k + d for k in y_lags], edge)
+                _, xv, yv = lagged_views(pdf, x, y, t, x_lags, y_lags, edge, d)
                 acc.add(key if shifts is None else (*key, d), gram(xv, yv))
         return acc.rows()
 

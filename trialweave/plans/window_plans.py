@@ -203,7 +203,7 @@ CLIP = """it AS (SELECT source, doc_id, n_chars / 15.0 AS dur FROM documents), o
 
 
 @query(
-    "concatenated_clips", "W22 R11",
+    "concatenated_clips", "W22",
     f"WITH {CLIP} SELECT source, doc_id, round(off, 3) AS start_s, CAST(round(round(off, 3) * 1000) AS BIGINT) AS start_ms FROM o WHERE off + dur <= 30000",
 )
 def concatenated_clips(spark: SparkSession, sf: str) -> DataFrame:
