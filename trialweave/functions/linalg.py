@@ -116,6 +116,12 @@ def sym_fn(c: np.ndarray, fn) -> np.ndarray:
     return (v * fn(np.maximum(w, 1e-12))) @ v.T
 
 
+def sym_fn_raw(c: np.ndarray, fn) -> np.ndarray:
+    """A scalar function of a symmetric matrix that may have negative eigenvalues."""
+    w, v = np.linalg.eigh((c + c.T) / 2)
+    return (v * fn(w)) @ v.T
+
+
 def tangent_vector(c: np.ndarray, inv_root: np.ndarray) -> np.ndarray:
     """Upper triangle of the whitened matrix logarithm, off-diagonals times sqrt(2)."""
     t = sym_fn(inv_root @ c @ inv_root, np.log)

@@ -119,50 +119,103 @@ def lag_view(m: np.ndarray, rows: np.ndarray, lags: Sequence[int]) -> np.ndarray
     return out
 
 
-def lagged_views(pdf: pd.DataFrame, x: str, y: str, t: str, x_lags, y_lags, edge: str, shift: int = 0):
-    """Lagged matrices of the core rows of a block, with the chosen edge rule.
+class Lags:
+    """Lagged copies side by side (lag outer, channel inner)."""
 
-    The stimulus side is first moved by ``shift`` (zeros on the vacated side), then lagged.
-    """
+    def __init__(self, lags: Sequence[int]):
+        self.lags = [int(k) for k in lags]
+
+    @property
+    def size(self) -> int:
+        return len(self.lags)
+
+    @property
+    def reach(self) -> int:
+        return max(abs(k) for k in self.lags)
+
+    def span(self, shift: int = 0) -> tuple[int, int]:
+        moved = [k + shift for k in self.lags]
+        return max(max(moved), 0), max(-min(moved), 0)
+
+    def view(self, m: np.ndarray, rows: np.ndarray, ts: np.ndarray, shift: int = 0) -> np.ndarray:
+        out = lag_view(m, rows, [k + shift for k in self.lags])
+        if shift:  # the shifted series starts at 0, so a lag may not reach in front of it
+            for i, k in enumerate(self.lags):
+                out[ts < k, i * m.shape[1] : (i + 1) * m.shape[1]] = 0.0
+        return out
+
+
+class Smooth:
+    """Causal moving averages of several lengths (length outer, channel inner)."""
+
+    def __init__(self, widths: Sequence[int]):
+        self.widths = [int(w) for w in widths]
+
+    @property
+    def size(self) -> int:
+        return len(self.widths)
+
+    @property
+    def reach(self) -> int:
+        return 0
+
+    def span(self, shift: int = 0) -> tuple[int, int]:
+        return max(max(self.widths) - 1 + shift, 0), max(-shift, 0)
+
+    def view(self, m: np.ndarray, rows: np.ndarray, ts: np.ndarray, shift: int = 0) -> np.ndarray:
+        if shift:
+            m = lag_view(m, np.arange(len(m)), [shift])
+        run = np.vstack([np.zeros((1, m.shape[1])), np.cumsum(m, axis=0)])
+        parts = []
+        for w in self.widths:
+            lo = np.maximum(rows - w + 1, 0)
+            parts.append((run[rows + 1] - run[lo]) / (rows + 1 - lo)[:, None])
+        return np.hstack(parts)
+
+
+Basis = Lags | Smooth
+
+
+def as_basis(spec) -> Basis:
+    return spec if isinstance(spec, (Lags, Smooth)) else Lags(spec)
+
+
+def _view(pdf: pd.DataFrame, col: str, t: str, basis: Basis, edge: str, shift: int = 0) -> np.ndarray:
+    """Basis view of the core rows of a block."""
     ts = pdf[t].to_numpy()
-    base = ts - ts[0]
     core = pdf["core"].to_numpy(dtype=bool)
-    rows = base[core]
-
-    def view(col: str, lags: Sequence[int], move: int = 0) -> np.ndarray:
-        v = np.stack(pdf[col].to_list())
-        m = np.zeros((base[-1] + 1, v.shape[1]))
-        m[base] = v
-        out = lag_view(m, rows, [k + move for k in lags])
-        for i, k in enumerate(lags):
-            out[ts[core] < k, i * m.shape[1] : (i + 1) * m.shape[1]] = 0.0
-        if edge == "both":
-            reach = max(abs(k) for k in lags)
-            length = pdf["_len"].to_numpy()[core]
-            out[(ts[core] < reach) | (ts[core] >= length - reach)] = 0.0
-        return out
+    base = ts - ts[0]
+    v = np.stack(pdf[col].to_list())
+    m = np.zeros((base[-1] + 1, v.shape[1]))
+    m[base] = v
+    out = basis.view(m, base[core], ts[core], shift)
+    if edge == "both":
+        length = pdf["_len"].to_numpy()[core]
+        out[(ts[core] < basis.reach) | (ts[core] >= length - basis.reach)] = 0.0
+    return out
+
 
-    return ts[core], view(x, x_lags), view(y, y_lags, shift)
+def _framed(df: DataFrame, by: Sequence[str], t: str, edge: str) -> DataFrame:
+    if edge != "both":
+        return df
+    return df.join(df.groupBy(*by).agg((F.max(t) + 1).alias("_len")), list(by))
 
 
 def lagged_stats(
-    df: DataFrame, by: Sequence[str], x: str, y: str, x_lags: Sequence[int], y_lags: Sequence[int],
-    edge: str = "causal", t: str = "t", width: int = DEFAULT_WIDTH, shifts: Sequence[int] | None = None,
-    x_map: Callable[[np.ndarray], np.ndarray] | None = None,
+    df: DataFrame, by: Sequence[str], x: str, y: str, x_basis, y_basis, edge: str = "causal",
+    t: str = "t", width: int = DEFAULT_WIDTH, shifts: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Statistics of lagged views per key, built from block + halo; the lag matrix is never stored.
+    """Statistics of basis views per key from block + halo; the wide view is never stored.
 
     ``edge='causal'`` puts zeros before the start; ``edge='both'`` also blanks the rows near
-    both ends.  With ``shifts`` the stimulus side is moved by each shift and ``shift`` joins
-    the key.  ``x_map`` transforms sample rows first (for example a channel projection).
+    both ends.  With ``shifts`` the stimulus side is first moved by each shift (zeros on the
+    vacated side) and ``shift`` joins the key, so all shifts cost one scan.
     """
     by = list(by)
-    shift_list = [0] if shifts is None else [int(d) for d in shifts]
-    all_lags = [*x_lags, *[k + d for k in y_lags for d in shift_list], 0]
-    before, after = max(max(all_lags), 0), max(-min(all_lags), 0)
-    base = df
-    if edge == "both":
-        base = df.join(df.groupBy(*by).agg((F.max(t) + 1).alias("_len")), by)
+    xb, yb = as_basis(x_basis), as_basis(y_basis)
+    moves = [0] if shifts is None else [int(d) for d in shifts]
+    spans = [xb.span(), *[yb.span(d) for d in moves]]
+    before, after = max(s[0] for s in spans), max(s[1] for s in spans)
     keys = _key_fields(df, by)
     if shifts is not None:
         keys = [*keys, T.StructField("shift", T.IntegerType())]
@@ -171,19 +224,62 @@ def lagged_stats(
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         acc = _Sums(names)
-        if pdf["core"].any():
-            if x_map is not None:
-                pdf[x] = list(x_map(np.stack(pdf[x].to_list())))
-            key = tuple(pdf.iloc[0][by])
-            for d in shift_list:
-                _, xv, yv = lagged_views(pdf, x, y, t, x_lags, y_lags, edge, d)
-                acc.add(key if shifts is None else (*key, d), gram(xv, yv))
+        key = tuple(pdf.iloc[0][by])
+        xv = _view(pdf, x, t, xb, edge)
+        for d in moves:
+            yv = _view(pdf, y, t, yb, edge, d)
+            acc.add(key if shifts is None else (*key, d), gram(xv, yv))
         return acc.rows()
 
-    partial = map_blocks(base, by, task, schema, t, before, after, width)
+    partial = map_blocks(_framed(df, by, t, edge), by, task, schema, t, before, after, width)
     return _whole(_final_sum(partial, names), names)
 
 
+def mismatch_stats(
+    sig: DataFrame, stim: DataFrame, stats: DataFrame, pairs: DataFrame, x_basis, y_basis,
+    p: int, q: int, edge: str = "causal", width: int = DEFAULT_WIDTH,
+) -> DataFrame:
+    """Statistics of trial ``i``'s signal against trial ``j``'s stimulus for the listed pairs.
+
+    The stimuli of a trial's partners travel to the trial (a few numbers per sample), so the
+    wide signal is read once whatever the number of partners; only the cross part is new, the
+    rest comes from the trial statistics.  ``sig`` is ``(trial, t, x)``, ``stim`` ``(trial, t, y)``.
+    """
+    xb, yb = as_basis(x_basis), as_basis(y_basis)
+    mate = stim.select(F.col("trial").alias("j"), "t", "y")
+    near = pairs.join(mate, "j").groupBy(F.col("i").alias("trial"), "t").agg(
+        F.sort_array(F.collect_list(F.struct("j", "y"))).alias("mates")
+    )
+    rows = _framed(sig.select("trial", "t", "x").join(near, ["trial", "t"]), ["trial"], "t", edge)
+    kt = sig.schema["trial"].dataType
+    schema = T.StructType([
+        T.StructField("i", kt), T.StructField("j", kt), T.StructField("piece", T.IntegerType()),
+        T.StructField("a", T.ArrayType(T.DoubleType())),
+    ])
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        acc = _Sums(["i", "j"])
+        i = pdf.iloc[0]["trial"]
+        xv = _view(pdf, "x", "t", xb, edge)
+        mates = pdf["mates"].to_list()
+        for c, first in enumerate(mates[0]):
+            pdf["_y"] = [np.asarray(m[c]["y"]) for m in mates]
+            acc.add((i, first["j"]), (xv.T @ _view(pdf, "_y", "t", yb, edge)).ravel())
+        return acc.rows()
+
+    before = max(xb.span()[0], yb.span()[0])
+    after = max(xb.span()[1], yb.span()[1])
+    cross = _whole(_final_sum(map_blocks(rows, ["trial"], task, schema, "t", before, after, width), ["i", "j"]), ["i", "j"])
+    own = stats.select(F.col("trial").alias("i"), F.col("s").alias("_i"))
+    other = stats.select(F.col("trial").alias("j"), F.col("s").alias("_j"))
+    part = lambda c, start, n: F.slice(c, start + 1, n)
+    xx, yy = 1 + p + q, 1 + p + q + p * p
+    whole = F.concat(
+        part("_i", 0, 1 + p), part("_j", 1 + p, q), part("_i", xx, p * p), part("_j", yy, q * q), F.col("s")
+    )
+    return cross.join(own, "i").join(other, "j").select("i", "j", whole.alias("s"))
+
+
 def total_stats(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sum_vectors(stats, by, "s")
 
