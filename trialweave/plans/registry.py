@@ -41,7 +41,6 @@ def load_all() -> dict[str, Query]:
         flagship,
         join_plans,
         model_plans,
-        order_plans,
         projection_plans,
         resampling_plans,
         signal_plans,
