@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import written
 from .ordered import exact_quantiles
 
 MAX_CHANNELS = 2048
@@ -28,7 +29,8 @@ def robust_z(df: DataFrame, by: Sequence[str], value: str, out: str, floor: floa
     The divisor is ``max(MAD, floor)``, or ``MAD + add`` where ``add`` is given.
     """
     by = list(by)
-    clean = df.withColumn("_x", F.when(~F.isnan(value), F.col(value)))
+    # one row per channel, read by both medians: write it once instead of deriving it four times
+    clean = written(df.withColumn("_x", F.when(~F.isnan(value), F.col(value))), "robust-z")
 
     def attach(rows: DataFrame, source: DataFrame, col: str, name: str) -> DataFrame:
         med = exact_quantiles(source, by, col, {name: 0.5})

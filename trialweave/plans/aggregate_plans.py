@@ -409,3 +409,19 @@ def windowed_tracking_means(spark: SparkSession, sf: str) -> DataFrame:
     return r.join(trial_condition(spark, sf), "trial").groupBy("y", "win").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 6).alias("mean_r"), F.round(F.stddev_samp("r") / F.sqrt(F.count("r")), 6).alias("sem")
     )
+
+
+@query(
+    "robust_bads", "A4",
+    QS + """, rr AS (SELECT a.ch, avg(abs(r)) AS mr FROM (SELECT a.ch, b.ch AS o, corr(a.v, b.v) AS r FROM long a JOIN long b ON a.trial = b.trial AND a.t = b.t AND a.ch <> b.ch GROUP BY ALL) a GROUP BY a.ch),
+    x AS (SELECT s.ch, mr, ln(var) AS lv FROM s JOIN rr ON rr.ch = s.ch), m AS (SELECT median(mr) AS m1, median(lv) AS m2 FROM x), d AS (SELECT median(abs(mr - m1)) AS d1, median(abs(lv - m2)) AS d2 FROM x, m)
+    SELECT ch, round(0.6745 * (mr - m1) / (d1 + 1e-12), 5) AS z_corr, round(0.6745 * (lv - m2) / (d2 + 1e-12), 5) AS z_var, 0.6745 * (mr - m1) / (d1 + 1e-12) < -1.5 OR 0.6745 * (lv - m2) / (d2 + 1e-12) > 1.5 AS bad FROM x, m, d""",
+)
+def robust_bads(spark: SparkSession, sf: str) -> DataFrame:
+    """Channels whose mean absolute correlation is far too low, or whose log variance is far too high."""
+    from .model_plans import mean_abs_correlation
+
+    r = mean_abs_correlation(spark, sf)
+    s = channel_stats(signal_long(spark, sf), ["ch"]).select("ch", F.log("var").alias("lv"))
+    z = robust_z(robust_z(r.join(s, "ch"), [], "mean_abs_r", "z1", add=1e-12), [], "lv", "z2", add=1e-12)
+    return z.select("ch", F.round("z1", 5).alias("z_corr"), F.round("z2", 5).alias("z_var"), ((F.col("z1") < -1.5) | (F.col("z2") > 1.5)).alias("bad"))

@@ -68,6 +68,11 @@ def pooled_covariance(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {LONG}, r AS (SELECT a.ch, b.ch AS other, corr(a.v, b.v) AS r FROM long a JOIN long b ON a.trial = b.trial AND a.t = b.t WHERE a.ch <> b.ch GROUP BY ALL) SELECT ch, round(avg(abs(r)), 6) AS mean_abs_r FROM r GROUP BY ch""",
 )
 def channel_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    return mean_abs_correlation(spark, sf).withColumn("mean_abs_r", F.round("mean_abs_r", 6))
+
+
+def mean_abs_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean absolute correlation of each channel with the others, from pooled statistics."""
     import numpy as np
 
     from ..functions.linalg import covariances
@@ -82,7 +87,7 @@ def channel_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
     _, _, both = _views(spark, sf)
     s = total_stats(trial_stats(both, ["trial"], "x", "y"))
-    return map_rows(s, one, "ch int, mean_abs_r double").withColumn("mean_abs_r", F.round("mean_abs_r", 6))
+    return map_rows(s, one, "ch int, mean_abs_r double")
 
 
 @query(

@@ -43,6 +43,7 @@ def load_all() -> dict[str, Query]:
         model_plans,
         projection_plans,
         resampling_plans,
+        roi_plans,
         signal_plans,
         source_plans,
         stream_plans,
