@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 from ..streaming.markers import (
     assemble_trials, bursts, counter_steps, drain, drain_updates, drain_with_late_counts, marker_stream,
-    responses, running_accuracy, window_features, without_twins, write_markers,
+    responses, running_accuracy, trial_table, window_features, without_twins, write_markers,
 )
 from .adapters import EV, events
 from .registry import query
@@ -37,13 +37,22 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("session", "marker_id", F.unix_micros("ts").alias("us"), "value")
 
 
-@query(
-    "stream_trial_assembly", "T2",
-    f"""WITH {EV}, g AS (SELECT user_id AS session, us // 86400000000 AS trial,
+ASSEMBLY_SQL = f"""WITH {EV}, g AS (SELECT user_id AS session, us // 86400000000 AS trial,
     coalesce(max(us) FILTER (event_type = 'click'), min(us) FILTER (event_type = 'view')) AS onset, arg_max(value, us) FILTER (event_type = 'error') AS block_dur_s, arg_max(k, us) FILTER (event_type = 'purchase') AS probe FROM ev GROUP BY ALL)
-    SELECT session, trial, round(onset / 1e6 - 1704067200, 4) AS onset_s, block_dur_s, probe FROM g WHERE onset IS NOT NULL AND block_dur_s IS NOT NULL AND probe IS NOT NULL""",
-)
+    SELECT session, trial, round(onset / 1e6 - 1704067200, 4) AS onset_s, block_dur_s, probe FROM g WHERE onset IS NOT NULL AND block_dur_s IS NOT NULL AND probe IS NOT NULL"""
+
+
+@query("stream_trial_assembly", "T2", ASSEMBLY_SQL)
 def stream_trial_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    """Trials as a built-in streaming aggregate over day-long windows."""
+    out = drain_updates(trial_table(_stream(spark, sf), "1 day"), ["session", "trial"]).where("complete")
+    onset = F.unix_micros("onset") / 1e6
+    return out.select("session", "trial", F.round(onset - 1704067200, 4).alias("onset_s"), "block_dur_s", "probe")
+
+
+@query("stream_trial_state", "T2", ASSEMBLY_SQL)
+def stream_trial_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Trials by a state function that also emits trials which time out."""
     out = drain(assemble_trials(_stream(spark, sf), 86400.0)).where("complete")
     return out.select("session", "trial", F.round(F.col("onset_s") - 1704067200, 4).alias("onset_s"), "block_dur_s", "probe")
 

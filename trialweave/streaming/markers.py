@@ -107,6 +107,22 @@ def assemble_trials(markers: DataFrame, gap_s: float) -> DataFrame:
     )
 
 
+def trial_table(markers: DataFrame, span: str) -> DataFrame:
+    """The trial table as a built-in streaming aggregate, for trials that lie inside one ``span``.
+
+    Runs without Python: a row is updated with every batch and is final once ``complete``; the
+    watermark drops the state of old windows.  ``assemble_trials`` is the form with time-outs.
+    """
+    when = lambda label: F.when(F.col("label") == label, F.col("ts"))
+    agg = markers.groupBy("session", "trial", F.window("ts", span).alias("w")).agg(
+        F.coalesce(F.max(when("audio_onset")), F.min(when("av_onset"))).alias("onset"),
+        F.max_by("value", when("block_end")).alias("block_dur_s"),
+        F.max_by("k", when("probe_response")).alias("probe"),
+    )
+    done = F.col("onset").isNotNull() & F.col("block_dur_s").isNotNull() & F.col("probe").isNotNull()
+    return agg.select("session", "trial", "onset", "block_dur_s", "probe", done.alias("complete"))
+
+
 def counter_steps(markers: DataFrame) -> DataFrame:
     """Rises of a counter inside a block: ``(session, trial, rises, top)`` after each batch."""
 
