@@ -120,9 +120,9 @@ def test_neighbours_and_repair(spark):
     base = rng.normal(size=200)
     x = base[:, None] + 0.1 * rng.normal(size=(200, 12))
     x[50, 4] += 30
-    long = spark.createDataFrame([(t, c, float(x[t, c])) for t in range(200) for c in range(12)], "t int, ch int, v double")
-    fixed = {(r.t, r.ch): r.v for r in sparse_repair(long, ["t"], e, 6.0).where("repaired").collect()}
-    assert (50, 4) in fixed and abs(fixed[(50, 4)] - base[50]) < 0.5
+    rows = spark.createDataFrame([(t, x[t].tolist()) for t in range(200)], "t int, x array<double>")
+    fixed = {r.t: r for r in sparse_repair(rows, "x", 12, e, 6.0).collect()}
+    assert fixed[50].repaired[4] and abs(fixed[50].x[4] - base[50]) < 0.5 and not any(fixed[3].repaired)
 
 
 def test_robust_z_forms(spark):

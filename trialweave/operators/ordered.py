@@ -155,7 +155,7 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFra
 
 
 def shuffled_positions(
-    df: DataFrame, by: Sequence[str], keys: Sequence[str], seed: str, digits: int = 2
+    df: DataFrame, by: Sequence[str], keys: Sequence[str], seed: str, digits: int = 3
 ) -> DataFrame:
     """Place of each row in the md5 order of ``keys`` within ``by``: a reproducible shuffle.
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.linalg import covariances
 from ..session import written
 from .ordered import exact_quantiles
+from .spectral import matrix_applied
+from .stats import map_rows
 
 MAX_CHANNELS = 2048
 
@@ -42,10 +46,28 @@ def robust_z(df: DataFrame, by: Sequence[str], value: str, out: str, floor: floa
     return both.withColumn(out, F.lit(0.6745) * (F.col("_x") - F.col("_med")) / div).drop("_x", "_med", "_dev", "_mad")
 
 
-def common_correlation(long: DataFrame, by: Sequence[str], time: Sequence[str], ch: str = "ch", v: str = "v") -> DataFrame:
+def pooled_correlations(total: DataFrame, p: int, q: int) -> DataFrame:
+    """``(ch, nbr, r, common_corr)`` for every channel pair from one pooled statistics row.
+
+    ``common_corr`` is the correlation of ``ch`` with the across-channel mean; both follow from
+    the covariance, so samples are read once and never shuffled.  p is a channel count.
+    """
+
+    def one(row):
+        c = covariances(np.asarray(row["s"]), p, q)[3]
+        sd = np.sqrt(np.maximum(np.diag(c), 1e-300))
+        r = c / np.outer(sd, sd)
+        common = c.mean(1) / (sd * np.sqrt(max(c.mean(), 1e-300)))
+        for i in range(p):
+            for j in range(p):
+                yield (i, j, float(r[i, j]), float(common[i]))
+
+    return map_rows(total.select("s"), one, "ch int, nbr int, r double, common_corr double")
+
+
+def common_correlation(pairs: DataFrame) -> DataFrame:
     """Correlation of each channel with the across-channel mean."""
-    common = long.groupBy(*by, *time).agg(F.avg(v).alias("_c"))
-    return long.join(common, [*by, *time]).groupBy(*by, ch).agg(F.corr(v, "_c").alias("common_corr"))
+    return pairs.where("ch = nbr").select("ch", "common_corr")
 
 
 def reasons(**tests: Column) -> Column:
@@ -73,17 +95,10 @@ def nearest_channels(channels: DataFrame, by: Sequence[str], ch: str, pos: Seque
     )
 
 
-def pair_correlations(long: DataFrame, time: Sequence[str], edges: DataFrame, ch: str = "ch", v: str = "v") -> DataFrame:
-    """Correlation along the listed channel pairs only (k per channel, not all pairs)."""
-    other = long.select(*time, F.col(ch).alias("nbr"), F.col(v).alias("_w"))
-    wide = long.join(edges.select(ch, "nbr"), ch).join(other, [*time, "nbr"])
-    return wide.groupBy(ch, "nbr").agg(F.corr(v, "_w").alias("r"))
-
-
-def neighbour_coherence(long: DataFrame, time: Sequence[str], edges: DataFrame, min_positions: int = 6) -> DataFrame:
+def neighbour_coherence(pairs: DataFrame, edges: DataFrame, min_positions: int = 6) -> DataFrame:
     """Mean correlation of each channel with its neighbours; empty when positions are too few."""
     n = edges.select("ch").distinct().agg(F.count(F.lit(1)).alias("_n"))
-    r = pair_correlations(long, time, edges).groupBy("ch").agg(F.avg("r").alias("coherence"))
+    r = pairs.join(edges.select("ch", "nbr"), ["ch", "nbr"]).groupBy("ch").agg(F.avg("r").alias("coherence"))
     return r.crossJoin(F.broadcast(n)).where(F.col("_n") >= min_positions).drop("_n")
 
 
@@ -110,29 +125,51 @@ def with_sources(lists: dict[str, DataFrame], ch: str) -> DataFrame:
     return rows.groupBy(ch).agg(F.sort_array(F.collect_set("_src")).alias("sources"))
 
 
-def repair_from_neighbours(long: DataFrame, time: Sequence[str], bad: DataFrame, edges: DataFrame) -> DataFrame:
+def neighbour_matrix(edges: DataFrame, p: int, weight: Column) -> np.ndarray:
+    """Row-normalised neighbour weights as a ``p x p`` matrix for ``x @ matrix``.
+
+    A montage has at most ``MAX_CHANNELS`` channels and k neighbours each; the size is checked.
+    """
+    if p > MAX_CHANNELS:
+        raise ValueError("more channels than a neighbour matrix allows")
+    m = np.zeros((p, p))
+    for r in edges.select("ch", "nbr", weight.alias("w")).limit(p * p).collect():
+        m[r.nbr, r.ch] = r.w
+    total = m.sum(0)
+    return m / np.where(total == 0, 1.0, total)
+
+
+def repair_from_neighbours(df: DataFrame, x: str, p: int, bad: DataFrame, edges: DataFrame) -> DataFrame:
     """Replace bad channels by the inverse-distance mean of their good neighbours.
 
-    A bad channel without any good neighbour is dropped.
+    One matrix product per sample vector, no shuffle.  A bad channel without any good
+    neighbour becomes null.
     """
     flags = bad.select("ch").distinct()
     good = edges.join(flags.withColumnRenamed("ch", "nbr"), "nbr", "left_anti").join(flags, "ch", "left_semi")
-    src = long.select(*time, F.col("ch").alias("nbr"), "v")
-    weight = 1.0 / F.greatest(F.col("dist"), F.lit(1e-12))
-    fixed = src.join(good, "nbr").groupBy(*time, "ch").agg(
-        (F.sum(F.col("v") * weight) / F.sum(weight)).alias("v")
-    )
-    kept = long.select(*time, "ch", "v").join(flags, "ch", "left_anti")
-    return kept.withColumn("repaired", F.lit(False)).unionByName(fixed.withColumn("repaired", F.lit(True)))
-
-
-def sparse_repair(long: DataFrame, time: Sequence[str], edges: DataFrame, limit: float = 3.0) -> DataFrame:
-    """Replace samples that lie more than ``limit`` residual stds from their neighbours' mean."""
-    src = long.select(*time, F.col("ch").alias("nbr"), F.col("v").alias("_w"))
-    pred = src.join(edges.select("ch", "nbr"), "nbr").groupBy(*time, "ch").agg(F.avg("_w").alias("_p"))
-    both = long.select(*time, "ch", "v").join(pred, [*time, "ch"]).withColumn("_r", F.col("v") - F.col("_p"))
-    sd = both.groupBy("ch").agg(F.stddev_pop("_r").alias("_sd"))
-    hit = F.abs("_r") > limit * F.col("_sd")
-    return both.join(sd, "ch").select(
-        *time, "ch", F.when(hit, F.col("_p")).otherwise(F.col("v")).alias("v"), hit.alias("repaired")
+    m = neighbour_matrix(good, p, 1.0 / F.greatest(F.col("dist"), F.lit(1e-12)))
+    lost = [r.ch for r in flags.limit(MAX_CHANNELS).collect()]
+    keep = np.eye(p)
+    keep[:, lost] = m[:, lost]
+    empty = [c for c in lost if not m[:, c].any()]
+    out = matrix_applied(df, x, keep)
+    if not empty:
+        return out
+    return out.withColumn(x, F.transform(x, lambda v, i: F.when(~i.isin(empty), v)))
+
+
+def sparse_repair(df: DataFrame, x: str, p: int, edges: DataFrame, limit: float = 3.0) -> DataFrame:
+    """Replace samples that lie more than ``limit`` residual stds from their neighbours' mean.
+
+    Adds ``repaired``, an array of flags per channel.  Predictions are a matrix product per
+    row; only the p residual stds are aggregated.
+    """
+    pred = matrix_applied(df, x, neighbour_matrix(edges, p, F.lit(1.0)), "_p")
+    resid = pred.select(F.posexplode(F.zip_with(x, "_p", lambda a, b: a - b)).alias("ch", "r"))
+    sd = resid.groupBy("ch").agg(F.stddev_pop("r").alias("sd"))
+    row = sd.agg(F.transform(F.sort_array(F.collect_list(F.struct("ch", "sd"))), lambda r: r.sd * limit).alias("_lim"))
+    both = pred.crossJoin(F.broadcast(row)).withColumn(
+        "repaired", F.zip_with(F.zip_with(x, "_p", lambda a, b: F.abs(a - b)), "_lim", lambda d, m: d > m)
     )
+    fixed = F.transform(F.arrays_zip(F.col(x).alias("v"), F.col("_p").alias("p"), F.col("repaired").alias("h")), lambda z: F.when(z.h, z.p).otherwise(z.v))
+    return both.withColumn(x, fixed).drop("_p", "_lim")

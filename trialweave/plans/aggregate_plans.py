@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.ordered import exact_quantiles
 from ..operators.quality import (
-    channel_stats, common_correlation, nearest_channels, neighbour_coherence, reasons,
+    channel_stats, common_correlation, nearest_channels, neighbour_coherence, pooled_correlations, reasons,
     repair_from_neighbours, robust_z, scheduled_bad, sparse_repair, with_sources,
 )
 from ..operators.ranks import auc, cohens_d, confusion, mid_ranks, one_sample_t, roc_points, safe_corr, spearman, welch_t
-from .adapters import COND, EV, LONG, SIG, STIM, events, signal_long, stimulus, table, trial_condition
+from ..operators.stats import trial_stats
+from ..session import written
+from .adapters import COND, EV, LONG, SIG, STIM, events, signal, signal_long, stimulus, table, trial_condition
 from .join_plans import EPO, HOUR, _epochs
 from .registry import query
 
@@ -49,12 +51,18 @@ def bad_channels_by_variance(spark: SparkSession, sf: str) -> DataFrame:
     return with_sources({"auto": auto, "manual": manual}, "ch").select("ch", F.concat_ws(",", "sources").alias("sources"))
 
 
+def channel_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlations of all channel pairs over the whole signal."""
+    sig = signal(spark, sf).select("x", F.array(F.lit(0.0)).alias("y"))
+    return pooled_correlations(trial_stats(sig, [], "x", "y"), 64, 1)
+
+
 @query(
     "common_correlation", "A5",
     f"WITH {LONG}, c AS (SELECT trial, t, avg(v) AS c FROM long GROUP BY ALL) SELECT ch, round(corr(v, c), 6) AS common_corr FROM long JOIN c USING (trial, t) GROUP BY ch",
 )
 def common_correlation_query(spark: SparkSession, sf: str) -> DataFrame:
-    c = common_correlation(signal_long(spark, sf), [], ["trial", "t"])
+    c = common_correlation(channel_pairs(spark, sf))
     return c.select("ch", F.round("common_corr", 6).alias("common_corr"))
 
 
@@ -95,8 +103,8 @@ def ring_edges(long: DataFrame, step: int = 1) -> DataFrame:
     f"WITH {LONG}, {RING}, r AS (SELECT a.ch, b.ch AS nbr, corr(a.v, b.v) AS r FROM long a JOIN kr ON a.ch = kr.ch JOIN long b ON b.ch = kr.nbr AND a.trial = b.trial AND a.t = b.t GROUP BY ALL) SELECT ch, round(avg(r), 6) AS coherence, avg(r) < 0.2 AS outlier FROM r GROUP BY ch",
 )
 def neighbour_coherence_query(spark: SparkSession, sf: str) -> DataFrame:
-    long = signal_long(spark, sf)
-    c = neighbour_coherence(long, ["trial", "t"], ring_edges(long))
+    pairs = channel_pairs(spark, sf)
+    c = neighbour_coherence(pairs, ring_edges(pairs))
     return c.select("ch", F.round("coherence", 6).alias("coherence"), (F.col("coherence") < 0.2).alias("outlier"))
 
 
@@ -110,10 +118,10 @@ def neighbour_coherence_query(spark: SparkSession, sf: str) -> DataFrame:
 def map_comparison(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
-    long = signal_long(spark, sf)
+    pairs = written(channel_pairs(spark, sf), "channel-pairs")  # one pass serves every candidate map
     out = None
     for step in (1, 7, 13):
-        c = neighbour_coherence(long, ["trial", "t"], ring_edges(long, step)).agg(F.avg("coherence").alias("coherence"))
+        c = neighbour_coherence(pairs, ring_edges(pairs, step)).agg(F.avg("coherence").alias("coherence"))
         c = c.select(F.lit(step).alias("map_step"), "coherence")
         out = c if out is None else out.unionByName(c)
     best = F.max("coherence").over(Window.partitionBy(F.lit(1)))  # one row per candidate map
@@ -130,7 +138,7 @@ def map_comparison(spark: SparkSession, sf: str) -> DataFrame:
 def channel_reasons(spark: SparkSession, sf: str) -> DataFrame:
     long = signal_long(spark, sf)
     s = channel_stats(long, ["ch"]).withColumn("x", F.log(F.greatest("sd", F.lit(1e-12))))
-    all_ = robust_z(s, [], "x", "z").join(common_correlation(long, [], ["trial", "t"]), "ch")
+    all_ = robust_z(s, [], "x", "z").join(common_correlation(channel_pairs(spark, sf)), "ch")
     r = reasons(
         nonfinite=~F.col("finite"), flat=F.col("p2p") < 0.6, variance=F.abs("z") > 1.5,
         weak_common_corr=F.col("common_corr") < 0.1,
@@ -352,8 +360,10 @@ def match_audit(spark: SparkSession, sf: str) -> DataFrame:
     SELECT ch, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share, round(sum(CASE WHEN hit THEN p ELSE v END), 6) AS total FROM o GROUP BY ch""",
 )
 def sparse_repair_query(spark: SparkSession, sf: str) -> DataFrame:
-    long = signal_long(spark, sf)
-    out = sparse_repair(long, ["trial", "t"], ring_edges(long), 2.0)
+    sig = signal(spark, sf).select("trial", "t", "x")
+    edges = ring_edges(signal_long(spark, sf))
+    out = sparse_repair(sig, "x", 64, edges, 2.0)
+    out = out.select(F.posexplode(F.arrays_zip(F.col("x").alias("v"), "repaired")).alias("ch", "z")).select("ch", "z.v", "z.repaired")
     return out.groupBy("ch").agg(F.round(F.avg(F.col("repaired").cast("double")), 6).alias("share"), F.round(F.sum("v"), 6).alias("total"))
 
 
@@ -365,8 +375,9 @@ def sparse_repair_query(spark: SparkSession, sf: str) -> DataFrame:
 def neighbour_repair(spark: SparkSession, sf: str) -> DataFrame:
     long = signal_long(spark, sf)
     bad = long.select("ch").distinct().where(F.col("ch").isin(3, 9))
-    out = repair_from_neighbours(long, ["trial", "t"], bad, ring_edges(long))
-    return out.select("trial", "t", "ch", F.round("v", 6).alias("v"), "repaired")
+    out = repair_from_neighbours(signal(spark, sf).select("trial", "t", "x"), "x", 64, bad, ring_edges(long))
+    out = out.select("trial", "t", F.posexplode("x").alias("ch", "v"))
+    return out.select("trial", "t", "ch", F.round("v", 6).alias("v"), F.col("ch").isin(3, 9).alias("repaired"))
 
 
 @query(
@@ -376,7 +387,6 @@ def neighbour_repair(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stage_variance(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.series import average_reference
-    from .adapters import signal
 
     sig = signal(spark, sf)
     both = sig.select(F.lit("raw").alias("stage"), "x").unionByName(sig.select(F.lit("referenced").alias("stage"), average_reference(F.col("x")).alias("x")))
@@ -402,8 +412,6 @@ def events_inside_block(spark: SparkSession, sf: str) -> DataFrame:
     SELECT y, win, count(*) AS n, round(avg(r), 6) AS mean_r, round(stddev_samp(r) / sqrt(count(*)), 6) AS sem FROM r JOIN cond ON r.trial = cond.trial GROUP BY ALL""",
 )
 def windowed_tracking_means(spark: SparkSession, sf: str) -> DataFrame:
-    from .adapters import signal
-
     j = signal(spark, sf).select("trial", "t", F.col("x")[3].alias("v")).join(stimulus(spark, sf), ["trial", "t"])
     r = j.groupBy("trial", F.floor(F.col("t") / 10).alias("win")).agg(safe_corr("v", "s").alias("r"))
     return r.join(trial_condition(spark, sf), "trial").groupBy("y", "win").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path
 from ..sources.logs import (
@@ -32,7 +32,8 @@ def marker_files(spark: SparkSession, sf: str) -> str:
         "session", F.lit("Mk1=New Segment,,1,1,0,20240101000000000000").alias("value")
     )
     path = scratch_path(spark, "markers")
-    lines.unionByName(start).repartition("session").write.partitionBy("session").text(path)
+    # a session's lines go to several files, so one hot session is not one task
+    lines.unionByName(start).repartition("session", F.pmod(F.xxhash64("value"), F.lit(4))).write.partitionBy("session").text(path)
     return path
 
 
@@ -125,6 +126,9 @@ def multiplexed_samples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+PART = 1000  # trials per document: a long session is several documents
+
+
 def session_files(spark: SparkSession, sf: str) -> str:
     """Behaviour documents: one order is a session, its lines are the trials."""
     li, od = table(spark, sf, "lineitem"), table(spark, sf, "orders")
@@ -138,8 +142,12 @@ def session_files(spark: SparkSession, sf: str) -> str:
     )
     docs = (
         li.join(od, li.l_orderkey == od.o_orderkey)
-        .groupBy(F.col("o_orderkey").cast("string").alias("session"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("started"))
+        .groupBy(
+            F.col("o_orderkey").cast("string").alias("session"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("started"),
+            F.floor(F.col("l_linenumber") / PART).alias("part"),
+        )
         .agg(F.sort_array(F.collect_list(row)).alias("trials"))
+        .drop("part")
     )
     path = scratch_path(spark, "sessions")
     docs.write.json(path)
@@ -204,18 +212,26 @@ def log_discovery(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_extendedprice) AS rn FROM lineitem)""",
 )
 def game_record_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Long games are stored in parts of bounded size; places count on across the parts."""
     li = table(spark, sf, "lineitem")
     step = F.struct(F.col("l_linenumber").alias("tick"), F.col("l_returnflag").alias("action"), F.col("l_extendedprice").alias("ft"))
-    games = li.groupBy(F.col("l_orderkey").cast("string").alias("game")).agg(F.sort_array(F.collect_list(step)).alias("s"))
+    games = li.groupBy(F.col("l_orderkey").cast("string").alias("game"), F.floor(F.col("l_linenumber") / PART).alias("part")).agg(
+        F.sort_array(F.collect_list(step)).alias("s")
+    )
     path = scratch_path(spark, "games")
     games.select(
-        "game", F.transform("s", lambda r: F.struct(r.tick.alias("tick"), r.action.alias("action"))).alias("inputs"),
+        "game", "part", F.transform("s", lambda r: F.struct(r.tick.alias("tick"), r.action.alias("action"))).alias("inputs"),
         F.transform("s", lambda r: r.ft).alias("frame_times_s"),
     ).write.json(path)
-    schema = "game string, inputs array<struct<tick:int,action:string>>, frame_times_s array<double>"
+    schema = "game string, part bigint, inputs array<struct<tick:int,action:string>>, frame_times_s array<double>"
     back = spark.read.schema(schema).json(path)
-    both = back.select("game", F.posexplode(F.arrays_zip("inputs", "frame_times_s")).alias("pos", "r"))
-    return both.select("game", "pos", "r.inputs.tick", "r.inputs.action", F.col("r.frame_times_s").alias("frame_time"))
+    before = Window.partitionBy("game").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = back.select("game", "part", F.size("inputs").alias("m"))
+    start = sizes.select("game", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("off"))
+    both = back.join(start, ["game", "part"]).select("game", "off", F.posexplode(F.arrays_zip("inputs", "frame_times_s")).alias("pos", "r"))
+    return both.select(
+        "game", (F.col("off") + F.col("pos")).cast("int").alias("pos"), "r.inputs.tick", "r.inputs.action", F.col("r.frame_times_s").alias("frame_time")
+    )
 
 
 @query(
