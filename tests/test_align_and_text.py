@@ -81,8 +81,8 @@ def test_impulses_drop_out_of_range_and_add_up(spark):
 
 def test_surprisal_is_a_distribution(spark):
     toks = "a b a c a b b c a b".split()
-    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(toks)], "clip int, pos int, tok string")
-    got = {(r.prev, r.tok): r.bits for r in bigram_surprisal(df, ["clip"], "pos", "tok").collect()}
+    df = spark.createDataFrame(list(zip([None, *toks], toks)), "prev string, tok string")
+    got = {(r.prev, r.tok): r.bits for r in bigram_surprisal(df, "prev", "tok").collect()}
     assert got[("a", "b")] == pytest.approx(-np.log2((3 + 1) / (4 + 3)))
 
 

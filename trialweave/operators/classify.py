@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import linalg as la
+from ..session import written
 from .stats import map_rows, sum_vectors, trial_stats
 
 
@@ -56,10 +57,12 @@ def fit_lda(rows: DataFrame, by: Sequence[str], y: str, x: str, shrink: str | fl
     moment it needs is the sum of squared row norms squared, one more aggregate.
     """
     by = list(by)
-    base = _moments(rows, by, x)
+    # moments are one row per model: writing them keeps this at three scans of the rows
+    base = written(_moments(rows, by, x), "moments")
     attach = lambda d, e, on: d.join(e, on) if on else d.crossJoin(F.broadcast(e))
     z = attach(rows.select(*by, F.col(y).alias("_y"), x), base.drop("n"), by).select(*by, "_y", standardised(x, "m", "sd").alias("z"))
     cls = _moments(z, [*by, "_y"], "z").select(*by, "_y", F.col("n").alias("cn"), F.col("m").alias("cm"), F.col("sd").alias("csd"))
+    cls = written(cls, "class-moments")
     u = z.join(cls.drop("cn"), [*by, "_y"]).select(*by, "_y", standardised("z", "cm", "csd", None).alias("u"))
     u = u.withColumn("q", F.array(F.aggregate("u", F.lit(0.0), lambda a, v: a + v * v)))
     both = trial_stats(u, [*by, "_y"], "u", "q").join(cls, [*by, "_y"])
@@ -110,7 +113,7 @@ def probability(score: Column) -> Column:
 def cross_validated(rows: DataFrame, by: Sequence[str], fold: str, k: int, y: str, x: str, shrink: str | float = "auto") -> DataFrame:
     """Out-of-fold decision values of every row."""
     keys = [*by, "model_fold"]
-    models = fit_lda(train_rows(rows, fold, k), keys, y, x, shrink)
+    models = written(fit_lda(train_rows(rows, fold, k), keys, y, x, shrink), "discriminants")
     return lda_scores(test_rows(rows, fold), models, keys, x)
 
 
@@ -178,8 +181,6 @@ def tangent_features(stats: DataFrame, train: DataFrame, keys: Sequence[str], ke
         root = la.sym_fn(np.asarray(row["mean"]).reshape(p, p), np.sqrt)
         yield (*[row[c] for c in keys], (root @ la.sym_fn_raw(a[1:].reshape(p, p) / a[0], np.exp) @ root).ravel())
 
-    from ..session import written
-
     mean = written(mean, "riemann-mean")
     for _ in range(rounds):
         total = sum_vectors(map_rows(train.select(*keys, "s").join(mean, keys), logs, types + "v array<double>"), keys, "v")

@@ -7,7 +7,7 @@ reads a bounded number of samples; blocks of one long recording run independentl
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 import numpy as np
 import pandas as pd
@@ -196,11 +196,11 @@ def welch(
     return mean.select(*by, F.floor(F.col("_i") / F.col("width")).cast("int").alias("ch"), f.alias("f"), (f * (rate / nper)).alias("hz"), "psd")
 
 
-def band_power(psd: DataFrame, by: Sequence[str], bands: dict[str, tuple[float, float]], closed: bool = False, floor: float = 1e-30) -> DataFrame:
-    """Log mean power density per band; bounds half-open, or closed on both sides."""
+def band_power(psd: DataFrame, by: Sequence[str], bands: dict[str, tuple[float, float]], closed: Collection[str] = (), floor: float = 1e-30) -> DataFrame:
+    """Log mean power density per band; bounds half-open, closed on both sides for names in ``closed``."""
     cols = []
     for name, (lo, hi) in bands.items():
-        inside = (F.col("hz") >= lo) & (F.col("hz") <= hi if closed else F.col("hz") < hi)
+        inside = (F.col("hz") >= lo) & (F.col("hz") <= hi if name in closed else F.col("hz") < hi)
         cols.append(F.log(F.avg(F.when(inside, F.col("psd"))) + floor).alias(name))
     return psd.groupBy(*by).agg(*cols)
 

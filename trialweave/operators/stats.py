@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.linalg import gram
+from ..session import written
 from .blocks import DEFAULT_WIDTH, map_blocks
 
 PIECE = 8192
@@ -290,7 +291,7 @@ def train_stats(stats: DataFrame, fold: str, by: Sequence[str] = ()) -> DataFram
     ``by`` separates independent analyses (for example features or shifts).
     """
     by = list(by)
-    held = sum_vectors(stats, [*by, fold], "s")
+    held = written(sum_vectors(stats, [*by, fold], "s"), "held-out")  # one row per fold, read twice
     total = sum_vectors(held, by, "s").withColumnRenamed("s", "_all")
     joined = held.join(total, by) if by else held.crossJoin(F.broadcast(total))
     return joined.select(*by, fold, F.zip_with("_all", "s", lambda a, b: a - b).alias("s"))

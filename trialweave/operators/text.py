@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hex_int, md5_key, unit
+from ..session import written
 
 # Characters stripped from both ends of a token.
 STRIP = ".,!?;:\"'()"
@@ -57,18 +58,18 @@ def zipf_values(corpus: DataFrame, token: str) -> DataFrame:
     )
 
 
-def bigram_surprisal(corpus: DataFrame, by: Sequence[str], pos: str, token: str, k: float = 1.0) -> DataFrame:
+def bigram_surprisal(tokens: DataFrame, prev: str, token: str, k: float = 1.0) -> DataFrame:
     """``-log2 p(token | previous)`` with add-k smoothing, one row per distinct pair.
 
-    The predecessor comes from an equi-join on ``pos + 1``, so a long text is not one task.
-    Pairs and contexts are counted with partial aggregation before anything is joined.
+    ``prev`` is null for the first word of a text.  Pairs are counted with partial aggregation
+    and written once; contexts are sums of pair counts.
     """
-    prev = corpus.select(*by, (F.col(pos) + 1).alias(pos), F.col(token).alias("prev"))
-    pairs = corpus.select(*by, pos, token).join(prev, [*by, pos]).groupBy("prev", token).agg(F.count(F.lit(1)).alias("c2"))
-    context = pairs.groupBy("prev").agg(F.sum("c2").alias("c1"))
-    size = corpus.select(token).distinct().agg(F.count(F.lit(1)).alias("_v"))
+    every = written(tokens.groupBy(prev, token).agg(F.count(F.lit(1)).alias("c2")), "pair-counts")
+    pairs = every.where(F.col(prev).isNotNull())
+    context = pairs.groupBy(prev).agg(F.sum("c2").alias("c1"))
+    size = every.agg(F.countDistinct(token).alias("_v"))
     p = (F.col("c2") + k) / (F.col("c1") + k * F.col("_v"))
-    return pairs.join(context, "prev").crossJoin(F.broadcast(size)).select("prev", token, (-F.log2(p)).alias("bits"))
+    return pairs.join(context, prev).crossJoin(F.broadcast(size)).select(prev, token, (-F.log2(p)).alias("bits"))
 
 
 def onset_impulses(

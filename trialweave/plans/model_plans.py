@@ -35,7 +35,7 @@ def _views(spark, sf):
 
 
 def _folds(spark, sf, k: int = FOLDS):
-    return kfold(signal(spark, sf).select("trial").distinct(), "trial", k)
+    return written(kfold(signal(spark, sf).select("trial").distinct(), "trial", k), "folds")
 
 
 def _fold_stats(spark, sf, spec: Spec, shifts=None):
@@ -143,7 +143,7 @@ def cca_tracking(spark: SparkSession, sf: str) -> DataFrame:
     """Regularised CCA over lagged signal and stimulus: held-out score of every trial."""
     spec = Spec("cca", x_lags=4, y_lags=4, keep_x=30, k=3, shrink=0.15, rcond=1e-6)
     st, p, q = _fold_stats(spark, sf, spec)
-    models = fit(train_stats(st, "fold"), ["fold"], P, 1, {"rcca": spec})
+    models = written(fit(train_stats(st, "fold"), ["fold"], P, 1, {"rcca": spec}), "models")
     sc = score(models, st, ["fold"], ["trial"], p, q)
     return top_k_mean(sc, ["fold", "trial", "model"], 3).withColumn("r", F.round("r", 6))
 
@@ -194,7 +194,7 @@ def null_corrected_tracking(spark: SparkSession, sf: str) -> DataFrame:
     """Matched score minus the mean score against other trials' stimuli."""
     spec = Spec("cca", x_lags=2, y_lags=4, keep_x=20, k=3, shrink=0.15, rcond=1e-6)
     st, p, q = _fold_stats(spark, sf, spec)
-    models = fit(train_stats(st, "fold"), ["fold"], P, 1, {"rcca": spec})
+    models = written(fit(train_stats(st, "fold"), ["fold"], P, 1, {"rcca": spec}), "models")
     matched = top_k_mean(score(models, st, ["fold"], ["trial"], p, q), ["trial"], 3).withColumnRenamed("r", "matched")
     null = score(models, _mismatch(spark, sf, spec, st, p, q), ["fold"], ["i", "j"], p, q)
     null = top_k_mean(null, ["i", "j"], 3).groupBy(F.col("i").alias("trial")).agg(F.avg("r").alias("null_mean"))
@@ -281,7 +281,7 @@ def variates_query(spark: SparkSession, sf: str) -> DataFrame:
 def _variates(spark, sf):
     spec = Spec("cca", x_lags=2, y_lags=4, keep_x=20, k=3, shrink=0.15, rcond=1e-6)
     st, p, q = _fold_stats(spark, sf, spec)
-    models = fit(train_stats(st, "fold"), ["fold"], P, 1, {"rcca": spec})
+    models = written(fit(train_stats(st, "fold"), ["fold"], P, 1, {"rcca": spec}), "models")
     sig, stim, _ = _views(spark, sf)
     out = variates(sig, stim, models, _folds(spark, sf), spec.x_basis(), spec.y_basis(), width=BLOCK)
     return written(out, "variates")
@@ -388,7 +388,7 @@ def logistic_probe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _strat(spark, sf, k: int = 2):
-    return stratified_kfold(trial_condition(spark, sf), "trial", "y", k)
+    return written(stratified_kfold(trial_condition(spark, sf), "trial", "y", k), "folds")
 
 
 @query("time_resolved_auc", "M28 O14")
