@@ -130,14 +130,6 @@ def ridge_response(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("model").cast("double").alias("alpha"), F.col("comp").alias("ch"), "r", (F.col("model") == F.col("best")).alias("selected"))
 
 
-SMALL = {
-    # the named presets on short trials: the same kinds with fewer lags and directions
-    "forward": Spec("forward", y_lags=8),
-    "backward": Spec("backward", keep_x=20),
-    "cca1": Spec("cca", y_lags=8, keep_x=20, keep_y=8, k=8),
-}
-
-
 @query("cca_tracking", "M4 M5 M6 M8 M1 M2 D12")
 def cca_tracking(spark: SparkSession, sf: str) -> DataFrame:
     """Regularised CCA over lagged signal and stimulus: held-out score of every trial."""
@@ -152,11 +144,12 @@ def cca_tracking(spark: SparkSession, sf: str) -> DataFrame:
 def model_presets(spark: SparkSession, sf: str) -> DataFrame:
     """Named models side by side: best component (or best channel) on held-out folds."""
     out = None
-    for name, spec in SMALL.items():
+    for name in ("forward", "backward", "cca1", "cca2"):
+        spec = preset(name)
         st, p, q = _fold_stats(spark, sf, spec)
         models = fit(train_stats(st, "fold"), ["fold"], P, 1, {name: spec})
         sc = score(models, sum_vectors(st, ["fold"], "s"), ["fold"], [], p, q)
-        best = sc.groupBy("model", "fold").agg(F.max("r").alias("best_in_test"), F.first("r").alias("_f")).drop("_f")
+        best = sc.groupBy("model", "fold").agg(F.max("r").alias("best_in_test"))
         out = best if out is None else out.unionByName(best)
     sizes = spark.createDataFrame([(n, s.kind, s.x_basis().size, s.y_basis().size) for n, s in PRESETS.items()], "model string, kind string, x_lags int, y_lags int")
     return out.join(F.broadcast(sizes), "model").select("model", "kind", "x_lags", "y_lags", "fold", F.round("best_in_test", 6).alias("best_in_test"))
@@ -418,7 +411,7 @@ def whole_window_decoder(spark: SparkSession, sf: str) -> DataFrame:
     labels = permuted_labels(trial_condition(spark, sf), "trial", "y", 10)
     folds = _strat(spark, sf).select("trial", "fold")
     rows = labels.join(x, "trial").join(folds, "trial")
-    sc = cross_validated(rows, ["perm"], "fold", 2, "y", "x")
+    sc = cross_validated(written(rows, "features"), ["perm"], "fold", 2, "y", "x")
     st = auc(sc.withColumn("score", F.round("score", 9)), ["perm"], "y", "score").withColumnRenamed("auc", "stat")
     return permutation_p(st, [], "stat").select(F.round("observed", 6).alias("auc"), "n_perm", "n_ge", F.round("p", 6).alias("p"))
 
@@ -430,14 +423,14 @@ def feature_set_comparison(spark: SparkSession, sf: str) -> DataFrame:
     alpha = _psd(spark, sf).where((F.col("hz") >= 8) & (F.col("hz") <= 14)).groupBy("trial", "ch").agg(F.log(F.avg("psd") + 1e-30).alias("f"))
     mean = signal_long(spark, sf).groupBy("trial", "ch").agg(F.avg("v").alias("f"))
     sets = vec(alpha, "f").withColumn("features", F.lit("alpha")).unionByName(vec(mean, "f").withColumn("features", F.lit("mean")))
-    rows = sets.join(_strat(spark, sf), "trial")
+    rows = written(sets.join(_strat(spark, sf), "trial"), "features")
     sc = cross_validated(rows, ["features"], "fold", 2, "y", "x")
     return auc(sc.withColumn("score", F.round("score", 9)), ["features"], "y", "score").select("features", F.round("auc", 6).alias("auc"))
 
 
 def _cov_rows(spark, sf):
     _, _, both = _views(spark, sf)
-    st = trial_stats(both, ["trial"], "x", "y").join(_strat(spark, sf), "trial")
+    st = written(trial_stats(both, ["trial"], "x", "y").join(_strat(spark, sf), "trial"), "trial-stats")
     return st, train_rows(st, "fold", 2), test_rows(st, "fold")
 
 
@@ -446,6 +439,7 @@ def spatial_filter_decoder(spark: SparkSession, sf: str) -> DataFrame:
     """Six common spatial patterns per fold, log power, discriminant."""
     _, train, test = _cov_rows(spark, sf)
     filters = csp_filters(train, ["model_fold"], "y", P, 1, 6)
+    filters = written(filters, "filters")
     xtr = log_power(train, filters, ["model_fold"], ["trial", "y"], P, 1)
     xte = log_power(test, filters, ["model_fold"], ["trial", "y"], P, 1)
     sc = lda_scores(xte, fit_lda(xtr, ["model_fold"], "y", "x"), ["model_fold"], "x")
@@ -459,9 +453,10 @@ def tangent_space_decoder(spark: SparkSession, sf: str) -> DataFrame:
     sig, stim, _ = _views(spark, sf)
     small = sig.select("trial", "t", F.posexplode("x").alias("ch", "v")).groupBy("trial", "t", F.floor(F.col("ch") / 8).alias("site")).agg(F.avg("v").alias("v"))
     small = small.groupBy("trial", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("site", "v"))), lambda r: r.v).alias("x"))
-    st = trial_stats(small.join(stim, ["trial", "t"]), ["trial"], "x", "y").join(_strat(spark, sf), "trial")
+    st = written(trial_stats(small.join(stim, ["trial", "t"]), ["trial"], "x", "y").join(_strat(spark, sf), "trial"), "trial-stats")
     train, test = train_rows(st, "fold", 2), test_rows(st, "fold")
     feats = tangent_features(train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))), train, ["model_fold"], ["trial", "y", "part"], 8, 1, rounds=3)
+    feats = written(feats, "tangent")
     m = fit_lda(feats.where("part = 'train'"), ["model_fold"], "y", "x")
     sc = lda_scores(feats.where("part = 'test'"), m, ["model_fold"], "x")
     return sc.select("model_fold", "trial", "y", F.round("score", 4).alias("score"))

@@ -18,6 +18,7 @@ from ..session import written
 from .adapters import COND, LONG, SIG, STIM, md5_sql, signal, stimulus, trial_condition
 from .model_plans import BLOCK, FOLD_SQL, FOLDS, _folds, _strat
 from .registry import query
+from .signal_plans import WELCH, _psd
 
 G = 0.15
 ROI = "roi AS (SELECT trial, t, avg(v) FILTER (ch < 32) AS a, avg(v) FILTER (ch >= 32) AS b FROM long GROUP BY ALL)"
@@ -323,3 +324,59 @@ def roi_time_generalisation(spark: SparkSession, sf: str) -> DataFrame:
     models = fit_lda(train_rows(rows, "fold", 2), ["bin", "model_fold"], "y", "x").withColumnRenamed("bin", "t_train")
     sc = lda_scores(test_rows(rows, "fold").withColumnRenamed("bin", "t_test"), models, ["model_fold"], "x")
     return auc(sc.withColumn("score", F.round("score", 9)), ["t_train", "t_test"], "y", "score").select("t_train", "t_test", F.round("auc", 5).alias("auc"))
+
+
+@query(
+    "estimator_scores", "G2 M13 M18",
+    f"{J}, w AS ({solve_sql(chr(39) + 'all' + chr(39) + ' AS one', 'j', '0.0::DOUBLE')}) SELECT trial, 0 AS comp, round(corr(wa * a + wb * b, s), 6) AS r FROM j, w GROUP BY trial",
+)
+def estimator_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The reconstruction model as an estimator: fit on all trials, transform to trial scores."""
+    from ..operators.estimators import StimulusResponse
+
+    _, _, both = _roi(spark, sf)
+    model = StimulusResponse(Spec("backward", rcond=1e-12), 2, 1, width=BLOCK).fit(both)
+    return model.transform(both).withColumn("r", F.round("r", 6))
+
+
+N_PERM = 8
+PERM_LAB = f"""nn AS (SELECT sum(y) AS n1 FROM cond), lab AS (SELECT 0 AS perm, trial, y FROM cond UNION ALL SELECT perm, trial, CASE WHEN row_number() OVER (PARTITION BY perm ORDER BY {md5_sql('perm', 'perm', 'trial')}, trial) <= n1 THEN 1 ELSE 0 END FROM cond, nn, range(1, {N_PERM + 1}) r(perm))"""
+
+
+@query(
+    "roi_permutation_decoder", "M30 R5",
+    f"""WITH {LONG}, {ROI}, {COND}, {SF2}, {PERM_LAB}, k AS (SELECT CAST(f AS INTEGER) AS fold FROM range(2) r(f)), e AS (SELECT perm, roi.trial, sfo.fold, a, b, lab.y FROM roi JOIN sfo USING (trial) JOIN lab USING (trial)),
+    {lda_sql('perm, fold', 'SELECT e.perm, k.fold, e.y, e.a, e.b FROM k JOIN e ON e.fold <> k.fold', True)}, sc AS (SELECT e.perm, e.y, round({DEC}, 9) AS s FROM e JOIN ld ON ld.fold = e.fold AND ld.perm = e.perm),
+    st AS (SELECT p.perm, sum(CASE WHEN p.s > n.s THEN 1.0::DOUBLE WHEN p.s = n.s THEN 0.5 ELSE 0 END) / count(*) AS stat FROM sc p JOIN sc n ON p.perm = n.perm AND p.y = 1 AND n.y = 0 GROUP BY p.perm)
+    SELECT round(o.stat, 5) AS auc, count(*) AS n_perm, count(*) FILTER (s.stat >= o.stat) AS n_ge, round((count(*) FILTER (s.stat >= o.stat) + 1) / (count(*) + 1), 6) AS p FROM st s, (SELECT stat FROM st WHERE perm = 0) o WHERE s.perm > 0 GROUP BY o.stat""",
+)
+def roi_permutation_decoder(spark: SparkSession, sf: str) -> DataFrame:
+    """Cross-validated AUC against shuffled trial labels; all permutations are fitted together."""
+    from ..operators.resample import permutation_p, permuted_labels
+
+    labels = permuted_labels(trial_condition(spark, sf), "trial", "y", N_PERM)
+    rows = signal(spark, sf).select("trial", _roi_mean().alias("x")).join(labels, "trial").join(_strat(spark, sf).select("trial", "fold"), "trial")
+    sc = cross_validated(rows, ["perm"], "fold", 2, "y", "x")
+    st = auc(sc.withColumn("score", F.round("score", 9)), ["perm"], "y", "score").withColumnRenamed("auc", "stat")
+    return permutation_p(st, [], "stat").select(F.round("observed", 5).alias("auc"), "n_perm", "n_ge", F.round("p", 6).alias("p"))
+
+
+@query(
+    "roi_feature_sets", "M31 M39 X10",
+    f"""WITH {LONG}, {WELCH}, {COND}, {SF2}, k AS (SELECT CAST(f AS INTEGER) AS fold FROM range(2) r(f)),
+    pw AS (SELECT trial, f, avg(psd) FILTER (ch < 32) AS a, avg(psd) FILTER (ch >= 32) AS b FROM psd WHERE hz >= 4 AND hz < 30 GROUP BY ALL),
+    e AS (SELECT fs AS features, pw.trial, fold, y, CASE WHEN fs = 'log' THEN ln(a) ELSE a END AS a, CASE WHEN fs = 'log' THEN ln(b) ELSE b END AS b FROM pw JOIN sfo USING (trial), (VALUES ('log'), ('power')) v(fs)),
+    {lda_sql('features, fold', 'SELECT e.features, k.fold, e.y, e.a, e.b FROM k JOIN e ON e.fold <> k.fold', True)}, sc AS (SELECT e.features, e.y, round({DEC}, 9) AS s FROM e JOIN ld ON ld.fold = e.fold AND ld.features = e.features)
+    SELECT p.features, {AUC_SQL} FROM sc p JOIN sc n ON p.features = n.features AND p.y = 1 AND n.y = 0 GROUP BY p.features""",
+)
+def roi_feature_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Band power and its logarithm through the same folds (one row per trial and frequency)."""
+    psd = _psd(spark, sf).where((F.col("hz") >= 4) & (F.col("hz") < 30))
+    half = lambda low: F.avg(F.when((F.col("ch") < 32) == F.lit(low), F.col("psd")))
+    pw = psd.groupBy("trial", "f").agg(half(True).alias("a"), half(False).alias("b"))
+    sets = F.explode(F.array(
+        F.struct(F.lit("log").alias("features"), F.array(F.log("a"), F.log("b")).alias("x")), F.struct(F.lit("power").alias("features"), F.array("a", "b").alias("x"))
+    ))
+    rows = pw.select("trial", sets.alias("z")).select("trial", "z.features", "z.x").join(_strat(spark, sf), "trial")
+    sc = cross_validated(written(rows, "features"), ["features"], "fold", 2, "y", "x")
+    return auc(sc.withColumn("score", F.round("score", 9)), ["features"], "y", "score").select("features", F.round("auc", 5).alias("auc"))
