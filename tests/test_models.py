@@ -186,3 +186,40 @@ def test_tail_probabilities():
     assert la.t_two_sided(0.0, 5) == pytest.approx(1.0)
     assert la.t_two_sided(12.706, 1) == pytest.approx(0.05, abs=1e-4)
     assert la.spearman_p(-0.842, 20) < 1e-4
+
+
+def test_tangent_space_separates_covariances(spark):
+    from trialweave.operators.classify import lda_scores, tangent_features
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(16):
+        mix = np.eye(3) + (0.9 if k % 2 else 0.0) * np.array([[0, 1, 0], [0, 0, 0], [0, 0, 0]])
+        rows += [(k, k % 2, r.tolist(), [0.0]) for r in rng.normal(size=(150, 3)) @ mix]
+    st = trial_stats(spark.createDataFrame(rows, "trial int, y int, x array<double>, z array<double>"), ["trial", "y"], "x", "z")
+    st = st.withColumn("mf", F.lit(0))
+    feats = tangent_features(st, st, ["mf"], ["trial", "y"], 3, 1, rounds=4)
+    mean = np.stack(feats.toPandas()["x"].to_list()).mean(0)
+    np.testing.assert_allclose(mean, 0, atol=1e-3)  # the fixed point is the mean of the tangent vectors
+    sc = lda_scores(feats, fit_lda(feats, ["mf"], "y", "x"), ["mf"], "x")
+    assert auc(sc, [], "y", "score").head().auc > 0.95
+
+
+def test_visual_embedding_fills_missing_values(spark):
+    from trialweave.operators.components import visual_embedding
+    from trialweave.operators.spectral import band_pass
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 4))
+    df = spark.createDataFrame([(0, t, x[t].tolist()) for t in range(120)], "trial int, t bigint, x array<double>")
+    out = visual_embedding(df, "x", [0], 2, band_pass(2.0, 10.0, 64.0, 8)).toPandas()
+    assert len(out) == 360 and np.isfinite(out["z"]).all()
+    assert out.groupby("feature")["z"].std(ddof=0).between(0.999, 1.001).all()
+
+
+def test_estimator_matches_functions(spark):
+    from trialweave.operators.estimators import StimulusResponse
+
+    x, y, df = planted(spark)
+    got = StimulusResponse(Spec("cca", y_lags=5, k=1, shrink=0.1, rcond=1e-6), 5, 1, width=64).fit(df).transform(df).toPandas()
+    assert len(got) == 6 and got["r"].min() > 0.7

@@ -7,6 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+# Difficulty tiers from easiest to hardest.
+DIFFICULTY = ("very_easy", "easy", "medium", "hard", "very_hard", "super_hard")
+
+# Channel lists of the two scalp regions used for load contrasts.
+FRONTAL = ("Fz", "F3", "F4", "FC5", "FC6", "AF7", "AF8", "Fpz", "Fp1", "Fp2", "F7", "F8")
+PARIETAL = ("Pz", "P3", "P4", "P7", "P8", "PO7", "PO8", "Oz", "O1", "O2", "CP5", "CP6")
+
+
+def ordinal(name: Column, order: Sequence[str] = DIFFICULTY) -> Column:
+    """Place of a tier name in its order, from 0; null for an unknown name."""
+    return (F.nullif(F.array_position(F.array(*[F.lit(v) for v in order]), name), F.lit(0)) - 1).cast("int")
+
+
+def high_load(tier: Column, threshold: int = 3) -> Column:
+    return F.when(tier >= threshold, "high").otherwise("low")
+
+
 def rename_by_map(df: DataFrame, name: str, mapping: DataFrame, old: str, new: str) -> DataFrame:
     """Mapped names, unmapped names kept."""
     m = mapping.select(F.col(old).alias(name), F.col(new).alias("_new"))

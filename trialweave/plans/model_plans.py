@@ -14,6 +14,7 @@ from ..operators.models import (
 from ..operators.ordered import ntile_of
 from ..operators.ranks import auc, cohens_d, confusion, safe_corr
 from ..operators.resample import kfold, mismatched_partners, permutation_p, permuted_labels, stratified_kfold
+from ..operators.selection import decimated
 from ..operators.series import equal_windows, lengths
 from ..operators.spectral import log_bands, band_pass, fir_bank
 from ..operators.stats import lagged_stats, mismatch_stats, sum_vectors, total_stats, train_stats, trial_stats
@@ -394,8 +395,8 @@ def time_resolved_auc(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("temporal_generalisation", "M29")
 def temporal_generalisation(spark: SparkSession, sf: str) -> DataFrame:
-    """Models of one time scored at every other time (series thinned to every fifth sample)."""
-    rows = signal(spark, sf).where(F.col("t") % 5 == 0).select("trial", "t", "x").join(_strat(spark, sf), "trial")
+    """Models of one time scored at every other time, on a decimated copy of the series."""
+    rows = decimated(signal(spark, sf), "t", 64.0, 12.8).select("trial", "t", "x").join(_strat(spark, sf), "trial")
     models = fit_lda(train_rows(rows, "fold", 2), ["t", "model_fold"], "y", "x").withColumnRenamed("t", "t_train")
     sc = lda_scores(test_rows(rows, "fold").withColumnRenamed("t", "t_test"), models, ["model_fold"], "x")
     return auc(sc.withColumn("score", F.round("score", 9)), ["t_train", "t_test"], "y", "score").select("t_train", "t_test", F.round("auc", 6).alias("auc"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.hashing import md5_key
 from ..operators.ordered import positions
 from ..operators.selection import (
-    bounded, channels_or_all, decimated, fit_length, in_vocabulary, region_of, rename_by_map,
+    bounded, channels_or_all, decimated, fit_length, high_load, in_vocabulary, ordinal, region_of, rename_by_map,
     rename_if_complete, require, same_names, swap_halves, top_by,
 )
 from .adapters import EV, LONG, SIG, COND, events, md5_sql, signal, signal_long, table, trial_condition
@@ -124,11 +124,10 @@ def bounded_scores(spark: SparkSession, sf: str) -> DataFrame:
     CASE WHEN CAST(o_orderpriority[1] AS INTEGER) - 1 >= 3 THEN 'high' ELSE 'low' END AS load FROM orders""",
 )
 def label_encoding(spark: SparkSession, sf: str) -> DataFrame:
-    tiers = F.array(*[F.lit(str(i)) for i in range(1, 6)])
-    tier = (F.array_position(tiers, F.substring("o_orderpriority", 1, 1)) - 1).cast("int")
+    tier = ordinal(F.substring("o_orderpriority", 1, 1), [str(i) for i in range(1, 6)])
     return table(spark, sf, "orders").select(
         "o_orderkey", F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("y"), tier.alias("tier"),
-        F.when(tier >= 3, "high").otherwise("low").alias("load"),
+        high_load(tier).alias("load"),
     )
 
 
