@@ -190,7 +190,8 @@ def exact_quantiles(
     """
     by = list(by)
     if is_small(df):
-        return df.groupBy(*by).agg(*[F.percentile(value, q).alias(m) for m, q in probs.items()])
+        at = F.percentile(value, F.array(*[F.lit(float(q)) for q in probs.values()]))
+        return df.groupBy(*by).agg(at.alias("_q")).select(*by, *[F.col("_q")[i].alias(m) for i, m in enumerate(probs)])
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     placed = ordered_scan(counts, by, [value], [Run("_hi", "sum", F.col("_c"))])
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
