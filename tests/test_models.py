@@ -223,3 +223,15 @@ def test_estimator_matches_functions(spark):
     x, y, df = planted(spark)
     got = StimulusResponse(Spec("cca", y_lags=5, k=1, shrink=0.1, rcond=1e-6), 5, 1, width=64).fit(df).transform(df).toPandas()
     assert len(got) == 6 and got["r"].min() > 0.7
+
+
+def test_sums_in_parts_equal_direct_sums(spark):
+    x, y, df = planted(spark)
+    spark.conf.set("spark.trialweave.tasksPerSum", "0")
+    try:
+        st = lagged_stats(df.repartition(8), ["trial"], "x", "y", [0, 1], [0], width=16)
+        s = np.asarray(sum_vectors(st, [], "s").head().s)
+    finally:
+        spark.conf.unset("spark.trialweave.tasksPerSum")
+    X = np.vstack([lag(v, [0, 1]) for v in x])
+    np.testing.assert_allclose(s, la.gram(X, y.reshape(-1, 1)), atol=1e-8)

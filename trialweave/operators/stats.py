@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.linalg import gram
-from ..session import written
+from ..session import many_tasks, written
 from .blocks import DEFAULT_WIDTH, map_blocks
 
 PIECE = 8192
 FLUSH_BYTES = 96 << 20
+FAN = 256
 
 
 def _key_fields(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
@@ -51,15 +52,44 @@ class _Sums:
         return pd.DataFrame(out, columns=[*self.by, "piece", "a"])
 
 
-def _final_sum(partial: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Add partial pieces; a group is one piece, at most one row per task of the stage before."""
+def _task_sums(partial: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add the pieces that one task holds, so a task emits one row per key and piece."""
+    names = partial.schema.names
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        held = 0
+        for pdf in batches:
+            for key, v in zip(zip(*[pdf[c] for c in [*by, "piece"]]), pdf["a"]):
+                if key in sums:
+                    sums[key] = sums[key] + v
+                else:
+                    sums[key] = np.asarray(v)
+                    held += sums[key].nbytes
+            if held > FLUSH_BYTES:
+                yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=names)
+                sums, held = {}, 0
+        yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=names)
+
+    return partial.mapInPandas(task, partial.schema)
+
+
+def _final_sum(partial: DataFrame, by: Sequence[str], source: DataFrame) -> DataFrame:
+    """Add partial pieces; a group is one piece with at most one row per task before it.
+
+    Where the stage before may have many tasks, groups are first added in ``FAN`` parts by
+    task number, so no group grows with the size of the input.
+    """
     schema = partial.schema
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[[0]].copy()
         row["a"] = [np.sum(np.stack(pdf["a"].to_list()), axis=0)]
-        return row
+        return row[schema.names]
 
+    if many_tasks(source):
+        parts = partial.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+        partial = parts.groupBy(*by, "piece", "_part").applyInPandas(total, schema)
     return partial.groupBy(*by, "piece").applyInPandas(total, schema)
 
 
@@ -87,7 +117,7 @@ def sum_vectors(df: DataFrame, by: Sequence[str], vector: str, weight: str | Non
 
     need = [*by, vector] + ([weight] if weight else [])
     partial = df.select(*need).mapInPandas(task, _piece_schema(df, by))
-    return _whole(_final_sum(partial, by), by)
+    return _whole(_final_sum(partial, by, df), by)
 
 
 def trial_stats(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -106,7 +136,7 @@ def trial_stats(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
         yield acc.rows()
 
     partial = df.select(*by, x, y).mapInPandas(task, _piece_schema(df, by))
-    return _whole(_final_sum(partial, by), by)
+    return _whole(_final_sum(partial, by, df), by)
 
 
 def lag_view(m: np.ndarray, rows: np.ndarray, lags: Sequence[int]) -> np.ndarray:
@@ -233,7 +263,7 @@ def lagged_stats(
         return acc.rows()
 
     partial = map_blocks(_framed(df, by, t, edge), by, task, schema, t, before, after, width)
-    return _whole(_final_sum(partial, names), names)
+    return _whole(_final_sum(_task_sums(partial, names), names, df), names)
 
 
 def mismatch_stats(
@@ -270,7 +300,8 @@ def mismatch_stats(
 
     before = max(xb.span()[0], yb.span()[0])
     after = max(xb.span()[1], yb.span()[1])
-    cross = _whole(_final_sum(map_blocks(rows, ["trial"], task, schema, "t", before, after, width), ["i", "j"]), ["i", "j"])
+    part = map_blocks(rows, ["trial"], task, schema, "t", before, after, width)
+    cross = _whole(_final_sum(_task_sums(part, ["i", "j"]), ["i", "j"], sig), ["i", "j"])
     own = stats.select(F.col("trial").alias("i"), F.col("s").alias("_i"))
     other = stats.select(F.col("trial").alias("j"), F.col("s").alias("_j"))
     part = lambda c, start, n: F.slice(c, start + 1, n)

@@ -86,3 +86,15 @@ def is_small(df: DataFrame) -> bool:
     # an explode multiplies rows without showing in the estimate: allow for it
     growth = 32 ** plan.toString().count("Generate ")
     return int(str(plan.stats().sizeInBytes())) * growth <= limit
+
+
+def many_tasks(df: DataFrame) -> bool:
+    """True where a stage over ``df`` may have more tasks than one task should add up.
+
+    The task count is bounded from the estimated size and the shuffle width;
+    ``spark.trialweave.tasksPerSum`` sets the limit (default 256, 0 means always).
+    """
+    spark = df.sparkSession
+    limit = int(spark.conf.get("spark.trialweave.tasksPerSum", "256"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_width(spark), size >> 27) > limit
