@@ -14,12 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.linalg import gram
-from ..session import many_tasks, written
+from ..session import leaf_bytes, many_tasks, written
 from .blocks import DEFAULT_WIDTH, map_blocks
 
 PIECE = 8192
 FLUSH_BYTES = 96 << 20
 FAN = 256
+BLOCK_SUM_BYTES = 256 << 20
 
 
 def _key_fields(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
@@ -74,9 +75,11 @@ def _task_sums(partial: DataFrame, by: Sequence[str]) -> DataFrame:
     return partial.mapInPandas(task, partial.schema)
 
 
-def _final_sum(partial: DataFrame, by: Sequence[str], source: DataFrame) -> DataFrame:
+def _final_sum(partial: DataFrame, by: Sequence[str], source: DataFrame, blocks: bool = False) -> DataFrame:
     """Add partial pieces; a group is one piece with at most one row per task before it.
 
+    ``blocks`` marks partial rows made per block: large inputs are first added per task.
+
     Where the stage before may have many tasks, groups are first added in ``FAN`` parts by
     task number, so no group grows with the size of the input.
     """
@@ -87,7 +90,10 @@ def _final_sum(partial: DataFrame, by: Sequence[str], source: DataFrame) -> Data
         row["a"] = [np.sum(np.stack(pdf["a"].to_list()), axis=0)]
         return row[schema.names]
 
-    if many_tasks(source):
+    wide = many_tasks(source)
+    if blocks and (wide or leaf_bytes(source) > BLOCK_SUM_BYTES):
+        partial = _task_sums(partial, by)
+    if wide:
         parts = partial.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(FAN)))
         partial = parts.groupBy(*by, "piece", "_part").applyInPandas(total, schema)
     return partial.groupBy(*by, "piece").applyInPandas(total, schema)
@@ -263,7 +269,7 @@ def lagged_stats(
         return acc.rows()
 
     partial = map_blocks(_framed(df, by, t, edge), by, task, schema, t, before, after, width)
-    return _whole(_final_sum(_task_sums(partial, names), names, df), names)
+    return _whole(_final_sum(partial, names, df, blocks=True), names)
 
 
 def mismatch_stats(
@@ -301,7 +307,7 @@ def mismatch_stats(
     before = max(xb.span()[0], yb.span()[0])
     after = max(xb.span()[1], yb.span()[1])
     part = map_blocks(rows, ["trial"], task, schema, "t", before, after, width)
-    cross = _whole(_final_sum(_task_sums(part, ["i", "j"]), ["i", "j"], sig), ["i", "j"])
+    cross = _whole(_final_sum(part, ["i", "j"], sig, blocks=True), ["i", "j"])
     own = stats.select(F.col("trial").alias("i"), F.col("s").alias("_i"))
     other = stats.select(F.col("trial").alias("j"), F.col("s").alias("_j"))
     part = lambda c, start, n: F.slice(c, start + 1, n)

@@ -88,13 +88,18 @@ def is_small(df: DataFrame) -> bool:
     return int(str(plan.stats().sizeInBytes())) * growth <= limit
 
 
+def leaf_bytes(df: DataFrame) -> int:
+    """Size of the largest table a plan reads (join estimates are products, leaves are not)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
+
+
 def many_tasks(df: DataFrame) -> bool:
     """True where a stage over ``df`` may have more tasks than one task should add up.
 
-    The task count is bounded from the estimated size and the shuffle width;
+    A stage has at most as many tasks as the shuffle width or the splits of its largest table;
     ``spark.trialweave.tasksPerSum`` sets the limit (default 256, 0 means always).
     """
     spark = df.sparkSession
     limit = int(spark.conf.get("spark.trialweave.tasksPerSum", "256"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_width(spark), size >> 27) > limit
+    return max(shuffle_width(spark), leaf_bytes(df) >> 27) > limit
