@@ -57,3 +57,22 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digest(format_chats(turns.unionByName(odd)))
+
+
+@query("op4_warc", """
+WITH paid AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), last AS (SELECT hex, max(page_id) AS last FROM paid GROUP BY hex)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((CAST('0x' || substr(hex, (i // 4) * 5 + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31), 1)
+         FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM paid JOIN last USING (hex)
+""")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    archives = write_archives(table(spark, sf_dir, "pages"))
+    return read_archives(archives, with_payload=False).drop("url")
