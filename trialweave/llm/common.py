@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialweave.session import written
+
 #: Fixed value: the word pattern over ASCII-lower-cased text (ASCII letters and digits, all else non-ASCII).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -75,3 +80,64 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
         total = (total + words[i : n - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
     return np.unique(mix64(total))
+
+
+def sized(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows of at most ``row_bytes`` fit ``limit``, else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows sorted by ``keys``, also where a group spans batches."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        values = batch[keys].to_numpy()
+        starts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1), len(batch)]
+        if rest and (rest[-1][keys].iloc[-1].to_numpy() != values[0]).any():
+            yield pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0]
+            rest = []
+        for a, b in zip(starts[:-2], starts[1:-1], strict=True):
+            rest.append(batch.iloc[a:b])
+            yield pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0]
+            rest = []
+        rest.append(batch.iloc[starts[-2] :])
+    if rest:
+        yield pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0]
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """``node``, ``root`` (smallest node of its component) for undirected ``edges`` of columns ``u``, ``v``.
+
+    Alternating large-star and small-star steps; every round is written to the shared folder, which cuts
+    the lineage, and only a count and a sum of hashes reach the driver.
+    """
+
+    def star(e: DataFrame, both: bool) -> DataFrame:
+        if both:
+            e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        else:
+            e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        low = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        met = e.join(low, "u")
+        out = met.filter(F.col("v") > F.col("u")) if both else met
+        out = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        if not both:
+            out = out.unionByName(low.select("u", F.col("m").alias("v")))
+        return out.filter("u != v").distinct()
+
+    def state(e: DataFrame) -> tuple:
+        mixed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        return tuple(e.agg(F.count("*"), mixed).first())
+
+    now = written(edges.select("u", "v").filter("u != v").distinct(), "edges")
+    seen = state(now)
+    while True:
+        now = written(star(star(now, True), False), "edges")
+        after = state(now)
+        if after == seen:
+            break
+        seen = after
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -76,3 +76,34 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     archives = write_archives(table(spark, sf_dir, "pages"))
     return read_archives(archives, with_payload=False).drop("url")
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op7_ngram_jaccard_join", rf"""
+WITH RECURSIVE texts AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1
+), worded AS (
+  SELECT first_id AS t, copies, {_WORDS} AS w FROM texts
+), grams AS (
+  SELECT DISTINCT t, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT t, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM worded WHERE len(w) > 0)
+), sizes AS (SELECT t, count(*) AS n FROM grams GROUP BY t
+), common AS (
+  SELECT a.t AS x, b.t AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.t <> b.t GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.t = x JOIN sizes q ON q.t = y WHERE 5 * c >= 4 * (p.n + q.n - c)
+), reach AS (
+  SELECT t AS x, t AS y FROM worded UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), groups AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x
+), counted AS (SELECT x, CAST(sum(copies) AS BIGINT) AS links FROM links JOIN worded ON t = y GROUP BY x)
+SELECT d.doc_id, CASE WHEN len(w) > 0 THEN class_id ELSE d.doc_id END AS class_id,
+       CASE WHEN len(w) > 0 THEN s.copies - 1 + coalesce(links, 0) ELSE 0 END AS n_links
+FROM documents d JOIN texts s ON s.text = coalesce(d.text, '') JOIN worded ON t = first_id
+JOIN groups ON groups.x = first_id LEFT JOIN counted ON counted.x = first_id
+""")
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
