@@ -82,9 +82,11 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def sized(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows of at most ``row_bytes`` fit ``limit``, else as it is."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def sized(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """``df`` marked for broadcast if the summed size of its rows (as JSON, and 64 bytes each) is within
+    ``limit``, else as it is: then the join shuffles both sides."""
+    held = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 64)).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

@@ -233,7 +233,7 @@ def ngram_links(
         "candidates",
     )
     needed = candidates.select("cls").distinct()
-    grams = _sets(texts.join(sized(needed, 48), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "text"), size)
+    grams = _sets(texts.join(sized(needed), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "text"), size)
     known = grams.join(reps.select("cls", "copies"), "cls")
     found = written(
         candidates.join(known, "cls").repartition(width, *keys).sortWithinPartitions(*keys)
