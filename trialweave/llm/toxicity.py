@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from trialweave.session import written
 
 BUCKETS = 1 << 24
-STEMS = (3, 4, 5, 6, 7)
+STEMS = (4, 5, 6, 7)
 
 
 def term_buckets(text: Column) -> Column:
@@ -66,54 +66,71 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
 
-def fit_machine(
-    terms: list[np.ndarray], labels: np.ndarray, rank: int = 4, rounds: int = 150, rate: float = 0.1, least_docs: int = 3
-) -> Machine:
-    """Fit on bucket sets and 0/1 labels. One class only, or no row: the bias is all there is."""
-    share = float(labels.mean()) if len(labels) else 0.0
-    flat = np.concatenate([np.asarray(t, np.int64) for t in terms]) if terms else np.zeros(0, np.int64)
-    buckets, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = count >= least_docs
-    bias = float(np.log(share / (1 - share))) if 0 < share < 1 else 40.0 if share else -40.0
-    if not 0 < share < 1 or not keep.any():
-        return Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
-    doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])[keep[column]]
-    column = (np.cumsum(keep) - 1)[column[keep[column]]]
-    buckets, count = buckets[keep], count[keep]
-    n, p = len(labels), len(buckets)
-    penalty = np.sqrt(2 * np.log(p + 1)) * np.sqrt(count * share * (1 - share)) / n
-    rng = np.random.default_rng(7)
-    w, v = np.zeros(p), rng.normal(0, 0.01, (p, rank))
+def _descend(
+    doc: np.ndarray, column: np.ndarray, labels: np.ndarray, penalty: np.ndarray, bias: float, w: np.ndarray,
+    v: np.ndarray, rounds: int, rate: float = 0.1,
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Proximal Adam steps on the mean log loss: soft threshold on weights, group threshold on factors."""
+    n, p, rank = len(labels), len(w), v.shape[1]
+    spread = labels.mean() * (1 - labels.mean())
     mw, vw, mv, vv = np.zeros(p), np.zeros(p), np.zeros((p, rank)), np.zeros(p)
-    found = np.ones(p, bool)
-    for step in range(1, 2 * rounds + 1):
-        if step == rounds + 1:
-            found = (w != 0) | (v != 0).any(axis=1)
-            penalty = penalty / 20
+    for step in range(1, rounds + 1):
         sums = np.stack([np.bincount(doc, f[column], n) for f in v.T], axis=1)
         squares = np.bincount(doc, (v**2).sum(axis=1)[column], n)
         raw = bias + np.bincount(doc, w[column], n) + 0.5 * ((sums**2).sum(axis=1) - squares)
         error = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - labels) / n
-        bias -= min(1.0, 20 * rate) * error.sum() / (share * (1 - share))
+        bias -= error.sum() / spread
         each = error[doc]
-        per_term = np.bincount(column, each, p)
-        gv = np.stack([np.bincount(column, each * s[doc], p) for s in sums.T], axis=1) - per_term[:, None] * v
-        mw, vw = 0.9 * mw + 0.1 * per_term, 0.99 * vw + 0.01 * per_term**2
+        gw = np.bincount(column, each, p)
+        gv = np.stack([np.bincount(column, each * s[doc], p) for s in sums.T], axis=1) - gw[:, None] * v
+        mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw**2
         mv, vv = 0.9 * mv + 0.1 * gv, 0.99 * vv + 0.01 * (gv**2).sum(axis=1)
         down1, down2 = 1 - 0.9**step, 1 - 0.99**step
         pace = rate / (np.sqrt(vw / down2) + 1e-8)
         w = w - pace * mw / down1
-        w = np.sign(w) * np.maximum(np.abs(w) - pace * penalty, 0) * found
+        w = np.sign(w) * np.maximum(np.abs(w) - pace * penalty, 0)
         pace = 0.3 * rate / (np.sqrt(vv / down2) + 1e-8)
         v = v - pace[:, None] * mv / down1
         size = np.sqrt((v**2).sum(axis=1)) + 1e-12
-        v = v * np.maximum(1 - pace * penalty * np.sqrt(rank) / size, 0)[:, None] * found[:, None]
-    used = (w != 0) | (v != 0).any(axis=1)
-    return Machine(float(bias), buckets[used], w[used], v[used])
+        v = v * np.maximum(1 - pace * penalty * np.sqrt(rank) / size, 0)[:, None]
+    return bias, w, v
+
+
+def fit_machine(terms: list[np.ndarray], labels: np.ndarray, rank: int = 4, least_docs: int = 3) -> Machine:
+    """Fit on bucket sets and 0/1 labels. One class only, or no row: the bias is all there is."""
+    share = float(labels.mean()) if len(labels) else 0.0
+    bias = float(np.log(share / (1 - share))) if 0 < share < 1 else 40.0 if share else -40.0
+    empty = Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
+    if not 0 < share < 1:
+        return empty
+    flat = np.concatenate([np.asarray(t, np.int32) for t in terms])
+    doc = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
+    buckets, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    column = column.astype(np.int32)
+
+    def only(keep: np.ndarray):
+        """The problem with the kept terms alone."""
+        spot = (np.cumsum(keep) - 1).astype(np.int32)
+        rows = keep[column]
+        return doc[rows], spot[column[rows]], buckets[keep].astype(np.int64), count[keep]
+
+    doc, column, buckets, count = only(count >= least_docs)
+    if not len(buckets):
+        return empty
+    noise = np.sqrt(2 * np.log(len(buckets) + 1)) * np.sqrt(share * (1 - share)) / len(labels)
+    w, v = np.zeros(len(buckets)), np.random.default_rng(7).normal(0, 0.01, (len(buckets), rank))
+    for rounds, ease in ((40, 1), (120, 1), (200, 20)):
+        bias, w, v = _descend(doc, column, labels, noise * np.sqrt(count) / ease, bias, w, v, rounds)
+        used = (w != 0) | (v != 0).any(axis=1)
+        doc, column, buckets, count = only(used)
+        w, v = w[used], v[used]
+        if not len(w):
+            break
+    return Machine(float(bias), buckets, w, v)
 
 
 def train_toxicity(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, rank: int = 4, target: str = "toxic"
+    docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, rank: int = 4, target: str = "toxic"
 ) -> Machine:
     """Fit on at most about ``max_rows`` labelled documents (chosen by a hash of ``doc_id``; all of them where
     there are fewer). That bounded sample is fitted in one task, whose model alone reaches the driver.
