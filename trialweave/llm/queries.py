@@ -147,3 +147,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted"
     )
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify_language, train_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = train_language(docs.filter(~held_out).select("text", "lang"))
+    found = docs.select("doc_id", held_out.alias("held_out"), identify_language(docs, model).alias("l"))
+    return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), "l.score")
