@@ -158,3 +158,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_language(docs.filter(~held_out).select("text", "lang"))
     found = docs.select("doc_id", held_out.alias("held_out"), identify_language(docs, model).alias("l"))
     return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), "l.score")
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
