@@ -165,3 +165,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secret_report
 
     return secret_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
