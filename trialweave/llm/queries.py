@@ -172,3 +172,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_main_text
 
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op8_nearest_neighbours")
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .permutation_index import permutation_search
+
+    return permutation_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
