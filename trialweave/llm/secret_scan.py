@@ -162,10 +162,10 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.Series([redacted(t) for t in texts], dtype=object)
 
-    out = docs.withColumn("text", redact("text"))
+    out = docs.withColumn("_redacted", redact("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(docs["text"].isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.coalesce(F.length("_redacted").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return out.withColumn("text", F.col("_redacted")).select(docs.columns)
 
 
 def redacted(text: str | None) -> str | None:
