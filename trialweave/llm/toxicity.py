@@ -6,11 +6,12 @@ each term and, for each pair of terms, the product of their factors: pairs that
 together raise the score although neither does alone. The sum over all pairs is
 ``(|sum v|^2 - sum |v|^2) / 2``, so scoring is linear in the number of terms.
 
-Training minimises the log loss by proximal steps. The penalty of a term grows with the square root of
-its document count, at the level that the largest of that many pure-noise gradients reaches: weights and
-factors of terms that carry no signal become exactly zero. The model is then small, and a long text gains
-no noise from its thousands of ordinary words. A second phase keeps to the terms found and fits them with
-a twentieth of the penalty, which takes the shrinkage away.
+Training minimises the log loss. First weights alone are fitted by proximal steps; the penalty of a term
+grows with the square root of its document count, at the level that the largest of that many pure-noise
+gradients reaches, so that weights of terms that carry no signal become exactly zero. The terms that stay
+then get factors, and both are fitted with a twentieth of the penalty, which takes the shrinkage away. The
+model is small, and a long text gains no noise from its thousands of ordinary words. A pair neither of
+whose terms says anything alone is not found.
 """
 
 from __future__ import annotations
@@ -70,29 +71,28 @@ def _descend(
     doc: np.ndarray, column: np.ndarray, labels: np.ndarray, penalty: np.ndarray, bias: float, w: np.ndarray,
     v: np.ndarray, rounds: int, rate: float = 0.1,
 ) -> tuple[float, np.ndarray, np.ndarray]:
-    """Proximal Adam steps on the mean log loss: soft threshold on weights, group threshold on factors."""
+    """Adam steps on the mean log loss, with a soft threshold on weights and a ridge on factors."""
     n, p, rank = len(labels), len(w), v.shape[1]
     spread = labels.mean() * (1 - labels.mean())
-    mw, vw, mv, vv = np.zeros(p), np.zeros(p), np.zeros((p, rank)), np.zeros(p)
+    mw, vw, mv, vv = np.zeros(p), np.zeros(p), np.zeros((p, rank)), np.zeros((p, rank))
     for step in range(1, rounds + 1):
-        sums = np.stack([np.bincount(doc, f[column], n) for f in v.T], axis=1)
-        squares = np.bincount(doc, (v**2).sum(axis=1)[column], n)
-        raw = bias + np.bincount(doc, w[column], n) + 0.5 * ((sums**2).sum(axis=1) - squares)
+        raw = bias + np.bincount(doc, w[column], n)
+        if rank:
+            sums = np.stack([np.bincount(doc, f[column], n) for f in v.T], axis=1)
+            raw += 0.5 * ((sums**2).sum(axis=1) - np.bincount(doc, (v**2).sum(axis=1)[column], n))
         error = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - labels) / n
         bias -= error.sum() / spread
-        each = error[doc]
+        each, down1, down2 = error[doc], 1 - 0.9**step, 1 - 0.99**step
         gw = np.bincount(column, each, p)
-        gv = np.stack([np.bincount(column, each * s[doc], p) for s in sums.T], axis=1) - gw[:, None] * v
         mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw**2
-        mv, vv = 0.9 * mv + 0.1 * gv, 0.99 * vv + 0.01 * (gv**2).sum(axis=1)
-        down1, down2 = 1 - 0.9**step, 1 - 0.99**step
         pace = rate / (np.sqrt(vw / down2) + 1e-8)
+        if rank:
+            gv = np.stack([np.bincount(column, each * s[doc], p) for s in sums.T], axis=1)
+            gv += (penalty - gw)[:, None] * v
+            mv, vv = 0.9 * mv + 0.1 * gv, 0.99 * vv + 0.01 * gv**2
+            v = v - rate / np.sqrt(step) * (mv / down1) / (np.sqrt(vv / down2) + 1e-8)
         w = w - pace * mw / down1
         w = np.sign(w) * np.maximum(np.abs(w) - pace * penalty, 0)
-        pace = 0.3 * rate / (np.sqrt(vv / down2) + 1e-8)
-        v = v - pace[:, None] * mv / down1
-        size = np.sqrt((v**2).sum(axis=1)) + 1e-12
-        v = v * np.maximum(1 - pace * penalty * np.sqrt(rank) / size, 0)[:, None]
     return bias, w, v
 
 
@@ -118,14 +118,16 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, rank: int = 4, leas
     if not len(buckets):
         return empty
     noise = np.sqrt(2 * np.log(len(buckets) + 1)) * np.sqrt(share * (1 - share)) / len(labels)
-    w, v = np.zeros(len(buckets)), np.random.default_rng(7).normal(0, 0.01, (len(buckets), rank))
-    for rounds, ease in ((40, 1), (120, 1), (200, 20)):
+    rng = np.random.default_rng(7)
+    w = np.zeros(len(buckets))
+    for rounds, ease, factors in ((40, 1, 0), (120, 1, 0), (300, 20, rank)):
+        v = rng.normal(0, 0.1, (len(buckets), factors))
         bias, w, v = _descend(doc, column, labels, noise * np.sqrt(count) / ease, bias, w, v, rounds)
-        used = (w != 0) | (v != 0).any(axis=1)
+        used = (w != 0) if not factors else np.ones(len(w), bool)
         doc, column, buckets, count = only(used)
         w, v = w[used], v[used]
         if not len(w):
-            break
+            return Machine(float(bias), buckets, w, np.zeros((0, rank)))
     return Machine(float(bias), buckets, w, v)
 
 
