@@ -17,14 +17,6 @@ def spark():
     session.stop()
 
 
-@pytest.fixture
-def block_path(spark):
-    """Force the range-block path that large inputs take."""
-    spark.conf.set("spark.trialweave.smallInputBytes", "0")
-    yield
-    spark.conf.unset("spark.trialweave.smallInputBytes")
-
-
 @pytest.fixture(scope="session")
 def sf():
     return SF

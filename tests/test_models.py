@@ -77,13 +77,36 @@ def test_mismatch_statistics(spark):
     x, y, df = planted(spark)
     st = lagged_stats(df, ["trial"], "x", "y", [0, 1], [0, 2], width=60)
     pairs = spark.createDataFrame([(0, 3), (0, 5), (4, 1)], "i int, j int")
-    got = mismatch_stats(df.select("trial", "t", "x"), df.select("trial", "t", "y"), st, pairs, [0, 1], [0, 2], 10, 2, width=60).collect()
+    got = mismatch_stats(df.select("trial", "t", "x"), df.select("trial", "t", "y"), pairs, [0, 1], [0, 2], width=60).collect()
     assert len(got) == 3
     for r in got:
         want = la.gram(lag(x[r.i], [0, 1]), lag(y[r.j][:, None], [0, 2]))
         np.testing.assert_allclose(np.asarray(r.s), want, atol=1e-9)
 
 
+@pytest.mark.parametrize("edge", ["causal", "both"])
+def test_mismatch_statistics_of_unequal_trials(spark, edge):
+    """Lengths differ and one stimulus starts late: all parts are over the common samples."""
+    rng = np.random.default_rng(5)
+    lengths = [50, 30, 50, 40]
+    x, y = [rng.normal(size=(n, 3)) for n in lengths], [rng.normal(size=n) for n in lengths]
+    sig = spark.createDataFrame([(k, t, x[k][t].tolist()) for k in range(4) for t in range(lengths[k])], "trial int, t bigint, x array<double>")
+    late = {3: 20}
+    stim = spark.createDataFrame([(k, t, [float(y[k][t])]) for k in range(4) for t in range(late.get(k, 0), lengths[k])], "trial int, t bigint, y array<double>")
+    pairs = [(0, 1), (0, 2), (0, 3), (1, 0), (2, 3), (3, 0), (1, 3)]
+    got = mismatch_stats(sig, stim, spark.createDataFrame(pairs, "i int, j int"), [0, 1], [0, 2], edge=edge, width=16)
+    got = {(r.i, r.j): np.asarray(r.s) for r in got.collect()}
+    assert set(got) == set(pairs)
+    for i, j in pairs:
+        a, n = late.get(j, 0), min(lengths[i], lengths[j])
+        u, v = lag(x[i][a:n], [0, 1]), lag(y[j][a:n, None], [0, 2])
+        if edge == "both":
+            t = np.arange(a, n)
+            u[(t < 1) | (t >= n - 1)] = 0
+            v[(t < 2) | (t >= n - 2)] = 0
+        np.testing.assert_allclose(got[i, j], la.gram(u, v), atol=1e-9)
+
+
 def test_presets_and_regressions(spark):
     x, y, df = planted(spark)
     assert preset("cca2").pre_pca == 80 and len(PRESETS) == 6
@@ -227,11 +250,7 @@ def test_estimator_matches_functions(spark):
 
 def test_sums_in_parts_equal_direct_sums(spark):
     x, y, df = planted(spark)
-    spark.conf.set("spark.trialweave.tasksPerSum", "0")
-    try:
-        st = lagged_stats(df.repartition(8), ["trial"], "x", "y", [0, 1], [0], width=16)
-        s = np.asarray(sum_vectors(st, [], "s").head().s)
-    finally:
-        spark.conf.unset("spark.trialweave.tasksPerSum")
+    st = lagged_stats(df.repartition(8), ["trial"], "x", "y", [0, 1], [0], width=16)
+    s = np.asarray(sum_vectors(st, [], "s").head().s)
     X = np.vstack([lag(v, [0, 1]) for v in x])
     np.testing.assert_allclose(s, la.gram(X, y.reshape(-1, 1)), atol=1e-8)

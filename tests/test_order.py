@@ -18,7 +18,6 @@ def hot_events(n=3000, seed=3):
     return pd.DataFrame({"g": key, "ts": rng.integers(0, 400, n), "id": np.arange(n), "v": rng.normal(size=n).round(3)})
 
 
-@pytest.mark.usefixtures("block_path")
 def test_scan_over_blocks_equals_plain_windows(spark):
     pdf = hot_events()
     pdf.loc[pdf.index % 3 == 0, "v"] = np.nan
@@ -39,7 +38,6 @@ def test_scan_over_blocks_equals_plain_windows(spark):
         np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), atol=1e-9, err_msg=c)
 
 
-@pytest.mark.usefixtures("block_path")
 def test_blocks_of_a_hot_key_are_balanced(spark):
     from trialweave.operators.ordered import range_blocks
 
@@ -47,7 +45,7 @@ def test_blocks_of_a_hot_key_are_balanced(spark):
     assert len(sizes) == 8 and sizes.max() < 3 * 3000 / 8
 
 
-def test_positions_and_ntile(spark, block_path):
+def test_positions_and_ntile(spark):
     df = spark.createDataFrame(hot_events())
     got = positions(df, ["g"], ["ts", "id"]).withColumn("b", ntile_of(F.col("pos"), F.col("n"), 7))
     w = Window.partitionBy("g").orderBy("ts", "id")
@@ -61,32 +59,22 @@ def test_shuffled_positions_are_a_permutation(spark):
     assert {(r.d, r.m) for r in got.collect()} == {(250, 249)}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_exact_quantiles(spark, small):
-    spark.conf.set("spark.trialweave.smallInputBytes", "100000000" if small else "0")
-    try:
-        pdf = hot_events()
-        got = exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", {"a": 0.025, "m": 0.5, "z": 0.975}).toPandas().set_index("g")
-    finally:
-        spark.conf.unset("spark.trialweave.smallInputBytes")
+def test_exact_quantiles(spark):
+    pdf = hot_events()
+    got = exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", {"a": 0.025, "m": 0.5, "z": 0.975}).toPandas().set_index("g")
     for g, part in pdf.groupby("g"):
         np.testing.assert_allclose(got.loc[g, ["a", "m", "z"]].astype(float), np.quantile(part["v"], [0.025, 0.5, 0.975]))
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_nearest_with_ties_and_hot_key(spark, small):
-    spark.conf.set("spark.trialweave.smallInputBytes", "100000000" if small else "0")
-    try:
-        pdf = hot_events(800)
-        left, right = pdf[pdf.id % 2 == 0], pdf[pdf.id % 2 == 1]
-        dl = spark.createDataFrame(left).select("g", F.col("ts").alias("lt"), F.col("id").alias("lid"))
-        dr = spark.createDataFrame(right).select("g", F.col("ts").alias("rt"), F.col("id").alias("rid"))
-        m = nearest(dl, dr, ["g"], "lt", "lid", "rt", "rid", 3)
-        got = {r.lid: (r.match_id, r.err) for r in m.collect()}
-        best = {(r.g, r.match_id): r.lid for r in closest_per_match(m, ["g", "match_id"], "lt", "lid").collect()}
-        nxt = {r.lid: r.match_id for r in following(dl, dr, ["g"], "lt", "lid", "rt", "rid").collect()}
-    finally:
-        spark.conf.unset("spark.trialweave.smallInputBytes")
+def test_nearest_with_ties_and_hot_key(spark):
+    pdf = hot_events(800)
+    left, right = pdf[pdf.id % 2 == 0], pdf[pdf.id % 2 == 1]
+    dl = spark.createDataFrame(left).select("g", F.col("ts").alias("lt"), F.col("id").alias("lid"))
+    dr = spark.createDataFrame(right).select("g", F.col("ts").alias("rt"), F.col("id").alias("rid"))
+    m = nearest(dl, dr, ["g"], "lt", "lid", "rt", "rid", 3)
+    got = {r.lid: (r.match_id, r.err) for r in m.collect()}
+    best = {(r.g, r.match_id): r.lid for r in closest_per_match(m, ["g", "match_id"], "lt", "lid").collect()}
+    nxt = {r.lid: r.match_id for r in following(dl, dr, ["g"], "lt", "lid", "rt", "rid").collect()}
     want, after, per = {}, {}, {}
     for _, a in left.iterrows():
         cand = right[right.g == a.g]
@@ -104,7 +92,7 @@ def test_nearest_with_ties_and_hot_key(spark, small):
     assert best == {k: int(v[2]) for k, v in per.items()}
 
 
-def test_auc_and_mid_ranks_with_ties(spark, block_path):
+def test_auc_and_mid_ranks_with_ties(spark):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"y": rng.integers(0, 2, 400), "s": rng.integers(0, 12, 400)})
     df = spark.createDataFrame(pdf)
@@ -115,7 +103,7 @@ def test_auc_and_mid_ranks_with_ties(spark, block_path):
     np.testing.assert_allclose(ranks.sort_index(), pdf.s.rank().groupby(pdf.s).first().sort_index())
 
 
-def test_runs_and_interpolation(spark, block_path):
+def test_runs_and_interpolation(spark):
     v = np.array([1, 1, 0, 1, 0, 0, 1, 1, 1, 0], float)
     df = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(v)], "g int, t bigint, v double")
     runs = {(r.start, r.end) for r in true_runs(df, ["g"], "t", F.col("v") > 0, F.col("v")).collect()}

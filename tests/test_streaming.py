@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from trialweave.session import scratch_path
 from trialweave.streaming.markers import (
-    assemble_trials, drain, drain_with_late_counts, marker_stream, responses, write_markers,
+    assemble_trials, counter_steps, drain, drain_with_late_counts, marker_stream, responses, write_markers,
 )
 
 
@@ -17,7 +17,7 @@ def markers(spark, rows):
 
 def live(spark, rows, delay="10 seconds"):
     path = scratch_path(spark, "test-live")
-    write_markers(markers(spark, rows), path)
+    write_markers(markers(spark, rows).repartition(1), path)
     return marker_stream(spark, path, delay)
 
 
@@ -31,6 +31,32 @@ def test_audio_onset_overrides_whatever_the_order(spark):
     assert not out[8].complete and out[8].onset_s == 40.0  # timed out
 
 
+def in_files(spark, files, delay="10 seconds"):
+    """One file, and so one batch, for each list of rows."""
+    path = scratch_path(spark, "test-files")
+    for i, rows in enumerate(files):
+        write_markers(markers(spark, rows).repartition(1), f"{path}/{i}")
+    return marker_stream(spark, path + "/*", delay)
+
+
+def test_a_later_batch_still_belongs_to_the_trial(spark):
+    first = [(1, 50.0, "audio_onset", 7, 1, 0.0, 0), (1, 52.0, "block_end", 7, 2, 38.0, 0), (1, 53.0, "probe_response", 7, 3, 0.0, 1)]
+    second = [(1, 51.0, "audio_onset", 7, 4, 0.0, 0)]
+    end = [(1, 10_000.0, "trial_start", 9, 6, 0.0, 0)]
+    want = [(7, 51.0, True)]
+    for files in ([first + second, end], [first, second, end], [second, first, end]):
+        out = drain(assemble_trials(in_files(spark, files), 30.0)).collect()
+        assert [(r.trial, r.onset_s, r.complete) for r in out] == want
+
+
+def test_counter_rises_do_not_depend_on_batches(spark):
+    rows = [(1, float(s), "x", 3, s, 0.0, k) for s, k in ((100, 2), (101, 1), (102, 3), (103, 3))]
+    end = [(1, 10_000.0, "x", 9, 900, 0.0, 1)]
+    for files in ([rows, end], [rows[2:], rows[:2], end], [rows[1::2], rows[::2], end]):
+        out = drain(counter_steps(in_files(spark, files), "1000 seconds")).collect()
+        assert [(r.trial, r.rises, r.top) for r in out] == [(3, 2, 3)]
+
+
 def test_beeps_without_an_answer_keep_a_null(spark):
     rows = [
         (1, 10.0, "beep", 1, 1, 0.0, 0), (1, 10.8, "answer", 1, 2, 0.0, 0), (1, 50.0, "beep", 1, 3, 0.0, 0),

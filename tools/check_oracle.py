@@ -73,8 +73,6 @@ def compare(spark_df, con, sql: str) -> str:
 def main() -> int:
     sf, prefixes = sys.argv[1], sys.argv[2:]
     spark = local_session()
-    if os.environ.get("FORCE_BLOCKS"):  # take the large-input path on small tables
-        spark.conf.set("spark.trialweave.smallInputBytes", "0")
     con = connect(sf)
     bad = 0
     for name, q in load_all().items():

@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import linalg as la
-from .quality import MAX_CHANNELS
 from .series import zscored
 from .spectral import fir, matrix_applied
 from .stats import lagged_stats, map_rows, sum_vectors, total_stats, trial_stats
@@ -15,14 +14,12 @@ from .stats import lagged_stats, map_rows, sum_vectors, total_stats, trial_stats
 def _pooled(df: DataFrame, x: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, covariance and covariance of the first difference, pooled over all rows.
 
-    One p x p result reaches the driver; its width is checked, its rows do not matter.
+    One p x p result reaches the driver, however many rows there are.
     """
     pair = df.select("trial", "t", F.col(x).alias("x"), F.col(x).alias("y"))
     s = total_stats(lagged_stats(pair, ["trial"], "x", "y", [0], [1])).select("s", F.size("s").alias("n")).head()
     vec = np.asarray(s["s"])
     p = int((-2 + np.sqrt(4 + 12 * (len(vec) - 1))) / 6 + 0.5)
-    if p > MAX_CHANNELS:
-        raise ValueError("more channels than a driver-side decomposition allows")
     _, mx, _, cxx, cyy, cxy = la.covariances(vec, p, p)
     return mx, cxx, cxx + cyy - cxy - cxy.T
 

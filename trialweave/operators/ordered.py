@@ -7,7 +7,6 @@ Three ways to cut an ordered sequence into blocks are used in the library:
 * a hex prefix of the digest for md5 orders, which is uniform by construction;
 * range blocks for anything else: the rows are range-partitioned on the whole sort key and
   written once, so that the block number of a row can never change under task retry.
-  Inputs whose estimated size is proven small skip this and use one block.
 
 Running values are then a window inside each block plus a carry from the block totals, and
 no window ever spans a whole hot key.
@@ -21,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import md5_key
-from ..session import is_small, shuffle_width, written
+from ..session import shuffle_width, written
 
 
 @dataclass(frozen=True)
@@ -73,10 +72,6 @@ def ordered_scan(
     blocks; with it, ``block`` must grow with ``order``.
     """
     by, order = list(by), list(order)
-    if block is None and is_small(df):
-        inside = Window.partitionBy(*by).orderBy(*order)
-        mirror = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
-        return df.select("*", *[_within(r, inside, mirror, None).alias(r.out) for r in runs])
     base = range_blocks(df, by + order) if block is None else df.withColumn("blk", block)
     key = F.struct(*order)
     totals = base.groupBy(*by, "blk").agg(*[_total(r, key).alias(f"_t_{r.out}") for r in runs])
@@ -101,7 +96,7 @@ def ordered_scan(
     )
 
 
-def _within(run: Run, inside, mirror, carry: Column | None) -> Column:
+def _within(run: Run, inside, mirror, carry: Column) -> Column:
     """The running value inside one block, joined with what came before the block.
 
     Values that look ahead run over the mirrored order: a frame that only grows is linear,
@@ -111,13 +106,10 @@ def _within(run: Run, inside, mirror, carry: Column | None) -> Column:
     w = (mirror if run.kind == "next" else inside).rowsBetween(Window.unboundedPreceding, edge)
     if run.kind in ("sum", "count"):
         v = (F.sum if run.kind == "sum" else F.count)(run.expr).over(w)
-        v = F.coalesce(v, F.lit(0))
-        return v if carry is None else F.coalesce(carry, F.lit(0)) + v
+        return F.coalesce(carry, F.lit(0)) + F.coalesce(v, F.lit(0))
     if run.kind == "max":
-        v = F.max(run.expr).over(w)
-        return v if carry is None else F.greatest(carry, v)
-    v = F.last(run.expr, ignorenulls=True).over(w)
-    return v if carry is None else F.coalesce(v, carry)
+        return F.greatest(carry, F.max(run.expr).over(w))
+    return F.coalesce(F.last(run.expr, ignorenulls=True).over(w), carry)
 
 
 def _offsets(base: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -144,13 +136,6 @@ def _positions(base: DataFrame, by: Sequence[str], order: Sequence[Column | str]
 
 def positions(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``pos`` (0-based place of the row in ``order`` within ``by``) and group size ``n``."""
-    if is_small(df):
-        group = Window.partitionBy(*by)
-        return df.select(
-            "*",
-            (F.row_number().over(group.orderBy(*order)) - 1).cast("bigint").alias("pos"),
-            F.count(F.lit(1)).over(group).alias("n"),
-        )
     return _positions(range_blocks(df, [*by, *order]), list(by), list(order))
 
 
@@ -186,12 +171,8 @@ def exact_quantiles(
 
     Equal values are counted first, the distinct values are placed by a block scan, and only
     the rows around each wanted place are kept, so no group is held in one task's memory.
-    Inputs proven small use the built-in exact percentile.
     """
     by = list(by)
-    if is_small(df):
-        at = F.percentile(value, F.array(*[F.lit(float(q)) for q in probs.values()]))
-        return df.groupBy(*by).agg(at.alias("_q")).select(*by, *[F.col("_q")[i].alias(m) for i, m in enumerate(probs)])
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     placed = ordered_scan(counts, by, [value], [Run("_hi", "sum", F.col("_c"))])
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))

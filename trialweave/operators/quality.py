@@ -13,8 +13,6 @@ from .ordered import exact_quantiles
 from .spectral import matrix_applied
 from .stats import map_rows
 
-MAX_CHANNELS = 2048
-
 
 def channel_stats(long: DataFrame, by: Sequence[str], v: str = "v") -> DataFrame:
     """Peak-to-peak, population std and finite flag per channel; non-finite values count as 0."""
@@ -78,14 +76,11 @@ def reasons(**tests: Column) -> Column:
 def nearest_channels(channels: DataFrame, by: Sequence[str], ch: str, pos: Sequence[str], k: int) -> DataFrame:
     """The ``k`` nearest other channels of each channel, as ``(ch, nbr, rank, dist)``.
 
-    A montage is a dimension table: its channels are gathered into one array per montage
-    (the size is checked) and distances stay inside that array, so only k rows per channel
-    are ever produced.
+    A montage is a dimension table: its channels are gathered into one array per montage and
+    distances stay inside that array, so only k rows per channel are ever produced.
     """
     row = F.struct(F.col(ch).alias("c"), *[F.col(p).alias(p) for p in pos])
-    cap = channels.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.collect_list(row).alias("_all"))
-    cap = cap.withColumn("_all", F.when(F.col("_n") <= MAX_CHANNELS, F.col("_all")).otherwise(
-        F.raise_error(F.lit("more channels in one montage than the neighbour search allows"))))
+    cap = channels.groupBy(*by).agg(F.collect_list(row).alias("_all"))
     joined = channels.join(cap, list(by)) if by else channels.crossJoin(F.broadcast(cap))
     dist = lambda o: sum(((o[p] - F.col(p)) ** 2 for p in pos), F.lit(0.0))
     others = F.filter("_all", lambda o: o.c != F.col(ch))
@@ -128,12 +123,10 @@ def with_sources(lists: dict[str, DataFrame], ch: str) -> DataFrame:
 def neighbour_matrix(edges: DataFrame, p: int, weight: Column) -> np.ndarray:
     """Row-normalised neighbour weights as a ``p x p`` matrix for ``x @ matrix``.
 
-    A montage has at most ``MAX_CHANNELS`` channels and k neighbours each; the size is checked.
+    Repeated edges count once (the largest weight), so at most p * p numbers reach the driver.
     """
-    if p > MAX_CHANNELS:
-        raise ValueError("more channels than a neighbour matrix allows")
     m = np.zeros((p, p))
-    for r in edges.select("ch", "nbr", weight.alias("w")).limit(p * p).collect():
+    for r in edges.select("ch", "nbr", weight.alias("w")).groupBy("ch", "nbr").agg(F.max("w").alias("w")).collect():
         m[r.nbr, r.ch] = r.w
     total = m.sum(0)
     return m / np.where(total == 0, 1.0, total)
@@ -148,7 +141,7 @@ def repair_from_neighbours(df: DataFrame, x: str, p: int, bad: DataFrame, edges:
     flags = bad.select("ch").distinct()
     good = edges.join(flags.withColumnRenamed("ch", "nbr"), "nbr", "left_anti").join(flags, "ch", "left_semi")
     m = neighbour_matrix(good, p, 1.0 / F.greatest(F.col("dist"), F.lit(1e-12)))
-    lost = [r.ch for r in flags.limit(MAX_CHANNELS).collect()]
+    lost = [r.ch for r in flags.where(F.col("ch").between(0, p - 1)).collect()]
     keep = np.eye(p)
     keep[:, lost] = m[:, lost]
     empty = [c for c in lost if not m[:, c].any()]

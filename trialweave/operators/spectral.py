@@ -65,12 +65,18 @@ def log_bands(lo: float, hi: float, n: int) -> list[tuple[float, float]]:
     return list(zip(edges[:-1], edges[1:]))
 
 
-def constant_q_bands(lo: float, hi: float, n: int, half_octave: float = 0.42) -> list[tuple[float, float]]:
-    """``n`` overlapping bands of equal relative width, kept close to [lo, hi]."""
-    a, b = lo * 1.05, hi * 0.95
-    centres = [a * (b / a) ** (i / max(n - 1, 1)) for i in range(n)]
-    m = 2.0**half_octave
-    return [(max(c / m, lo * 0.9), min(c * m, hi * 1.02)) for c in centres]
+# Fixed values of the constant-Q bank: first and last centre and outermost edges as shares of
+# the range's ends, half width in octaves.
+FIRST_CENTRE, LAST_CENTRE, LOWEST_EDGE, HIGHEST_EDGE, HALF_WIDTH = 1.05, 0.95, 0.9, 1.02, 0.42
+
+
+def constant_q_bands(lo: float, hi: float, n: int, half_width: float = HALF_WIDTH) -> list[tuple[float, float]]:
+    """``n`` overlapping bands whose centres are equally spaced in octaves, cut at the outermost edges."""
+    first, last = np.log2(lo * FIRST_CENTRE), np.log2(hi * LAST_CENTRE)
+    centre = np.linspace(first, last, n) if n > 1 else np.array([first])
+    edges = np.exp2(np.stack([centre - half_width, centre + half_width], axis=1))
+    edges = np.clip(edges, lo * LOWEST_EDGE, hi * HIGHEST_EDGE)
+    return [(float(low), float(high)) for low, high in edges]
 
 
 def fir_bank(

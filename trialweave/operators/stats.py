@@ -14,13 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.linalg import gram
-from ..session import leaf_bytes, many_tasks, written
+from ..session import written
 from .blocks import DEFAULT_WIDTH, map_blocks
 
 PIECE = 8192
 FLUSH_BYTES = 96 << 20
 FAN = 256
-BLOCK_SUM_BYTES = 256 << 20
 
 
 def _key_fields(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
@@ -75,13 +74,12 @@ def _task_sums(partial: DataFrame, by: Sequence[str]) -> DataFrame:
     return partial.mapInPandas(task, partial.schema)
 
 
-def _final_sum(partial: DataFrame, by: Sequence[str], source: DataFrame, blocks: bool = False) -> DataFrame:
-    """Add partial pieces; a group is one piece with at most one row per task before it.
+def _final_sum(partial: DataFrame, by: Sequence[str], blocks: bool = False) -> DataFrame:
+    """Add partial pieces in two levels.
 
-    ``blocks`` marks partial rows made per block: large inputs are first added per task.
-
-    Where the stage before may have many tasks, groups are first added in ``FAN`` parts by
-    task number, so no group grows with the size of the input.
+    ``blocks`` marks partial rows made per block, which are first added per task.  A piece then
+    has at most one row per task; groups are added in ``FAN`` parts by task number before the
+    parts meet, so no group grows with the number of tasks.
     """
     schema = partial.schema
 
@@ -90,12 +88,10 @@ def _final_sum(partial: DataFrame, by: Sequence[str], source: DataFrame, blocks:
         row["a"] = [np.sum(np.stack(pdf["a"].to_list()), axis=0)]
         return row[schema.names]
 
-    wide = many_tasks(source)
-    if blocks and (wide or leaf_bytes(source) > BLOCK_SUM_BYTES):
+    if blocks:
         partial = _task_sums(partial, by)
-    if wide:
-        parts = partial.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(FAN)))
-        partial = parts.groupBy(*by, "piece", "_part").applyInPandas(total, schema)
+    parts = partial.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+    partial = parts.groupBy(*by, "piece", "_part").applyInPandas(total, schema)
     return partial.groupBy(*by, "piece").applyInPandas(total, schema)
 
 
@@ -123,7 +119,7 @@ def sum_vectors(df: DataFrame, by: Sequence[str], vector: str, weight: str | Non
 
     need = [*by, vector] + ([weight] if weight else [])
     partial = df.select(*need).mapInPandas(task, _piece_schema(df, by))
-    return _whole(_final_sum(partial, by, df), by)
+    return _whole(_final_sum(partial, by), by)
 
 
 def trial_stats(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -142,7 +138,7 @@ def trial_stats(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
         yield acc.rows()
 
     partial = df.select(*by, x, y).mapInPandas(task, _piece_schema(df, by))
-    return _whole(_final_sum(partial, by, df), by)
+    return _whole(_final_sum(partial, by), by)
 
 
 def lag_view(m: np.ndarray, rows: np.ndarray, lags: Sequence[int]) -> np.ndarray:
@@ -269,25 +265,32 @@ def lagged_stats(
         return acc.rows()
 
     partial = map_blocks(_framed(df, by, t, edge), by, task, schema, t, before, after, width)
-    return _whole(_final_sum(partial, names, df, blocks=True), names)
+    return _whole(_final_sum(partial, names, blocks=True), names)
 
 
 def mismatch_stats(
-    sig: DataFrame, stim: DataFrame, stats: DataFrame, pairs: DataFrame, x_basis, y_basis,
-    p: int, q: int, edge: str = "causal", width: int = DEFAULT_WIDTH,
+    sig: DataFrame, stim: DataFrame, pairs: DataFrame, x_basis, y_basis,
+    edge: str = "causal", width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Statistics of trial ``i``'s signal against trial ``j``'s stimulus for the listed pairs.
 
-    The stimuli of a trial's partners travel to the trial (a few numbers per sample), so the
-    wide signal is read once whatever the number of partners; only the cross part is new, the
-    rest comes from the trial statistics.  ``sig`` is ``(trial, t, x)``, ``stim`` ``(trial, t, y)``.
+    Both sides are cut to the samples that both trials have, so every part of a pair's statistics
+    is over the same overlap; a partner may start later or end earlier than the trial.  The
+    stimuli of a trial's partners travel to the trial (a few numbers per sample) with their trial
+    number, so the wide signal is read once whatever the number of partners.  ``sig`` is
+    ``(trial, t, x)``, ``stim`` ``(trial, t, y)``.
     """
     xb, yb = as_basis(x_basis), as_basis(y_basis)
     mate = stim.select(F.col("trial").alias("j"), "t", "y")
     near = pairs.join(mate, "j").groupBy(F.col("i").alias("trial"), "t").agg(
         F.sort_array(F.collect_list(F.struct("j", "y"))).alias("mates")
     )
-    rows = _framed(sig.select("trial", "t", "x").join(near, ["trial", "t"]), ["trial"], "t", edge)
+    last = stim.groupBy(F.col("trial").alias("j")).agg((F.max("t") + 1).alias("m"))
+    own_last = sig.groupBy(F.col("trial").alias("i")).agg((F.max("t") + 1).alias("n"))
+    ends = pairs.join(last, "j").join(own_last, "i").groupBy(F.col("i").alias("trial")).agg(
+        F.sort_array(F.collect_list(F.struct("j", F.least("m", "n").alias("end")))).alias("ends")
+    )
+    rows = sig.select("trial", "t", "x").join(near, ["trial", "t"]).join(ends, "trial")
     kt = sig.schema["trial"].dataType
     schema = T.StructType([
         T.StructField("i", kt), T.StructField("j", kt), T.StructField("piece", T.IntegerType()),
@@ -297,25 +300,22 @@ def mismatch_stats(
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         acc = _Sums(["i", "j"])
         i = pdf.iloc[0]["trial"]
-        xv = _view(pdf, "x", "t", xb, edge)
-        mates = pdf["mates"].to_list()
-        for c, first in enumerate(mates[0]):
-            pdf["_y"] = [np.asarray(m[c]["y"]) for m in mates]
-            acc.add((i, first["j"]), (xv.T @ _view(pdf, "_y", "t", yb, edge)).ravel())
+        ends = {e["j"]: e["end"] for e in pdf["ends"].iloc[0]}
+        mates = [{m["j"]: m["y"] for m in row} for row in pdf["mates"]]
+        for j in sorted(set().union(*mates)):
+            held = np.array([j in m for m in mates])
+            part = pdf.loc[held, ["trial", "t", "x", "core"]].copy()
+            if not part["core"].any():
+                continue
+            part["_y"] = [np.asarray(m[j]) for m in mates if j in m]
+            part["_len"] = ends[j]
+            acc.add((i, j), gram(_view(part, "x", "t", xb, edge), _view(part, "_y", "t", yb, edge)))
         return acc.rows()
 
     before = max(xb.span()[0], yb.span()[0])
     after = max(xb.span()[1], yb.span()[1])
     part = map_blocks(rows, ["trial"], task, schema, "t", before, after, width)
-    cross = _whole(_final_sum(part, ["i", "j"], sig, blocks=True), ["i", "j"])
-    own = stats.select(F.col("trial").alias("i"), F.col("s").alias("_i"))
-    other = stats.select(F.col("trial").alias("j"), F.col("s").alias("_j"))
-    part = lambda c, start, n: F.slice(c, start + 1, n)
-    xx, yy = 1 + p + q, 1 + p + q + p * p
-    whole = F.concat(
-        part("_i", 0, 1 + p), part("_j", 1 + p, q), part("_i", xx, p * p), part("_j", yy, q * q), F.col("s")
-    )
-    return cross.join(own, "i").join(other, "j").select("i", "j", whole.alias("s"))
+    return _whole(_final_sum(part, ["i", "j"], blocks=True), ["i", "j"])
 
 
 def total_stats(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -179,7 +179,7 @@ def _mismatch(spark, sf, spec, st, p, q, m: int = 3):
     sig, stim, _ = _views(spark, sf)
     trials = sig.select("trial").distinct().withColumn("stim", F.col("trial"))
     pairs = mismatched_partners(trials, "trial", "stim", m)
-    cross = mismatch_stats(sig, stim, st.select("trial", "s"), pairs, spec.x_basis(), spec.y_basis(), p, q, width=BLOCK)
+    cross = mismatch_stats(sig, stim, pairs, spec.x_basis(), spec.y_basis(), width=BLOCK)
     return cross.join(st.select(F.col("trial").alias("i"), "fold"), "i")
 
 

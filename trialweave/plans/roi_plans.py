@@ -101,7 +101,7 @@ def roi_nested_selection(spark: SparkSession, sf: str) -> DataFrame:
     cells = models.select("model", "cell", "shrink").distinct()
     matched = score(models, st, ["fold"], ["trial"], 2, 1)
     pairs = mismatched_partners(sig.select("trial").distinct().withColumn("stim", F.col("trial")), "trial", "stim", 3)
-    cross = mismatch_stats(sig, stim, st.select("trial", "s"), pairs, [0], [0], 2, 1, width=BLOCK)
+    cross = mismatch_stats(sig, stim, pairs, [0], [0], width=BLOCK)
     cross = cross.join(st.select(F.col("trial").alias("i"), "fold"), "i")
     null = score(models, cross, ["fold"], ["i", "j"], 2, 1).groupBy("model", F.col("i").alias("trial")).agg(F.avg("r").alias("n"))
     cv = matched.join(null, ["model", "trial"]).groupBy("model").agg(F.avg(F.col("r") - F.col("n")).alias("cv")).join(cells, "model")

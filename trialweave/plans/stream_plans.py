@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 from ..streaming.markers import (
     assemble_trials, bursts, counter_steps, drain, drain_updates, drain_with_late_counts, marker_stream,
-    responses, running_accuracy, trial_table, window_features, without_twins, write_markers,
+    responses, running_accuracy, trial_table, window_features, without_twins, write_marker_feed, write_markers,
 )
 from .adapters import EV, events
 from .registry import query
@@ -26,9 +26,8 @@ def _markers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str, delay: str = "1 hour") -> DataFrame:
-    path = scratch_path(spark, "live")
-    write_markers(_markers(spark, sf), path)
-    return marker_stream(spark, path, delay)
+    """The events as four overlapping batches of markers, read one file at a time."""
+    return marker_stream(spark, write_marker_feed(_markers(spark, sf), scratch_path(spark, "live")), delay)
 
 
 @query("stream_ingest", "T1 S26", f"WITH {EV} SELECT user_id AS session, event_id AS marker_id, us, value FROM ev")
@@ -50,9 +49,9 @@ def stream_trial_assembly(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("session", "trial", F.round(onset - 1704067200, 4).alias("onset_s"), "block_dur_s", "probe")
 
 
-@query("stream_trial_state", "T2", ASSEMBLY_SQL)
+@query("stream_trial_state", "T2", ASSEMBLY_SQL.replace("GROUP BY ALL)", f"GROUP BY ALL HAVING max(us) + 86400000000 < {MAX_US})"))
 def stream_trial_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Trials by a state function that also emits trials which time out."""
+    """Trials by a state function that emits a trial once the watermark is a day past it."""
     out = drain(assemble_trials(_stream(spark, sf), 86400.0)).where("complete")
     return out.select("session", "trial", F.round(F.col("onset_s") - 1704067200, 4).alias("onset_s"), "block_dur_s", "probe")
 
@@ -62,8 +61,8 @@ def stream_twin_suppression(spark: SparkSession, sf: str) -> DataFrame:
     """Every marker is sent twice, 11 ms apart; one of each pair remains."""
     path = scratch_path(spark, "twins")
     m = _markers(spark, sf)
-    write_markers(m.unionByName(m.withColumn("ts", F.col("ts") + F.expr("interval 11 milliseconds"))), path)
-    once = drain(without_twins(marker_stream(spark, path), ["session", "marker_id"]))
+    feed = write_marker_feed(m.unionByName(m.withColumn("ts", F.col("ts") + F.expr("interval 11 milliseconds"))), path)
+    once = drain(without_twins(marker_stream(spark, feed), ["session", "marker_id"]))
     back = F.coalesce(*[F.when(F.col("label") == v, F.lit(k)) for k, v in LABEL.items()])
     return once.groupBy(back.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -74,9 +73,9 @@ def stream_twin_suppression(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_reaction_time(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "beeps")
-    write_markers(_markers(spark, sf), path)
-    beeps = marker_stream(spark, path).where("label = 'audio_onset'")
-    answers = marker_stream(spark, path).where("label = 'av_onset'")
+    feed = write_marker_feed(_markers(spark, sf), path)
+    beeps = marker_stream(spark, feed).where("label = 'audio_onset'")
+    answers = marker_stream(spark, feed).where("label = 'av_onset'")
     out = drain(responses(beeps, answers, "6 hours"))
     rt = (F.unix_micros("answer_ts") - F.unix_micros("beep_ts")) / 1e6
     return out.where("answer is not null").groupBy("beep").agg(F.round(F.min(rt), 6).alias("rt_s"))
@@ -121,10 +120,10 @@ def stream_running_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "stream_counter_steps", "T8",
     f"""WITH {EV}, m AS (SELECT *, us // 86400000000 AS trial, coalesce(max(k) OVER (PARTITION BY user_id, us // 86400000000 ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM ev)
-    SELECT user_id AS session, trial, CAST(count(*) FILTER (k > top) AS INTEGER) AS rises, greatest(max(k), 0) AS top FROM m GROUP BY ALL""",
+    SELECT user_id AS session, trial, CAST(count(*) FILTER (k > top) AS INTEGER) AS rises, greatest(max(k), 0) AS top FROM m WHERE (us // 86400000000 + 1) * 86400000000 <= {MAX_US} GROUP BY ALL""",
 )
 def stream_counter_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return drain_updates(counter_steps(_stream(spark, sf)), ["session", "trial"])
+    return drain(counter_steps(_stream(spark, sf), "1 day"))
 
 
 @query(

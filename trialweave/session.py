@@ -67,39 +67,3 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-SMALL_INPUT_BYTES = 32 << 20
-
-
-def is_small(df: DataFrame) -> bool:
-    """True where the optimizer's size estimate proves the input small.
-
-    Joins and cross joins are estimated by products, so unknown sizes count as large.
-    ``spark.trialweave.smallInputBytes`` sets the limit; 0 always takes the block path.
-    """
-    spark = df.sparkSession
-    limit = int(spark.conf.get("spark.trialweave.smallInputBytes", str(SMALL_INPUT_BYTES)))
-    if limit <= 0:
-        return False
-    plan = df._jdf.queryExecution().optimizedPlan()
-    # an explode multiplies rows without showing in the estimate: allow for it
-    growth = 32 ** plan.toString().count("Generate ")
-    return int(str(plan.stats().sizeInBytes())) * growth <= limit
-
-
-def leaf_bytes(df: DataFrame) -> int:
-    """Size of the largest table a plan reads (join estimates are products, leaves are not)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
-
-
-def many_tasks(df: DataFrame) -> bool:
-    """True where a stage over ``df`` may have more tasks than one task should add up.
-
-    A stage has at most as many tasks as the shuffle width or the splits of its largest table;
-    ``spark.trialweave.tasksPerSum`` sets the limit (default 256, 0 means always).
-    """
-    spark = df.sparkSession
-    limit = int(spark.conf.get("spark.trialweave.tasksPerSum", "256"))
-    return max(shuffle_width(spark), leaf_bytes(df) >> 27) > limit

@@ -1,7 +1,8 @@
 """Live marker streams: ingest, trial assembly, windows, joins and late data.
 
-Every stateful operator bounds its state with a watermark.  The runners use
-``availableNow``, so a finite folder of marker files is drained the same way a live one is.
+State is bounded by the watermark, but for ``running_accuracy``, which keeps one row of two
+numbers for each session.  The runners use ``availableNow`` and read a few files per batch, so a
+finite folder of marker files is drained in many batches, as a live one is.
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 PAYLOAD = "label string, trial bigint, marker_id bigint, value double, k int"
 
 
-def marker_stream(spark: SparkSession, path: str, delay: str = "1 hour") -> DataFrame:
-    """JSON-lines marker files as a stream with event time ``ts`` and parsed payload fields."""
-    raw = spark.readStream.schema(MARKER_SCHEMA).option("timestampFormat", MICROS).json(path)
+def marker_stream(spark: SparkSession, path: str, delay: str = "1 hour", files: int = 1) -> DataFrame:
+    """JSON-lines marker files as a stream with event time ``ts`` and parsed payload fields.
+
+    ``files`` is the number of files that one batch reads at most.
+    """
+    reader = spark.readStream.schema(MARKER_SCHEMA).option("timestampFormat", MICROS)
+    raw = reader.option("maxFilesPerTrigger", files).json(path)
     parsed = raw.select("session", "ts", F.from_json("payload", PAYLOAD).alias("p")).select("session", "ts", "p.*")
     return parsed.where("trial is not null").withWatermark("ts", delay)
 
@@ -62,37 +67,37 @@ TRIALS = "session bigint, trial bigint, onset_s double, block_dur_s double, prob
 
 
 def assembler(gap_s: float) -> Callable:
-    """State function: collects the markers of a trial until it is complete or silent for ``gap_s``.
+    """State function: collects the markers of a trial until the watermark has passed its last one by ``gap_s``.
 
-    The last audio onset wins over the first av onset whichever arrives first; for the other
-    markers the latest event time wins.
+    Nothing is emitted earlier, because a marker that belongs to the trial may still come.  The last
+    audio onset wins over the first av onset whichever arrives first; for the other markers the
+    latest event time wins.
     """
 
+    def latest(state: list, at: int, rows: pd.DataFrame, value: str, kind: type) -> None:
+        if len(rows):
+            last = rows.iloc[-1]
+            if state[at + 1] is None or last["s"] >= state[at + 1]:
+                state[at], state[at + 1] = kind(last[value]), float(last["s"])
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cols = TRIALS.replace(",", "").split()[::2]
         if state.hasTimedOut:
-            onset, _, _, block, _, probe, _, _ = state.get
+            onset, _, _, block, block_at, probe, probe_at, _ = state.get
             state.remove()
-            yield pd.DataFrame([(*key, onset, block, probe, False)], columns=cols)
+            done = onset is not None and block_at is not None and probe_at is not None
+            yield pd.DataFrame([(*key, onset, block, probe, done)], columns=TRIALS.replace(",", "").split()[::2])
             return
         s = list(state.get) if state.exists else [None, 0, None, None, None, None, None, 0.0]
         for pdf in batches:
-            for label, at, value, k in zip(pdf["label"], pdf["ts"], pdf["value"], pdf["k"]):
-                at = pd.Timestamp(at).timestamp()
-                s[7] = max(s[7], at)
-                if label == "audio_onset" and (s[1] < 2 or at >= s[2]):
-                    s[0], s[1], s[2] = at, 2, at
-                elif label == "av_onset" and (s[1] == 0 or (s[1] == 1 and at < s[2])):
-                    s[0], s[1], s[2] = at, 1, at
-                elif label == "block_end" and (s[4] is None or at >= s[4]):
-                    s[3], s[4] = float(value), at
-                elif label == "probe_response" and (s[6] is None or at >= s[6]):
-                    s[5], s[6] = int(k), at
-        if s[1] and s[4] is not None and s[6] is not None:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([(*key, s[0], s[3], s[5], True)], columns=cols)
-            return
+            pdf = pdf.assign(s=pd.to_datetime(pdf["ts"]).map(pd.Timestamp.timestamp)).sort_values("s", kind="stable")
+            s[7] = max(s[7], float(pdf["s"].max()))
+            audio, av = pdf[pdf["label"] == "audio_onset"]["s"], pdf[pdf["label"] == "av_onset"]["s"]
+            if len(audio) and (s[1] < 2 or audio.max() >= s[2]):
+                s[0], s[1], s[2] = float(audio.max()), 2, float(audio.max())
+            elif s[1] < 2 and len(av) and (s[1] == 0 or av.min() < s[2]):
+                s[0], s[1], s[2] = float(av.min()), 1, float(av.min())
+            latest(s, 3, pdf[pdf["label"] == "block_end"], "value", float)
+            latest(s, 5, pdf[pdf["label"] == "probe_response"], "k", int)
         state.update(tuple(s))
         due = max(s[7] + gap_s, state.getCurrentWatermarkMs() / 1000.0 + 0.001)
         state.setTimeoutTimestamp(int(due * 1000))
@@ -101,7 +106,7 @@ def assembler(gap_s: float) -> Callable:
 
 
 def assemble_trials(markers: DataFrame, gap_s: float) -> DataFrame:
-    """Trials from markers, emitted when complete or timed out."""
+    """Trials from markers, each emitted once, when no more of its markers can come."""
     return markers.select("session", "trial", "ts", "label", "value", "k").groupBy("session", "trial").applyInPandasWithState(
         assembler(gap_s), TRIALS, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
@@ -123,21 +128,19 @@ def trial_table(markers: DataFrame, span: str) -> DataFrame:
     return agg.select("session", "trial", "onset", "block_dur_s", "probe", done.alias("complete"))
 
 
-def counter_steps(markers: DataFrame) -> DataFrame:
-    """Rises of a counter inside a block: ``(session, trial, rises, top)`` after each batch."""
+def counter_steps(markers: DataFrame, span: str) -> DataFrame:
+    """Rises of a counter inside a trial that lies in one ``span``: ``(session, trial, rises, top)``.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rises, top = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "marker_id"])
-        for k in rows["k"]:
-            if k > top:
-                rises, top = rises + 1, int(k)
-        state.update((rises, top))
-        yield pd.DataFrame([(*key, rises, top)], columns=["session", "trial", "rises", "top"])
-
-    return markers.select("session", "trial", "ts", "marker_id", "k").groupBy("session", "trial").applyInPandasWithState(
-        step, "session bigint, trial bigint, rises int, top int", "rises int, top int", "update", GroupStateTimeout.NoTimeout
+    Order matters, so a trial's markers are held until the watermark has passed the span, are
+    then sorted and read once; that also bounds the state.
+    """
+    kept = F.sort_array(F.collect_list(F.struct("ts", "marker_id", "k")))
+    start = F.struct(F.lit(0).alias("rises"), F.lit(0).alias("top"))
+    rise = lambda s, m: F.struct(
+        (s["rises"] + (m["k"] > s["top"]).cast("int")).alias("rises"), F.greatest(s["top"], m["k"]).alias("top")
     )
+    held = markers.where("k is not null").groupBy("session", "trial", F.window("ts", span).alias("w")).agg(kept.alias("m"))
+    return held.select("session", "trial", F.aggregate("m", start, rise).alias("c")).select("session", "trial", "c.rises", "c.top")
 
 
 def without_twins(markers: DataFrame, keys: list[str]) -> DataFrame:
@@ -183,6 +186,19 @@ def write_markers(markers: DataFrame, path: str) -> None:
     markers.write.option("timestampFormat", MICROS).json(path)
 
 
+def write_marker_feed(markers: DataFrame, path: str, slices: int = 4, jitter_s: int = 1500) -> str:
+    """Marker files as several batches that overlap: each marker moves by up to ``jitter_s`` in the order
+    of arrival, and every slice of arrival time is one folder with one file.  Returns the glob to read."""
+    moved = F.unix_micros("ts") + (F.pmod(F.xxhash64("session", "payload"), F.lit(2 * jitter_s)) - jitter_s) * 1_000_000
+    held = markers.withColumn("_at", moved)
+    low, high = held.agg(F.min("_at"), F.max("_at")).first()
+    width = ((high or 0) - (low or 0)) // slices + 1
+    for i in range(slices):
+        part = held.where(F.floor((F.col("_at") - F.lit(low or 0)) / width) == i).drop("_at")
+        write_markers(part.repartition(1), f"{path}/{i}")
+    return f"{path}/*"
+
+
 def drain_with_late_counts(feeds: list[DataFrame], delay: str, size: str) -> tuple[DataFrame, int, int]:
     """Add feeds of markers to one source folder, draining a windowed count after each.
 
