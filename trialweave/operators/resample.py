@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.hashing import gauss, hex_int, md5_key, unit
 from .ordered import Run, exact_quantiles, ntile_of, ordered_scan, positions, shuffled_positions
@@ -159,14 +159,31 @@ def offset_in_ranges(trials: DataFrame, by: Sequence[str], ranges: DataFrame, lo
     The drawn place is looked up on the running length; where all ranges are points the draw
     picks one of them.
     """
+    by = list(by)
     placed = ordered_scan(
-        ranges.withColumn("_w", F.col(hi) - F.col(lo)), by, [lo, hi],
+        ranges.withColumn("_w", (F.col(hi) - F.col(lo)).cast("double")), by, [lo, hi],
         [Run("_cum", "sum", F.col("_w")), Run("_i", "count", F.lit(1))],
     )
-    tot = ranges.groupBy(*by).agg(F.sum(F.col(hi) - F.col(lo)).alias("_all"), F.count(F.lit(1)).alias("_m"))
-    drawn = trials.withColumn("_u", unit(digest)).join(tot, list(by)).withColumn("_at", F.col("_u") * F.col("_all"))
-    joined = drawn.join(placed, list(by))
-    inside = (F.col("_at") >= F.col("_cum") - F.col("_w")) & (F.col("_at") < F.col("_cum"))
-    point = (F.col("_all") <= 0) & (F.col("_i") == F.floor(F.col("_u") * F.col("_m")) + 1)
-    hit = joined.where((F.col("_all") > 0) & inside | point)
-    return hit.select(*trials.columns, (F.col(lo) + F.when(F.col("_all") > 0, F.col("_at") - (F.col("_cum") - F.col("_w"))).otherwise(0.0)).alias("offset"))
+    tot = ranges.groupBy(*by).agg(F.sum((F.col(hi) - F.col(lo)).cast("double")).alias("_all"), F.count(F.lit(1)).alias("_m"))
+    lengths = F.col("_all") > 0
+    # both sides lie on one axis (running length, or the number of a point); a draw belongs to the last
+    # range that starts at or before it, which one ordered scan of the union finds
+    starts = placed.join(tot, by).select(
+        *by, F.when(lengths, F.col("_cum") - F.col("_w")).otherwise(F.col("_i") - 1.0).alias("_place"), F.lit(0).alias("_side"),
+        F.col("_i").cast("bigint").alias("_i"), F.col(lo).cast("double").alias("_lo"), F.lit(None).cast(_as_struct(trials)).alias("_t"),
+    )
+    drawn = trials.withColumn("_u", unit(digest)).join(tot, by).select(
+        *by, F.when(lengths, F.col("_u") * F.col("_all")).otherwise(F.floor(F.col("_u") * F.col("_m")).cast("double")).alias("_place"),
+        F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_i"), F.lit(None).cast("double").alias("_lo"),
+        F.struct(*trials.columns, F.when(lengths, 1.0).otherwise(0.0).alias("_slope")).alias("_t"),
+    )
+    start = F.struct(F.col("_place").alias("at"), F.col("_lo").alias("lo"))
+    found = ordered_scan(
+        starts.unionByName(drawn), by, ["_place", "_side", "_i"], [Run("_r", "last", F.when(F.col("_side") == 0, start))]
+    ).where("_side = 1 and _r is not null")
+    offset = F.col("_r.lo") + (F.col("_place") - F.col("_r.at")) * F.col("_t._slope")
+    return found.select(*[F.col("_t")[c].alias(c) for c in trials.columns], offset.alias("offset"))
+
+
+def _as_struct(trials: DataFrame) -> T.StructType:
+    return T.StructType([*trials.schema.fields, T.StructField("_slope", T.DoubleType())])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import md5_key
+from ..operators.classify import train_rows as fold_train_rows
 from ..operators.ordered import positions
 from ..operators.selection import (
     bounded, channels_or_all, decimated, fit_length, high_load, in_vocabulary, ordinal, region_of, rename_by_map,
@@ -185,14 +186,13 @@ def numeric_probe_error(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "train_rows", "U1 U2",
-    f"WITH {SIG}, {COND} SELECT a.trial AS held, count(*) AS n_train, sum(b.trial) AS check_sum FROM cond a JOIN cond b ON a.trial <> b.trial GROUP BY a.trial",
+    f"WITH {SIG}, {COND} SELECT CAST(f AS INTEGER) AS held, count(*) AS n_train, sum(trial) AS check_sum FROM cond, range(5) r(f) WHERE trial % 5 <> f GROUP BY f",
 )
 def train_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Train set of every held-out id, as the total minus the held-out part (never as pairs)."""
-    ids = trial_condition(spark, sf)
-    total = ids.agg(F.count(F.lit(1)).alias("tn"), F.sum("trial").alias("ts"))
-    return ids.crossJoin(F.broadcast(total)).select(
-        F.col("trial").alias("held"), (F.col("tn") - 1).alias("n_train"), (F.col("ts") - F.col("trial")).alias("check_sum")
+    """Train rows of each of five folds."""
+    ids = trial_condition(spark, sf).withColumn("fold", F.col("trial") % 5)
+    return fold_train_rows(ids, "fold", 5).groupBy(F.col("model_fold").alias("held")).agg(
+        F.count(F.lit(1)).alias("n_train"), F.sum("trial").alias("check_sum")
     )
 
 

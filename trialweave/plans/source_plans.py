@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..operators.ordered import positions
 from ..session import scratch_path
 from ..sources.logs import (
     append_checked, discover_log, last_by_id, merge_new, next_ids, read_or_empty, read_sessions,
@@ -126,7 +127,7 @@ def multiplexed_samples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-PART = 1000  # trials per document: a long session is several documents
+PART = 1000  # rows per document, by place in the session: a long session is several documents
 
 
 def session_files(spark: SparkSession, sf: str) -> str:
@@ -140,11 +141,12 @@ def session_files(spark: SparkSession, sf: str) -> str:
         F.when(F.col("l_discount") > 0.02, F.col("l_tax") > 0.03).alias("correct"),
         F.col("l_partkey").cast("string").alias("audio_stim"),
     )
+    li = positions(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_extendedprice"])
     docs = (
         li.join(od, li.l_orderkey == od.o_orderkey)
         .groupBy(
             F.col("o_orderkey").cast("string").alias("session"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("started"),
-            F.floor(F.col("l_linenumber") / PART).alias("part"),
+            F.floor(F.col("pos") / PART).alias("part"),
         )
         .agg(F.sort_array(F.collect_list(row)).alias("trials"))
         .drop("part")
@@ -213,9 +215,9 @@ def log_discovery(spark: SparkSession, sf: str) -> DataFrame:
 )
 def game_record_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Long games are stored in parts of bounded size; places count on across the parts."""
-    li = table(spark, sf, "lineitem")
+    li = positions(table(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_returnflag", "l_extendedprice"])
     step = F.struct(F.col("l_linenumber").alias("tick"), F.col("l_returnflag").alias("action"), F.col("l_extendedprice").alias("ft"))
-    games = li.groupBy(F.col("l_orderkey").cast("string").alias("game"), F.floor(F.col("l_linenumber") / PART).alias("part")).agg(
+    games = li.groupBy(F.col("l_orderkey").cast("string").alias("game"), F.floor(F.col("pos") / PART).alias("part")).agg(
         F.sort_array(F.collect_list(step)).alias("s")
     )
     path = scratch_path(spark, "games")
