@@ -117,6 +117,17 @@ def cross_validated(rows: DataFrame, by: Sequence[str], fold: str, k: int, y: st
     return lda_scores(test_rows(rows, fold), models, keys, x)
 
 
+def match_discriminant(rows: DataFrame, fold: str, other_fold: str, k: int, own: str = "own", x: str = "x") -> DataFrame:
+    """Out-of-fold decision between a trial's own stimulus (``own`` 1) and others' (0).
+
+    ``rows`` are pairs of a signal and a stimulus with a vector of their correlations.  A pair trains
+    a fold's model only if neither its signal (``fold``) nor its stimulus (``other_fold``) is held out.
+    """
+    train = train_rows(rows, fold, k).where(F.col("model_fold") != F.col(other_fold)).drop(other_fold)
+    models = written(fit_lda(train, ["model_fold"], own, x, 0.0), "match-discriminants")
+    return lda_scores(test_rows(rows, fold).drop(other_fold), models, ["model_fold"], x)
+
+
 def class_covariances(stats: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
     """Sum of trial statistics per model and class."""
     return sum_vectors(stats, [*keys, y], "s")

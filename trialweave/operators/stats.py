@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.linalg import gram
+from ..functions.linalg import covariances, gram
 from ..session import written
 from .blocks import DEFAULT_WIDTH, map_blocks
 
@@ -318,6 +318,18 @@ def mismatch_stats(
     return _whole(_final_sum(part, ["i", "j"], blocks=True), ["i", "j"])
 
 
+def correlation_vector(stats: DataFrame, by: Sequence[str], p: int, q: int, out: str = "x") -> DataFrame:
+    """Correlation of each signal channel with each stimulus channel, from pooled statistics ``s``."""
+    types = "".join(f"{c} {stats.schema[c].dataType.simpleString()}, " for c in by)
+
+    def one(row):
+        _, _, _, cxx, cyy, cxy = covariances(np.asarray(row["s"]), p, q)
+        scale = np.sqrt(np.maximum(np.outer(np.diag(cxx), np.diag(cyy)), 1e-300))
+        yield (*[row[c] for c in by], (cxy / scale).ravel())
+
+    return map_rows(stats.select(*by, "s"), one, types + f"{out} array<double>")
+
+
 def total_stats(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sum_vectors(stats, by, "s")
 

@@ -183,7 +183,7 @@ def _mismatch(spark, sf, spec, st, p, q, m: int = 3):
     return cross.join(st.select(F.col("trial").alias("i"), "fold"), "i")
 
 
-@query("null_corrected_tracking", "M9 M33 J10")
+@query("null_corrected_tracking", "M9 J10")
 def null_corrected_tracking(spark: SparkSession, sf: str) -> DataFrame:
     """Matched score minus the mean score against other trials' stimuli."""
     spec = Spec("cca", x_lags=2, y_lags=4, keep_x=20, k=3, shrink=0.15, rcond=1e-6)

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.classify import cross_validated, fit_lda, lda_scores, probability, test_rows, train_rows
+from ..operators.classify import cross_validated, fit_lda, lda_scores, match_discriminant, probability, test_rows, train_rows
 from ..operators.models import Spec, component_rows, eigenspectrum, fit, grid_models, patterns, score, variates
 from ..operators.ranks import auc, cohens_d, safe_corr
 from ..operators.resample import mismatched_partners, stratified_kfold
 from ..operators.series import equal_windows, lengths, sign_fixed
-from ..operators.stats import lagged_stats, sum_vectors, total_stats, train_stats, trial_stats
+from ..operators.stats import correlation_vector, lagged_stats, mismatch_stats, sum_vectors, total_stats, train_stats, trial_stats
 from ..session import written
 from .adapters import COND, LONG, SIG, STIM, md5_sql, signal, stimulus, trial_condition
 from .model_plans import BLOCK, FOLD_SQL, FOLDS, _folds, _strat
@@ -84,7 +84,7 @@ GRID = (0.05, 0.5, 0.95)
 
 
 @query(
-    "roi_nested_selection", "M9 M10 M33 J10 J13 K4",
+    "roi_nested_selection", "M9 J10 J13 K4",
     f"""{J}, {MATES}, gr AS (SELECT * FROM (VALUES {', '.join(f'({i}, {g}::DOUBLE)' for i, g in enumerate(GRID))}) v(cell, shrink)),
     w AS ({solve_sql('k.fold, gr.cell', 'k JOIN j ON j.fold <> k.fold CROSS JOIN gr', 'any_value(gr.shrink)')}),
     m AS (SELECT cell, j.trial AS i, corr(wa * a + wb * b, s) AS r FROM j JOIN w ON w.fold = j.fold GROUP BY ALL),
@@ -93,8 +93,6 @@ GRID = (0.05, 0.5, 0.95)
     SELECT gr.cell, shrink, round(cv, 6) AS cv, gr.cell = (SELECT cell FROM c ORDER BY round(cv, 9) DESC, cell LIMIT 1) AS selected FROM c JOIN gr ON gr.cell = c.cell""",
 )
 def roi_nested_selection(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.stats import mismatch_stats
-
     sig, stim, _ = _roi(spark, sf)
     st = _stats(spark, sf)
     models = written(_positive(grid_models(train_stats(st, "fold"), ["fold"], 2, 1, SPEC, [2], GRID)), "grid-models")
@@ -380,3 +378,23 @@ def roi_feature_sets(spark: SparkSession, sf: str) -> DataFrame:
     rows = pw.select("trial", sets.alias("z")).select("trial", "z.features", "z.x").join(_strat(spark, sf), "trial")
     sc = cross_validated(written(rows, "features"), ["features"], "fold", 2, "y", "x")
     return auc(sc.withColumn("score", F.round("score", 9)), ["features"], "y", "score").select("features", F.round("auc", 5).alias("auc"))
+
+
+@query(
+    "roi_match_discriminant", "M33 J10",
+    f"""{J}, {MATES}, ap AS (SELECT i, j, 0 AS y FROM pr UNION ALL SELECT DISTINCT i, i, 1 FROM pr),
+    e AS (SELECT ap.i, ap.j, ap.y, any_value(j.fold) AS fold, any_value(o.fold) AS other, corr(j.a, z.s) AS a, corr(j.b, z.s) AS b FROM ap JOIN j ON j.trial = ap.i JOIN stim z ON z.trial = ap.j AND z.t = j.t JOIN fo o ON o.trial = ap.j GROUP BY ALL),
+    {lda_sql('fold', 'SELECT k.fold, e.y, e.a, e.b FROM k JOIN e ON e.fold <> k.fold AND e.other <> k.fold', False)}
+    SELECT e.i, e.j, e.y AS own, round({DEC}, 4) AS score FROM e JOIN ld ON ld.fold = e.fold""",
+)
+def roi_match_discriminant(spark: SparkSession, sf: str) -> DataFrame:
+    """Decision value of every trial with its own and three other stimuli, models without either trial's fold."""
+    sig, stim, _ = _roi(spark, sf)
+    folds = _folds(spark, sf)
+    pairs = mismatched_partners(sig.select("trial").distinct().withColumn("stim", F.col("trial")), "trial", "stim", 3)
+    same = pairs.select("i").distinct().withColumn("j", F.col("i"))
+    cross = mismatch_stats(sig, stim, written(pairs.select("i", "j").unionByName(same), "pairs"), [0], [0], width=BLOCK)
+    rows = correlation_vector(cross, ["i", "j"], 2, 1).withColumn("own", (F.col("i") == F.col("j")).cast("int"))
+    rows = rows.join(folds.select(F.col("trial").alias("i"), "fold"), "i").join(folds.select(F.col("trial").alias("j"), F.col("fold").alias("other")), "j")
+    sc = match_discriminant(written(rows, "match-rows"), "fold", "other", FOLDS)
+    return sc.select("i", "j", "own", F.round("score", 4).alias("score"))
