@@ -117,6 +117,39 @@ def cross_validated(rows: DataFrame, by: Sequence[str], fold: str, k: int, y: st
     return lda_scores(test_rows(rows, fold), models, keys, x)
 
 
+def leave_one_out_lda(rows: DataFrame, by: Sequence[str], group: str, y: str, x: str, out: str = "score") -> DataFrame:
+    """Decision value of each row under the discriminant of all rows outside its ``group``.
+
+    Counts, sums and products are added per group and class; a model is the total minus the
+    group's own part, so the cost grows with the rows and not with rows times groups.  A group
+    whose rest holds one class only gets no model, and its rows a null.
+    """
+    keys = [*by, group]
+    outer = F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: a * b)))
+    packed = rows.withColumn("_v", F.concat(F.array(F.lit(1.0)), F.col(x), outer))
+    own = written(sum_vectors(packed, [*keys, y], "_v"), "group-sums")
+    total = sum_vectors(own, [*by, y], "s").withColumnRenamed("s", "_t")
+    every = own.select(*keys).distinct()
+    grid = every.join(total, list(by)) if by else every.crossJoin(F.broadcast(total))
+    rest = grid.join(own, [*keys, y], "left").withColumn("s", F.when(F.col("s").isNull(), F.col("_t")).otherwise(F.zip_with("_t", "s", lambda a, b: a - b)))
+    pair = rest.where(F.col("s")[0] > 0.5).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(y, "s"))).alias("c"))
+    types = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keys)
+
+    def one(row):
+        sums = [np.asarray(c["s"]) for c in row["c"]]
+        if len(sums) < 2:
+            return
+        p = int((np.sqrt(4 * len(sums[0]) - 3) - 1) / 2 + 0.5)
+        n, m = [s[0] for s in sums], [s[1 : 1 + p] / s[0] for s in sums]
+        within = sum(s[1 + p :].reshape(p, p) - k * np.outer(c, c) for s, k, c in zip(sums, n, m)) / sum(n)
+        w = np.linalg.lstsq(within, m[1] - m[0], rcond=None)[0]
+        yield (*[row[c] for c in keys], w, float(-0.5 * (m[0] + m[1]) @ w + np.log(n[1] / n[0])))
+
+    models = map_rows(pair, one, types + "w array<double>, b double")
+    dot = F.aggregate(F.zip_with(x, "w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    return rows.join(models, keys, "left").withColumn(out, F.col("b") + dot).drop("w", "b")
+
+
 def match_discriminant(rows: DataFrame, fold: str, other_fold: str, k: int, own: str = "own", x: str = "x") -> DataFrame:
     """Out-of-fold decision between a trial's own stimulus (``own`` 1) and others' (0).
 

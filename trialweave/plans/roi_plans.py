@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.classify import cross_validated, fit_lda, lda_scores, match_discriminant, probability, test_rows, train_rows
+from ..operators.classify import cross_validated, fit_lda, lda_scores, leave_one_out_lda, match_discriminant, probability, test_rows, train_rows
 from ..operators.models import Spec, component_rows, eigenspectrum, fit, grid_models, patterns, score, variates
 from ..operators.ranks import auc, cohens_d, safe_corr
 from ..operators.resample import mismatched_partners, stratified_kfold
@@ -168,7 +168,7 @@ def roi_covariance_spectrum(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "roi_tracking_features", "M7 M35 M36 W13 A32",
+    "roi_tracking_features", "M7 M36 W13 A32",
     f"""{J}, {W}, u AS (SELECT j.trial, t, t * 6 // 50 AS w0, wa * a + wb * b AS u, s FROM j JOIN w ON w.fold = j.fold), wn AS (SELECT trial, win, corr(u, s) AS r FROM u JOIN range(6) q(win) ON t >= win * 50 // 6 AND t < (win + 1) * 50 // 6 GROUP BY ALL),
     f AS (SELECT trial, avg(r) FILTER (win < 3) AS early, avg(r) FILTER (win >= 3) AS late, regr_slope(r, win) AS slope, stddev_pop(r) AS spread FROM wn GROUP BY trial), g AS (SELECT trial, corr(u, s) AS mean_r FROM u GROUP BY trial)
     SELECT trial, round(mean_r, 6) AS mean_r, round(early, 6) AS early, round(late, 6) AS late, round(slope, 6) AS slope, round(spread, 6) AS spread FROM f JOIN g USING (trial)""",
@@ -398,3 +398,25 @@ def roi_match_discriminant(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.join(folds.select(F.col("trial").alias("i"), "fold"), "i").join(folds.select(F.col("trial").alias("j"), F.col("fold").alias("other")), "j")
     sc = match_discriminant(written(rows, "match-rows"), "fold", "other", FOLDS)
     return sc.select("i", "j", "own", F.round("score", 4).alias("score"))
+
+
+@query(
+    "roi_window_decoder", "M35 R2",
+    f"""WITH {LONG}, {ROI}, {STIM}, {COND}, e AS (SELECT roi.trial, size, t // size AS win, any_value(y) AS y, corr(a, s) AS a, corr(b, s) AS b FROM roi JOIN stim USING (trial, t) JOIN cond USING (trial) CROSS JOIN (VALUES (10), (16), (25)) v(size) GROUP BY roi.trial, size, t // size HAVING count(*) = size),
+    {lda_sql('size, held', 'SELECT e.size, g.held, e.y, e.a, e.b FROM (SELECT DISTINCT trial AS held FROM e) g JOIN e ON e.trial <> g.held', False)}
+    SELECT e.size, count(*) AS n_windows, count(*) FILTER (({DEC} > 0) = (e.y = 1)) AS n_right, round(avg({DEC}), 4) AS mean_score FROM e JOIN ld ON ld.size = e.size AND ld.held = e.trial GROUP BY e.size""",
+)
+def roi_window_decoder(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy over window lengths: correlations of a window, discriminants without the window's trial."""
+    _, _, both = _roi(spark, sf)
+    rows = both.withColumn("size", F.explode(F.array(*[F.lit(w) for w in (10, 16, 25)])))
+    rows = rows.groupBy("trial", "size", F.floor(F.col("t") / F.col("size")).alias("win")).agg(
+        F.count(F.lit(1)).alias("n"), *[safe_corr(F.col("x")[c], F.col("y")[0]).alias(f"r{c}") for c in (0, 1)]
+    )
+    rows = rows.where(F.col("n") == F.col("size")).select("trial", "size", "win", F.array("r0", "r1").alias("x"))
+    rows = written(rows.join(trial_condition(spark, sf), "trial"), "window-features")
+    sc = leave_one_out_lda(rows, ["size"], "trial", "y", "x").where("score is not null")
+    return sc.groupBy("size").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.count(F.when((F.col("score") > 0) == (F.col("y") == 1), 1)).alias("n_right"),
+        F.round(F.avg("score"), 4).alias("mean_score"),
+    )
