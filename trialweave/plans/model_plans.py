@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..operators.blocks import DEFAULT_WIDTH
 from ..operators.classify import (
     cross_validated, csp_filters, fit_lda, lda_scores, log_power, logistic_cv, probability, standardised,
     tangent_features, test_rows, train_rows,
@@ -25,7 +26,7 @@ from .signal_plans import _psd, window_features
 
 P = 64
 FOLDS = 4
-BLOCK = 64
+BLOCK = DEFAULT_WIDTH
 FOLD_SQL = f"fo AS (SELECT trial, CAST(ntile({FOLDS}) OVER (ORDER BY {md5_sql('fold', 'trial')}, trial) - 1 AS INTEGER) AS fold FROM (SELECT DISTINCT trial FROM sig))"
 
 

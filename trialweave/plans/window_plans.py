@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.hashing import md5_key, unit
+from ..operators.blocks import DEFAULT_WIDTH
 from ..operators.ordered import Run, ntile_of, ordered_scan, positions
 from ..operators.series import (
     average_reference, causal_lags, concatenated, counter_impulses, edge_ramp, equal_windows, first_peak,
@@ -16,7 +17,7 @@ from .adapters import EV, LONG, SIG, STIM, events, md5_sql, signal, signal_long,
 from .registry import query
 
 V0 = "v AS (SELECT trial, t, CAST(x[1] AS DOUBLE) AS v, CAST(x[2] AS DOUBLE) AS w FROM sig)"
-BLOCK = 16  # small on purpose: trials span several blocks, so halos are exercised
+BLOCK = DEFAULT_WIDTH
 
 
 @query(
