@@ -26,7 +26,7 @@ def _markers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str, delay: str = "1 hour") -> DataFrame:
-    """The events as four overlapping batches of markers, read one file at a time."""
+    """The events as overlapping batches of markers, read one file at a time."""
     return marker_stream(spark, write_marker_feed(_markers(spark, sf), scratch_path(spark, "live")), delay)
 
 

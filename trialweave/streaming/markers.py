@@ -186,7 +186,7 @@ def write_markers(markers: DataFrame, path: str) -> None:
     markers.write.option("timestampFormat", MICROS).json(path)
 
 
-def write_marker_feed(markers: DataFrame, path: str, slices: int = 4, jitter_s: int = 1500) -> str:
+def write_marker_feed(markers: DataFrame, path: str, slices: int = 2, jitter_s: int = 1500) -> str:
     """Marker files as several batches that overlap: each marker moves by up to ``jitter_s`` in the order
     of arrival, and every slice of arrival time is one folder with one file.  Returns the glob to read."""
     moved = F.unix_micros("ts") + (F.pmod(F.xxhash64("session", "payload"), F.lit(2 * jitter_s)) - jitter_s) * 1_000_000
