@@ -529,3 +529,15 @@ def test_language_families_and_edges(spark):
     one = train_language(train.filter("lang = 'cc'"))
     assert {r.p.lang for r in test.limit(3).select(identify_language(test, one).alias("p")).collect()} == {"cc"}
     assert test.limit(0).select(identify_language(test, model)).count() == 0
+
+
+def test_language_of_many_copies_keeps_its_distinct_texts(spark):
+    from trialweave.llm import language
+
+    few = spark.range(20_000).select(F.lit("aa").alias("lang"), F.concat(F.lit("torgul "), F.substring(F.lit("abcdefgh"), F.lit(1), (F.col("id") % 4 + 1).cast("int"))).alias("text"))
+    mixed = spark.range(20_000).select(F.lit("bb").alias("lang"), F.when(F.col("id") < 19_900, "éri ou").otherwise(F.concat(F.lit("éri "), F.col("id").cast("string"))).alias("text"))
+    small = spark.createDataFrame([("cc", f"шту {i}") for i in range(30)] + [(None, "x"), ("dd", "12")], "lang string, text string")
+    docs = few.unionByName(mixed).unionByName(small)
+    assert sorted(n for f in language.train_language(docs, 50).families for n in f) == ["aa", "bb", "cc"]
+    got = {r.lang: r["count"] for r in language.training_texts(docs, 50).groupBy("lang").count().collect()}
+    assert got == {"aa": 4, "bb": 50, "cc": 30}

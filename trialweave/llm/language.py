@@ -17,11 +17,13 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.session import written
 
+from .common import sized
+
 BITS, ORDERS = 13, 4
 WIDTH = 1 << BITS
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -114,18 +116,31 @@ class LanguageModel:
         return labels, scores
 
 
+def training_texts(docs: DataFrame, per_label: int = 600) -> DataFrame:
+    """``lang``, ``text``: of each non-null ``lang`` the ``per_label`` distinct texts with the smallest hashes
+    (all where there are fewer). Texts without a letter are left out; copies count once, whatever their number.
+
+    The first filter on the hash leaves about twice as many as needed, so that few rows are ranked.
+    """
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
+        "lang", "text", F.xxhash64("text", F.lit(9)).alias("_hash")
+    )
+    hashes = written(rows.select("lang", "_hash").distinct(), "language-hashes")
+    counts = hashes.groupBy("lang").agg(F.count("*").alias("_n"))
+    low = F.col("_hash") / F.lit(2.0**64) + 0.5 <= (2 * per_label + 200) / F.col("_n")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
+    chosen = hashes.join(sized(counts), "lang").filter(low).withColumn("_place", place).filter(F.col("_place") <= per_label)
+    chosen = written(chosen.select("lang", "_hash"), "language-chosen")
+    return rows.join(sized(chosen), ["lang", "_hash"]).select("lang", "text").distinct()
+
+
 def train_language(docs: DataFrame, per_label: int = 600) -> LanguageModel:
-    """Fit on ``text`` and non-null ``lang`` of at most about ``per_label`` documents of each label.
+    """Fit on ``text`` and non-null ``lang`` of at most ``per_label`` distinct texts of each label (``training_texts``).
 
-    The sample is chosen by a hash of the text; texts without a letter are left out, repeated rows count once.
     Only mean vectors and machines, whose size the number of labels bounds, reach the driver.
     """
     spark = docs.sparkSession
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    part = F.least(F.lit(1.0), per_label / F.col("_n")) * (1 << 20)
-    sample = rows.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 20)) < part)
-    sample = sample.select("lang", "text").distinct()
+    sample = training_texts(docs, per_label)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
