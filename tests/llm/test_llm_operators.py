@@ -461,6 +461,31 @@ def test_permutation_search_edges(spark):
     assert permutation_search(df.limit(0), asks).count() == 0
 
 
+def test_permutation_search_repeated_ids(spark):
+    from trialweave.llm.permutation_index import permutation_search
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(200)]
+    rows += [(7, [float(x) for x in 1.2 * np.asarray(rows[20][1]) + rng.normal(size=6) / 50]) for _ in range(30)]
+    df = spark.createDataFrame(rows * 3, "vec_id long, embedding array<double>").repartition(5)
+    for block_rows, limit in ((4096, 0.84), (40, 0.84), (4096, 1.0), (40, 1.0)):  # at 1.0 all rows are scored exactly
+        got = permutation_search(df, F.col("vec_id") % 20 == 0, block_rows=block_rows, limit=limit).toPandas()
+        assert (got.groupby("query_id").size() == 20).all() and not got.duplicated(["query_id", "vec_id"]).any()
+        assert (got.groupby("query_id")["rank"].max() == 20).all() and got.query_id.nunique() == 10
+        hits = 0
+        for query, group in got.groupby("query_id"):
+            best = {}
+            for i, v in rows:
+                if i != query:
+                    best[i] = max(best.get(i, -np.inf), float(np.dot(rows[query][1], v)))
+            want = sorted(best, key=lambda i: (-best[i], i))[:20]
+            hits += len(set(want) & set(group.vec_id))
+            if limit == 1:
+                group = group.sort_values("rank")
+                assert list(group.vec_id) == want and np.allclose(group.score, [best[i] for i in want])
+        assert hits >= 180
+
+
 # ---- 9 HTML ---------------------------------------------------------------------------------------
 
 
