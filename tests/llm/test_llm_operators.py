@@ -524,6 +524,32 @@ def test_main_text_by_host_consensus(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", [
+    '<div style="overflow: hidden">', '<div title="A hidden gem">', "<div aria-label='hidden'>", "<div data-x=' hidden '>",
+    '<div class="content no-sidebar">', '<div class="post has-comments">', '<div class="layout-sidebar-right">',
+    "<form action=/x>", '<div class="sidebar">', '<header class="page">', "<div id=post-with-header>",
+])
+def test_main_text_survives_its_wrapper(wrapper):
+    from trialweave.llm.html_text import main_text, page_blocks
+
+    prose = "".join(f"<p>Long prose of the story, part {i}, with enough words to be the page.</p>" for i in range(5))
+    tail = "<div class='comments'><p>Short reply</p></div><div class='cookie-banner'><p>Accept</p></div><p hidden>never shown</p>"
+    close = f"</{re.match('<([a-z]+)', wrapper)[1]}>"
+    want = [f"Long prose of the story, part {i}, with enough words to be the page." for i in range(5)]
+    for inside in (prose, f"<article>{prose}</article>", f"<main>{prose}</main>"):
+        got = main_text(page_blocks(f"<body><nav><a href=/>Home</a></nav>{wrapper}{inside}{tail}{close}<footer>Imprint</footer></body>"), None)
+        assert got.split("\n") == want
+
+
+def test_comments_longer_than_the_article_stay_out():
+    from trialweave.llm.html_text import main_text, page_blocks
+
+    comments = "".join(f"<li class=comment><article class=comment-body><p>Reader {i} says a lot about it.</p></article>" for i in range(40))
+    page = f"<main><article><p>The story itself, told in one paragraph that is long enough to be a tenth of all the prose here, and more than that.</p><aside><article>Teaser</article></aside></article></main><ol class=comments>{comments}</ol>"
+    assert main_text(page_blocks(page), None).startswith("The story itself") and "Reader" not in main_text(page_blocks(page), None)
+    assert "Teaser" not in main_text(page_blocks(page), None)
+
+
 # ---- 10 language ----------------------------------------------------------------------------------
 
 

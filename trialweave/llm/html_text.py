@@ -15,6 +15,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,9 +28,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SKIPPED = frozenset("head nav header footer aside form dialog button select option svg canvas object audio video math menu".split()) | RAW
+SKIPPED = frozenset("head button select option svg canvas object audio video math menu".split()) | RAW
+DOUBTFUL = frozenset("nav header footer aside form dialog".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 SKIPPED_CLASSES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie consent disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related replies respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+#: Class names and ids of more than one word that are skipped as well: a place and a word, or a word and a part.
+PLACES = "site page main top bottom left right global primary secondary post entry article blog user social cookie ad google".split()
+PARTS = "area bar block body box button buttons container content form inner item links list menu nav panel section slot unit widget wrap wrapper".split()
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 GOOD_CLASSES = frozenset("article content entry main post story body text".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -40,9 +45,19 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_READ = re.compile("class|id|role", re.IGNORECASE)
 _DIGITS = re.compile(r"\d+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+SKIPPED_NAMES = SKIPPED_CLASSES | {f"{p}-{w}" for p in PLACES for w in SKIPPED_CLASSES} | {
+    f"{w}-{p}" for w in SKIPPED_CLASSES for p in PARTS if w not in ("skip", "share")
+} | {"skip-link", "skip-links", "share-buttons", "share-links", "nav-links", "related-posts", "related-articles"}
+
+
+@lru_cache(maxsize=100_000)
+def unwanted_name(name: str) -> bool:
+    """Whether a whole class name or id, numbers at its end left out, is one of the skipped ones."""
+    return "-".join(w for w in _SPLIT.split(name) if w and not w.isdigit()) in SKIPPED_NAMES
 
 
 @dataclass
@@ -51,6 +66,19 @@ class Element:
     skipped: bool
     path: tuple[str, ...] = ()
     good: bool = False
+    doubt: int = -1
+
+
+@dataclass
+class Doubt:
+    """A container that a rule leaves out unless it turns out to hold the page: the doubtful one around it, whether
+    it stands in an article or main, its tag, prose of its own, and whether an article or main is in it."""
+
+    outer: int
+    within: bool
+    tag: str
+    prose: int = 0
+    article: bool = False
 
 
 @dataclass
@@ -60,11 +88,13 @@ class Block:
     text: str
     inside: list[tuple[tuple[str, ...], bool]]
     linked: int = 0
+    doubt: int = -1
 
 
 @dataclass
 class _Reader:
     stack: list[Element] = field(default_factory=list)
+    doubts: list[Doubt] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     links: int = 0
@@ -74,7 +104,8 @@ class _Reader:
         text = " ".join("".join(self.parts).split())
         if text and not (self.stack and self.stack[-1].skipped):
             inside = [(e.path, e.good) for e in self.stack if e.tag in CONTAINERS]
-            self.blocks.append(Block(text, inside, min(self.linked, len(text))))
+            doubt = self.stack[-1].doubt if self.stack else -1
+            self.blocks.append(Block(text, inside, min(self.linked, len(text)), doubt))
         self.parts, self.linked = [], 0
 
     def pop_to(self, at: int) -> None:
@@ -108,20 +139,30 @@ class _Reader:
         if tag in VOID:
             return
         values: dict[str, str] = {}
-        for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
+        for name, value in _ATTRIBUTE.findall(attributes) if _READ.search(attributes) or "hidden" in attributes.lower() else ():
             values.setdefault(name.lower(), html.unescape(value.strip("\"'")).lower())
+        names = [*values.get("class", "").split(), *values.get("id", "").split()]
         words = set(_SPLIT.split(values.get("class", ""))) | set(_SPLIT.split(values.get("id", "")))
         outer = self.stack[-1] if self.stack else Element("", False)
-        skipped = (
-            outer.skipped or tag in SKIPPED or bool(words & SKIPPED_CLASSES and tag not in ("body", "html"))
-            or values.get("role") in SKIPPED_ROLES or "hidden" in values or values.get("aria-hidden") == "true"
-        )
+        skipped = outer.skipped or tag in SKIPPED or "hidden" in values
+        doubtful = tag in DOUBTFUL or values.get("role") in SKIPPED_ROLES or values.get("aria-hidden") == "true"
+        unwanted = any(map(unwanted_name, names))
+        main = tag in ("article", "main")
+        doubtful = doubtful or unwanted and not main and tag not in ("body", "html")
+        doubt = outer.doubt
         if skipped and not outer.skipped:
             self.flush()
+        elif doubtful and not skipped:
+            self.flush()
+            kind = "nav" if values.get("role") == "navigation" else tag
+            self.doubts.append(Doubt(doubt, any(e.tag in ("article", "main") for e in self.stack), kind))
+            doubt = len(self.doubts) - 1
+        elif main and doubt >= 0 and not skipped and not unwanted:
+            self.doubts[doubt].article = True
         classes = sorted({_DIGITS.sub("#", c) for c in values.get("class", "").split()})
         path = (*outer.path, ".".join([tag, *classes])) if tag not in INLINE else outer.path
         good = tag in ("article", "main") or values.get("role") in ("main", "article") or bool(words & GOOD_CLASSES)
-        self.stack.append(Element(tag, skipped, path, good))
+        self.stack.append(Element(tag, skipped, path, good, doubt))
         self.links += tag == "a"
 
     def end(self, tag: str) -> None:
@@ -163,7 +204,36 @@ def page_blocks(source: str | None) -> list[Block]:
         elif found[0].startswith("<![CDATA["):
             reader.text(found[0][9:].removesuffix("]]>").replace("&", "&amp;"))
     reader.flush()
-    return reader.blocks
+    return without_doubtful(reader.blocks, reader.doubts)
+
+
+def without_doubtful(blocks: list[Block], doubts: list[Doubt]) -> list[Block]:
+    """The blocks outside of doubtful containers, and those in one that holds an article or main (not being part
+    of one itself) or, navigation aside, more than half of the page's prose, links left out. What a doubtful
+    container has is counted from the inside out. Where an article or main outside has a tenth of the prose, only
+    forms come back: long comments below an article do not become the page's text."""
+    if not doubts:
+        return blocks
+    total = articles = 0
+    for block in blocks:
+        prose = len(block.text) - block.linked
+        total += prose
+        if block.doubt >= 0:
+            doubts[block.doubt].prose += prose
+        elif any(p and p[-1].split(".")[0] in ("article", "main") for p, _ in block.inside):
+            articles += prose
+    kept = [False] * len(doubts)
+    for at in range(len(doubts) - 1, -1, -1):
+        d = doubts[at]
+        most = 2 * d.prose > total and d.tag != "nav"
+        free = d.within or d.tag == "form" or 10 * articles < total
+        kept[at] = d.prose > 0 and free and (most or d.article and not d.within)
+        if kept[at] and d.outer >= 0:
+            doubts[d.outer].prose += d.prose
+            doubts[d.outer].article |= d.article
+    for at, d in enumerate(doubts):  # outer ones come first
+        kept[at] = kept[at] and (d.outer < 0 or kept[d.outer])
+    return [b for b in blocks if b.doubt < 0 or kept[b.doubt]]
 
 
 def container_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
