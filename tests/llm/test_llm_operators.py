@@ -403,6 +403,18 @@ def test_ngram_join_against_brute_force(spark, block_rows):
     assert ngram_jaccard_join(docs.limit(0)).count() == 0 and keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_without_words_and_under_one_id(spark):
+    from trialweave.llm.ngram_join import keep_one_of_each
+
+    long = "one two three four five six seven eight nine ten " * 4
+    rows = [(5, "!!! ???"), (3, "!!! ???"), (9, "!!! ???"), (4, "..."), (6, ""), (7, None), (7, None), (8, ""), (3, "...")]
+    rows += [(1, long + "a"), (1, long + "b"), (2, long + "a"), (None, "- -"), (None, "- -"), (11, "lone words")]
+    got = rows_of(keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = sorted(((r["doc_id"], r["text"]) if isinstance(r, dict) else tuple(r) for r in got), key=str)
+    first = min((long + "a", long + "b"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert got == sorted([(3, "!!! ???"), (3, "..."), (6, ""), (7, None), (8, ""), (1, first), (None, "- -"), (11, "lone words")], key=str)
+
+
 def test_posterior_bound():
     from trialweave.llm.ngram_join import least_matches
 

@@ -271,14 +271,25 @@ def ngram_jaccard_join(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents (all columns) with the smallest ``doc_id`` of each group; of repeated rows one stays."""
+    """The documents (all columns) with the smallest ``doc_id`` of each group; of repeated rows one stays.
+
+    Of different texts of a group under that ``doc_id`` the one with the smallest md5 stays. Equal non-empty texts
+    without a word are a group of their own; empty and null texts all stay, each ``doc_id`` once.
+    """
     columns = docs.columns
     key = F.md5(F.coalesce("text", F.lit("")))
-    found = ngram_links(docs, **options)
-    repeated = docs.groupBy(F.col("doc_id").alias("_id"), key.alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1")
-    kept = docs.withColumn("_cls", key).join(found.select(
+    found = ngram_links(docs, **options).select(
         F.col("cls").alias("_cls"), F.col("class_id").alias("_class"), F.col("n_grams_known").alias("_known")
-    ), "_cls").filter("not _known or doc_id <=> _class")
+    )
+    ids = docs.select(F.col("doc_id").alias("_id"), key.alias("_key"))
+    repeated = ids.groupBy("_id", "_key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    firsts = ids.groupBy("_key").agg(F.min("_id").alias("_first"))
+    one = found.join(firsts, found["_cls"] == firsts["_key"]).drop("_key")
+    empty = F.col("_cls") == F.md5(F.lit(""))
+    worded = one.filter(F.col("_known") & F.col("_first").eqNullSafe(F.col("_class")))
+    worded = worded.groupBy("_class").agg(F.min("_cls").alias("_cls")).select("_cls", F.col("_class").alias("_first"), F.lit(False).alias("_all"))
+    others = one.filter(~F.col("_known")).select("_cls", "_first", empty.alias("_all"))
+    kept = docs.withColumn("_cls", key).join(worded.unionByName(others), "_cls").filter("_all or doc_id <=> _first")
     kept = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["_id"]) & (kept["_cls"] == repeated["_key"]), "left")
     once = kept.filter("_n is null")
     return once.select(columns).unionByName(kept.filter("_n > 1").dropDuplicates(["doc_id", "_cls"]).select(columns))
