@@ -16,7 +16,7 @@ def same(x):
     return None if x is None or x != x else str(x)
 
 
-@pytest.mark.parametrize("name", ["op3_chat_formatting", "op4_warc", "op6_benchmark_decontamination", "op7_ngram_jaccard_join"])
+@pytest.mark.parametrize("name", ["op3_chat_formatting", "op4_warc", "op6_benchmark_decontamination", "op7_ngram_jaccard_join", "op11_url_filter", "op13_source_divergence"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from trialweave.llm.queries import ORACLE_SQL, QUERIES
@@ -36,7 +36,7 @@ def test_entry_registers_one_query_for_each_operator():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_pipeline_stages(spark):

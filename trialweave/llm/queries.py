@@ -189,3 +189,73 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+_URL_RULES = """VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')"""
+
+
+@query("op11_url_filter", rf"""
+WITH rules(verdict, host, path) AS ({_URL_RULES}
+), rest AS (
+  SELECT row_number() OVER () AS r, page_id,
+         CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), fitting AS (
+  SELECT r, rules.verdict, rules.host || rules.path AS rule, row_number() OVER (
+           PARTITION BY r ORDER BY length(rules.host) + length(rules.path) DESC, length(rules.host) DESC, rules.verdict DESC) AS k
+  FROM split JOIN rules ON (split.host = rules.host OR ends_with(split.host, '.' || rules.host)) AND starts_with(split.path, rules.path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN fitting ON split.r = fitting.r AND k = 1
+""")
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    rules = spark.sql(f"SELECT * FROM ({_URL_RULES}) AS rules(verdict, host, path)")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_source_divergence", r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), each AS (SELECT r, lang, source, unnest(w) AS term FROM docs
+), kept AS (SELECT lang, term, count(*) AS total FROM each GROUP BY ALL HAVING count(DISTINCT r) >= 10
+), langs AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang
+), groups AS (SELECT DISTINCT lang, source FROM docs
+), cells AS (SELECT lang, source, term, count(*) AS n FROM each JOIN kept USING (lang, term) GROUP BY ALL
+), filled AS (
+  SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS (
+  SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (total + 2) // (lang_n + 2 * v) AS q
+  FROM filled JOIN langs USING (lang)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+), parts AS (
+  SELECT * FROM pairs UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM shares WHERE n > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 10
+""")
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
