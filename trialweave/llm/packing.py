@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import binascii
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_BLANKS = re.compile(r"\s{64,}")
 DIMENSIONS, GRID_BITS, HASH_BITS = 3, 16, 10
 PIECE_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
@@ -96,10 +98,13 @@ class TextTokens:
     """Ids of a text as the tokenizer file gives them, without special tokens added.
 
     A byte-level vocabulary whose merges make ids in rising order is the same thing as a list of ranks, for
-    which ``tiktoken`` gives the same ids several times faster. It is used where the file is of that kind and
-    the text holds no special token's string; otherwise ``tokenizers`` takes the whole text.
+    which ``tiktoken`` gives the same ids several times faster. It is used where the file is of that kind, the
+    text holds no special token's string and no white space of ``LONG_BLANK`` characters on end, on which its
+    pattern matcher runs out of stack (at some 600,000); otherwise ``tokenizers`` takes the whole text.
     """
 
+    LONG_BLANK = 100_000
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -128,10 +133,13 @@ class TextTokens:
         return tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or self.has_long_blank(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
         return np.array(self.fast.encode_ordinary(text), np.int32)
 
+    def has_long_blank(self, text: str) -> bool:
+        return len(text) >= self.LONG_BLANK and any(len(b[0]) >= self.LONG_BLANK for b in _BLANKS.finditer(text))
+
 
 def _byte_letters() -> dict[str, int]:
     """The letter that a byte-level vocabulary writes for each byte: printable bytes stand for themselves, the
