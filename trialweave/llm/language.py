@@ -32,7 +32,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 def letter_grams(text: str | None) -> np.ndarray | None:
     """The unit vector of a whole text's n-grams; None where there is no letter."""
     letters = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not letters:
+    if not any(map(str.isalpha, letters)):  # Unicode category L
         return None
     codes = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
     counts = np.zeros(WIDTH, np.float32)
