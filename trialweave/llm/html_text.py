@@ -1,8 +1,9 @@
 """Main text of web pages by consensus paths of their host.
 
-Each page is split into blocks of text, each with the chain of containers it stands in. A container is
+Each page is split into blocks of text, each with the innermost container it stands in. A container is
 known by its generalised path: tags with their classes, digits replaced, so that pages of one template
-share paths. Every page scores its containers (share of the page's prose inside, links counted against
+share paths; paths are kept as hashes with their depth, and what a container holds is summed from the inside
+out, so a page costs time in proportion to its length however deep it is nested. Every page scores its containers (share of the page's prose inside, links counted against
 it, article-like tags and classes preferred); Spark adds the scores up by host and path, and the path
 with the highest sum is the host's choice. Pages are then extracted again inside the chosen path. A page
 without it, and pages without a host, use their own best container.
@@ -13,22 +14,29 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.session import written
+
 from .common import sized
 
 # Kinds of HTML elements and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
+MATH = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts semantics annotation annotation-xml".split())
+#: Parts that are left out but may stand in a line of text, so that the text around them stays one block.
+EMBEDDED = frozenset("svg canvas object audio video annotation annotation-xml script style template".split())
+INLINE |= MATH | EMBEDDED
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SKIPPED = frozenset("head button select option svg canvas object audio video math menu".split()) | RAW
+SKIPPED = frozenset("head button select option menu".split()) | RAW | EMBEDDED
 DOUBTFUL = frozenset("nav header footer aside form dialog".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 SKIPPED_CLASSES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie consent disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related replies respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
@@ -39,6 +47,7 @@ SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 GOOD_CLASSES = frozenset("article content entry main post story body text".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BARRIERS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
+P_BARRIERS = CONTAINERS | {"td", "th", "button"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -60,13 +69,27 @@ def unwanted_name(name: str) -> bool:
     return "-".join(w for w in _SPLIT.split(name) if w and not w.isdigit()) in SKIPPED_NAMES
 
 
+@dataclass
+class Container:
+    """A container element: the one around it (-1: none), its path and depth, whether its names are article-like,
+    and whether it is or stands in an article or main."""
+
+    outer: int
+    path: int
+    depth: int
+    good: bool
+    within: bool
+
+
 @dataclass
 class Element:
     tag: str
     skipped: bool
-    path: tuple[str, ...] = ()
-    good: bool = False
+    path: int = 0
+    depth: int = 0
     doubt: int = -1
+    container: int = -1
+    within: bool = False
 
 
 @dataclass
@@ -83,54 +106,74 @@ class Doubt:
 
 @dataclass
 class Block:
-    """A block of prose and the containers around it, outermost first: (path, article-like)."""
+    """A block of prose and the innermost container around it (-1: none)."""
 
     text: str
-    inside: list[tuple[tuple[str, ...], bool]]
+    container: int
     linked: int = 0
     doubt: int = -1
 
 
+@dataclass
+class Page:
+    """The prose of a page: blocks in order, and its containers, outer ones first."""
+
+    blocks: list[Block]
+    containers: list[Container]
+
+
 @dataclass
 class _Reader:
     stack: list[Element] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))  # of each open tag in the stack
+    breaks: list[int] = field(default_factory=list)  # places of tags that are not inline
+    containers: list[Container] = field(default_factory=list)
     doubts: list[Doubt] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
-    links: int = 0
     linked: int = 0
+    embedded: int = 0  # parts of the same kind open inside the embedded part at the top
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
-        if text and not (self.stack and self.stack[-1].skipped):
-            inside = [(e.path, e.good) for e in self.stack if e.tag in CONTAINERS]
-            doubt = self.stack[-1].doubt if self.stack else -1
-            self.blocks.append(Block(text, inside, min(self.linked, len(text)), doubt))
+        if text:
+            top = self.stack[-1] if self.stack else Element("", False)
+            self.blocks.append(Block(text, top.container, min(self.linked, len(text)), top.doubt))
         self.parts, self.linked = [], 0
 
+    def in_embedded(self) -> bool:
+        return bool(self.stack) and self.stack[-1].skipped and self.stack[-1].tag in EMBEDDED
+
+    def push(self, element: Element) -> None:
+        self.places[element.tag].append(len(self.stack))
+        if element.tag not in INLINE:
+            self.breaks.append(len(self.stack))
+        self.stack.append(element)
+
     def pop_to(self, at: int) -> None:
-        gone = self.stack[at:]
-        if any(e.tag not in INLINE or e.skipped for e in gone):
+        if any(e.tag not in INLINE for e in self.stack[at:]):
             self.flush()
-        self.links -= sum(e.tag == "a" for e in gone)
-        del self.stack[at:]
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.breaks.pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open one of ``tags``; -1 where none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
 
     def implied_ends(self, tag: str) -> None:
-        if tag in CLOSES_P:
-            for at in range(len(self.stack) - 1, -1, -1):
-                if self.stack[at].tag == "p":
-                    self.pop_to(at)
-                    return
-                if self.stack[at].tag in CONTAINERS or self.stack[at].tag in ("td", "th", "button"):
-                    return
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at].tag in BARRIERS.get(tag, ()):
-                return
-            if self.stack[at].tag in SAME_CLOSES.get(tag, ()):
+        closed = ("p",) if tag in CLOSES_P else SAME_CLOSES.get(tag)
+        if closed:
+            at = self.last(closed)
+            if at > self.last(P_BARRIERS if tag in CLOSES_P else BARRIERS[tag]):
                 self.pop_to(at)
-                return
 
     def start(self, tag: str, attributes: str) -> None:
+        if self.in_embedded():
+            self.embedded += tag == self.stack[-1].tag and tag not in VOID and not attributes.endswith("/")
+            return
         self.implied_ends(tag)
         if tag not in INLINE:
             self.flush()
@@ -150,39 +193,57 @@ class _Reader:
         main = tag in ("article", "main")
         doubtful = doubtful or unwanted and not main and tag not in ("body", "html")
         doubt = outer.doubt
-        if skipped and not outer.skipped:
-            self.flush()
-        elif doubtful and not skipped:
+        if doubtful and not skipped:
             self.flush()
             kind = "nav" if values.get("role") == "navigation" else tag
-            self.doubts.append(Doubt(doubt, any(e.tag in ("article", "main") for e in self.stack), kind))
+            self.doubts.append(Doubt(doubt, outer.within, kind))
             doubt = len(self.doubts) - 1
         elif main and doubt >= 0 and not skipped and not unwanted:
             self.doubts[doubt].article = True
-        classes = sorted({_DIGITS.sub("#", c) for c in values.get("class", "").split()})
-        path = (*outer.path, ".".join([tag, *classes])) if tag not in INLINE else outer.path
-        good = tag in ("article", "main") or values.get("role") in ("main", "article") or bool(words & GOOD_CLASSES)
-        self.stack.append(Element(tag, skipped, path, good, doubt))
-        self.links += tag == "a"
+        element = Element(tag, skipped, outer.path, outer.depth, doubt, outer.container, outer.within or main)
+        if tag not in INLINE:
+            classes = sorted({_DIGITS.sub("#", c) for c in values.get("class", "").split()})
+            element.path, element.depth = path_below(outer.path, ".".join([tag, *classes])), outer.depth + 1
+            if tag in CONTAINERS:
+                good = main or values.get("role") in ("main", "article") or bool(words & GOOD_CLASSES)
+                self.containers.append(Container(outer.container, element.path, element.depth, good, element.within))
+                element.container = len(self.containers) - 1
+        self.push(element)
 
     def end(self, tag: str) -> None:
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at].tag == tag:
-                self.pop_to(at)
+        if self.in_embedded():
+            if tag != self.stack[-1].tag:
                 return
-            if tag in INLINE and self.stack[at].tag not in INLINE:
+            if self.embedded:
+                self.embedded -= 1
                 return
+        at = self.last((tag,))
+        if at >= 0 and not (tag in INLINE and self.breaks and self.breaks[-1] > at):
+            self.pop_to(at)
 
     def text(self, piece: str) -> None:
+        if self.stack and self.stack[-1].skipped:
+            return
         piece = html.unescape(piece)
         self.parts.append(piece)
-        if self.links:
+        if self.places.get("a"):
             self.linked += len(piece.strip())
 
 
-def page_blocks(source: str | None) -> list[Block]:
+@lru_cache(maxsize=64)
+def _close(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.IGNORECASE)
+
+
+def path_below(outer: int, step: str) -> int:
+    """The path that one more step leads to."""
+    return xxhash.xxh64_intdigest(step.encode("utf-8", "surrogatepass"), outer) >> 1
+
+
+def page_blocks(source: str | None) -> Page:
     """The prose blocks of a page in order; parts that are never main text are left out."""
     reader, at, source = _Reader(), 0, source or ""
+    unclosed: set[str] = set()
     while at < len(source):
         found = _TOKEN.match(source, at)
         at = found.end()
@@ -193,21 +254,26 @@ def page_blocks(source: str | None) -> list[Block]:
                 reader.end(tag)
                 continue
             attributes = found[3] if found[2] else found[6]
+            if tag in EMBEDDED and tag not in RAW and not reader.in_embedded():
+                if tag not in unclosed and not _close(tag).search(source, at):
+                    unclosed.add(tag)
+                if tag in unclosed:  # it would hide the rest of the page
+                    continue
             reader.start(tag, attributes)
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(source, at)
+                close = _close(tag).search(source, at)
                 at = close.start() if close else len(source)
-            elif attributes.endswith("/") and tag in ("svg", "path", "use"):
+            elif attributes.endswith("/") and tag in ("svg", "math"):
                 reader.end(tag)
         elif not found[0].startswith("<") or found[0] == "<":
             reader.text(found[0])
         elif found[0].startswith("<![CDATA["):
             reader.text(found[0][9:].removesuffix("]]>").replace("&", "&amp;"))
     reader.flush()
-    return without_doubtful(reader.blocks, reader.doubts)
+    return Page(without_doubtful(reader.blocks, reader.containers, reader.doubts), reader.containers)
 
 
-def without_doubtful(blocks: list[Block], doubts: list[Doubt]) -> list[Block]:
+def without_doubtful(blocks: list[Block], containers: list[Container], doubts: list[Doubt]) -> list[Block]:
     """The blocks outside of doubtful containers, and those in one that holds an article or main (not being part
     of one itself) or, navigation aside, more than half of the page's prose, links left out. What a doubtful
     container has is counted from the inside out. Where an article or main outside has a tenth of the prose, only
@@ -220,7 +286,7 @@ def without_doubtful(blocks: list[Block], doubts: list[Doubt]) -> list[Block]:
         total += prose
         if block.doubt >= 0:
             doubts[block.doubt].prose += prose
-        elif any(p and p[-1].split(".")[0] in ("article", "main") for p, _ in block.inside):
+        elif block.container >= 0 and containers[block.container].within:
             articles += prose
     kept = [False] * len(doubts)
     for at in range(len(doubts) - 1, -1, -1):
@@ -236,28 +302,49 @@ def without_doubtful(blocks: list[Block], doubts: list[Doubt]) -> list[Block]:
     return [b for b in blocks if b.doubt < 0 or kept[b.doubt]]
 
 
-def container_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
-    """Score of each container path: its share of the prose, links counted against it, times a preference."""
-    total = sum(len(b.text) for b in blocks) or 1
-    held: dict[tuple[str, ...], float] = defaultdict(float)
-    liked: dict[tuple[str, ...], bool] = {}
-    for block in blocks:
-        for path, good in dict(block.inside).items():
-            held[path] += (len(block.text) - 2 * block.linked) / total
-            liked[path] = liked.get(path, False) or good
-    return {p: s * (1.3 if liked[p] else 0.9 if len(p) < 3 else 1.0) for p, s in held.items()}
-
-
-def best_path(scores: dict[tuple[str, ...], float]) -> tuple[str, ...] | None:
-    return max(scores, key=lambda p: (round(scores[p], 9), len(p), p), default=None)
-
-
-def main_text(blocks: list[Block], path: tuple[str, ...] | None) -> str:
+def container_scores(page: Page) -> dict[tuple[int, int], float]:
+    """Score of each container path (depth and path): its share of the prose, links counted against it, times a
+    preference."""
+    total = sum(len(b.text) for b in page.blocks) or 1
+    held, any_block = [0.0] * len(page.containers), [False] * len(page.containers)
+    for block in page.blocks:
+        if block.container >= 0:
+            held[block.container] += (len(block.text) - 2 * block.linked) / total
+            any_block[block.container] = True
+    sums: dict[tuple[int, int], float] = defaultdict(float)
+    liked: set[tuple[int, int]] = set()
+    for at in range(len(page.containers) - 1, -1, -1):  # inner ones first
+        c = page.containers[at]
+        if not any_block[at]:
+            continue
+        sums[c.depth, c.path] += held[at]
+        if c.good:
+            liked.add((c.depth, c.path))
+        if c.outer >= 0:
+            held[c.outer] += held[at]
+            any_block[c.outer] = True
+    return {p: s * (1.3 if p in liked else 0.9 if p[0] < 3 else 1.0) for p, s in sums.items()}
+
+
+def best_path(scores: dict[tuple[int, int], float]) -> int | None:
+    best = max(scores, key=lambda p: (round(scores[p], 9), p), default=None)
+    return best and best[1]
+
+
+def blocks_inside(page: Page, path: int | None) -> list[Block]:
+    """The blocks in a container of the path or in one inside of it."""
+    inside: list[bool] = []
+    for c in page.containers:
+        inside.append(c.path == path or c.outer >= 0 and inside[c.outer])
+    return [b for b in page.blocks if b.container >= 0 and inside[b.container]]
+
+
+def main_text(page: Page, path: int | None) -> str:
     """The blocks inside ``path``; where no block is, those inside the page's own best container."""
-    inside = [b for b in blocks if any(p == path for p, _ in b.inside)] if path else []
+    inside = blocks_inside(page, path) if path is not None else []
     if not inside:
-        own = best_path(container_scores(blocks))
-        inside = [b for b in blocks if own is None or any(p == own for p, _ in b.inside)]
+        own = best_path(container_scores(page))
+        inside = page.blocks if own is None else blocks_inside(page, own)
     return "\n".join(b.text for b in inside)
 
 
@@ -267,43 +354,46 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host``, ``path`` (joined by blanks): the container path with the highest sum of scores."""
+    """``host``, ``path``: the container path with the highest sum of scores, of equal ones the deepest."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
-                sums: dict[tuple[str, str], float] = defaultdict(float)
+                sums: dict[tuple[str, int, int], float] = defaultdict(float)
                 part = batch.iloc[at : at + 500]
                 for host, source in zip(part.host, part.html, strict=True):
-                    for path, score in container_scores(page_blocks(source)).items():
-                        sums[host, " ".join(path)] += score
-                yield pd.DataFrame({"host": [h for h, _ in sums], "path": [p for _, p in sums], "score": list(sums.values())})
+                    for (depth, path), score in container_scores(page_blocks(source)).items():
+                        sums[host, depth, path] += score
+                rows = pd.DataFrame(list(sums), columns=["host", "depth", "path"])
+                yield rows.assign(score=list(sums.values()))
 
     votes = pages.select(host_of(F.col("url")).alias("host"), "html").filter("host != ''")
-    sums = votes.mapInPandas(vote, "host string, path string, score double").groupBy("host", "path").agg(
+    sums = votes.mapInPandas(vote, "host string, depth int, path long, score double").groupBy("host", "depth", "path").agg(
         F.round(F.sum("score"), 6).alias("score")
     )
-    best = F.max(F.struct("score", F.size(F.split("path", " ")).alias("depth"), "path"))
-    return sums.groupBy("host").agg(best.alias("b")).select("host", "b.path")
+    return sums.groupBy("host").agg(F.max(F.struct("score", "depth", "path")).alias("b")).select("host", "b.path")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` for each page row.
 
     Null and empty html gives an empty text; a page without any container gives all its prose. Pages whose
-    url is null or has no host choose for themselves. Repeated rows vote as often as they occur.
+    url is null or has no host choose for themselves. Repeated rows vote as often as they occur. Other columns of
+    ``pages`` are ignored.
     """
 
     @F.pandas_udf("string")
     def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for sources, paths in batches:
             yield pd.Series(
-                [main_text(page_blocks(s), tuple(p.split(" ")) if p else None) for s, p in zip(sources, paths, strict=True)],
+                [main_text(page_blocks(s), None if p is None else int(p)) for s, p in zip(sources, paths, strict=True)],
                 dtype=object,
             )
 
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    found = rows.join(sized(host_paths(pages)), "host", "left")
+    # a path goes as text: in a column of numbers with nulls it would lose digits
+    paths = written(host_paths(pages).select("host", F.col("path").cast("string").alias("path")), "host-paths")
+    found = rows.join(sized(paths), "host", "left")
     return found.select("page_id", "url", extract("html", "path").alias("text")).withColumn(
         "n_chars", F.length("text").cast("long")
     )
