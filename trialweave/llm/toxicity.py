@@ -8,10 +8,12 @@ together raise the score although neither does alone. The sum over all pairs is
 
 Training minimises the log loss. First weights alone are fitted by proximal steps; the penalty of a term
 grows with the square root of its document count, at the level that the largest of that many pure-noise
-gradients reaches, so that weights of terms that carry no signal become exactly zero. The terms that stay
-then get factors, and both are fitted with a twentieth of the penalty, which takes the shrinkage away. The
-model is small, and a long text gains no noise from its thousands of ordinary words. A pair neither of
-whose terms says anything alone is not found.
+gradients reaches, so that weights of terms that carry no signal become exactly zero. Factors are looked for among
+all terms: near zero, the loss falls fastest along the leading eigenvectors of the terms' co-occurrences weighted
+by what the weights leave unexplained (``pair_directions``; two sparse products a step, pairs are never listed).
+A direction stays if it stands out from those of shuffled errors, and in it the terms that stand out. These terms
+and those with a weight are then fitted together with a twentieth of the penalty, which takes the shrinkage
+away. The model is small, and a long text gains no noise from its thousands of ordinary words.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 from trialweave.session import written
 
+from .common import free_names
+
 BUCKETS = 1 << 24
 STEMS = (4, 5, 6, 7)
 
@@ -96,6 +100,59 @@ def _descend(
     return bias, w, v
 
 
+def pair_directions(
+    doc: np.ndarray, column: np.ndarray, count: np.ndarray, error: np.ndarray, rank: int, steps: int = 5
+) -> np.ndarray:
+    """Start values of factors, a row for each term, zero for terms and directions within the noise.
+
+    They are the leading eigenvectors of the matrix with entries "sum of ``error`` over the documents that hold
+    both terms" (none on the diagonal, and without the terms' means, which carry what single terms say), scaled
+    down by the terms' counts, from ``steps`` blocks of Krylov vectors.
+    A direction counts if its eigenvalue is 1.3 times the largest one with the errors shuffled over the
+    documents, a term if its share passes what the largest of so many random shares reaches.
+    """
+    p, n = len(count), len(error)
+    out = np.zeros((p, rank))
+    if p < 2 or not rank:
+        return out
+    rng, scale, mean = np.random.default_rng(11), 1 / np.sqrt(count + 0.05 * n), count / n
+
+    def leading(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.bincount(column, weight[doc], p) * (1 - 2 * mean) + mean**2 * weight.sum()
+
+        def times(v: np.ndarray) -> np.ndarray:
+            v = scale * v
+            met = (np.bincount(doc, v[column], n) - mean @ v) * weight
+            return scale * (np.bincount(column, met[doc], p) - mean * met.sum() - own * v)
+
+        basis = np.linalg.qr(rng.normal(size=(p, min(rank + 2, p))))[0]
+        last, images = basis, []
+        while True:
+            images.append(np.stack([times(v) for v in last.T], axis=1))
+            if len(images) == steps:
+                break
+            rest = images[-1]
+            for _ in range(2):
+                rest = rest - basis @ (basis.T @ rest)
+            last, sizes = np.linalg.qr(rest)
+            last = last[:, np.abs(np.diag(sizes)) > 1e-9]
+            if not last.shape[1] or basis.shape[1] + last.shape[1] > p:
+                break
+            basis = np.hstack([basis, last])
+        small = basis.T @ np.hstack(images)
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        return values[::-1], basis @ vectors[:, ::-1]
+
+    values, vectors = leading(error)
+    noise = leading(rng.permutation(error))[0][0]
+    least = np.sqrt(2 * np.log(p) / p)
+    for i in range(min(rank, len(values))):
+        if values[i] > 1.3 * noise:
+            found = np.where(np.abs(vectors[:, i]) > least, scale * vectors[:, i], 0)
+            out[:, i] = 0.5 * found / max(np.abs(found).max(), 1e-12)
+    return out
+
+
 def fit_machine(terms: list[np.ndarray], labels: np.ndarray, rank: int = 4, least_docs: int = 3) -> Machine:
     """Fit on bucket sets and 0/1 labels. One class only, or no row: the bias is all there is."""
     share = float(labels.mean()) if len(labels) else 0.0
@@ -108,27 +165,33 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, rank: int = 4, leas
     buckets, column, count = np.unique(flat, return_inverse=True, return_counts=True)
     column = column.astype(np.int32)
 
-    def only(keep: np.ndarray):
+    def only(keep: np.ndarray, doc: np.ndarray, column: np.ndarray):
         """The problem with the kept terms alone."""
         spot = (np.cumsum(keep) - 1).astype(np.int32)
         rows = keep[column]
-        return doc[rows], spot[column[rows]], buckets[keep].astype(np.int64), count[keep]
+        return doc[rows], spot[column[rows]]
 
-    doc, column, buckets, count = only(count >= least_docs)
+    often = count >= least_docs
+    doc, column = only(often, doc, column)
+    buckets, count = buckets[often].astype(np.int64), count[often]
     if not len(buckets):
         return empty
     noise = np.sqrt(2 * np.log(len(buckets) + 1)) * np.sqrt(share * (1 - share)) / len(labels)
-    rng = np.random.default_rng(7)
+    penalty, stays = noise * np.sqrt(count), np.ones(len(buckets), bool)
     w = np.zeros(len(buckets))
-    for rounds, ease, factors in ((40, 1, 0), (120, 1, 0), (300, 20, rank)):
-        v = rng.normal(0, 0.1, (len(buckets), factors))
-        bias, w, v = _descend(doc, column, labels, noise * np.sqrt(count) / ease, bias, w, v, rounds)
-        used = (w != 0) if not factors else np.ones(len(w), bool)
-        doc, column, buckets, count = only(used)
-        w, v = w[used], v[used]
-        if not len(w):
-            return Machine(float(bias), buckets, w, np.zeros((0, rank)))
-    return Machine(float(bias), buckets, w, v)
+    for rounds in (40, 120):
+        bias, w[stays], _ = _descend(*only(stays, doc, column), labels, penalty[stays], bias, w[stays], np.zeros((stays.sum(), 0)), rounds)
+        stays = w != 0
+    near, at = only(stays, doc, column)
+    loose, eased, _ = _descend(near, at, labels, penalty[stays] / 20, bias, w[stays], np.zeros((stays.sum(), 0)), 300)
+    left = labels - 1 / (1 + np.exp(-np.clip(loose + np.bincount(near, eased[at], len(labels)), -40, 40)))
+    v = pair_directions(doc, column, count, left, rank)
+    v[stays] += np.random.default_rng(7).normal(0, 0.1, (stays.sum(), rank))
+    stays |= v.any(axis=1)
+    if not stays.any():
+        return Machine(float(bias), buckets[:0], w[:0], np.zeros((0, rank)))
+    bias, w, v = _descend(*only(stays, doc, column), labels, penalty[stays] / 20, bias, w[stays], v[stays], 300)
+    return Machine(float(bias), buckets[stays], w, v)
 
 
 def train_toxicity(
@@ -177,7 +240,10 @@ def toxicity_score(model: Machine, text: Column) -> Column:
 
 
 def score_toxicity(docs: DataFrame, model: Machine) -> DataFrame:
-    """``doc_id``, ``score``, ``predicted`` (1 from 0.5) for each row of ``docs``."""
+    """``doc_id``, ``score``, ``predicted`` (1 from 0.5) for each row of ``docs``.
+
+    Repeated rows are scored alike, a score of exactly 0.5 is toxic, other columns are ignored.
+    """
     return docs.select("doc_id", toxicity_score(model, F.col("text")).alias("score")).select(
         "doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
@@ -185,5 +251,6 @@ def score_toxicity(docs: DataFrame, model: Machine) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Machine) -> DataFrame:
     """The documents (all columns) that score below 0.5."""
-    scored = docs.withColumn("_toxicity", toxicity_score(model, F.col("text")))
-    return scored.filter("_toxicity < 0.5").select(docs.columns)
+    (mark,) = free_names(docs, "toxicity")
+    scored = docs.withColumn(mark, toxicity_score(model, F.col("text")))
+    return scored.filter(F.col(mark) < 0.5).select(docs.columns)
