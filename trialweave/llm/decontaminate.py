@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from trialweave.session import written
 
-from .common import sized, words_of
+from .common import free_names, sized, words_of
 
 
 def _shingles(words: Column, size: int) -> Column:
@@ -44,13 +44,16 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 3) -> DataFrame:
-    """Every row and column of ``docs`` plus ``_hits``: ``n_words``, ``n_hit``, ``items`` (sorted).
+def contamination(
+    docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 3, hits: str = "_hits"
+) -> DataFrame:
+    """Every row and column of ``docs`` plus ``hits``: ``n_words``, ``n_hit``, ``items`` (sorted).
 
     Input: ``doc_id`` and ``text`` among the columns of ``docs``; ``item_id``, ``text`` of ``items``. Null and
     empty texts have no words; items without words have no windows; an item of fewer than ``size`` words
     is one window. Repeated rows and items change nothing but their own rows; items of null ``item_id``
-    hit words but are not listed. Empty tables give no rows or no hits.
+    hit words but are not listed. Empty tables give no rows or no hits. Other columns of ``docs`` may have any
+    name but that of ``hits``.
     """
     windows = written(item_windows(items, size), "windows")
     split = F.split("window", " ")
@@ -71,7 +74,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, shingle: in
         for s in sizes
     ]
     key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), F.xxhash64("text").alias("h"))
-    out = docs.withColumn("_key", key)
+    doc_key, begins, w, n, met = free_names(docs, "_key", "_starts", "_w", "_n", "_met")
+    out = docs.withColumn(doc_key, key)
     if sizes:
         grams = own[0]
         for more in own[1:]:
@@ -93,27 +97,27 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, shingle: in
         starts = found.join(sized(prefix), "gram").withColumn("start", F.col("pos") - F.col("offset"))
         starts = starts.filter("start >= 0 and start + length <= n")
         per_doc = written(
-            starts.groupBy(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), "h").alias("_key"))
-            .agg(F.collect_set(F.struct("start", "length", "window", "items")).alias("_starts")),
+            starts.groupBy(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), "h").alias(doc_key))
+            .agg(F.collect_set(F.struct("start", "length", "window", "items")).alias(begins)),
             "window-starts",
         )
-        out = out.join(sized(per_doc), "_key", "left")
+        out = out.join(sized(per_doc), doc_key, "left")
     else:
-        out = out.withColumn("_starts", F.lit(None).cast("array<struct<start:int,length:int,window:string,items:array<string>>>"))
-    out = out.withColumn("_w", words_of(F.col("text")))
+        out = out.withColumn(begins, F.lit(None).cast("array<struct<start:int,length:int,window:string,items:array<string>>>"))
+    out = out.withColumn(w, words_of(F.col("text")))
     same = F.filter(
-        F.coalesce("_starts", F.array()),
-        lambda c: F.array_join(F.slice(F.col("_w"), c["start"] + 1, c["length"]), " ") == c["window"],
+        F.coalesce(begins, F.array()),
+        lambda c: F.array_join(F.slice(F.col(w), c["start"] + 1, c["length"]), " ") == c["window"],
     )
-    out = out.withColumn("_n", F.size("_w")).withColumn("_met", same)
-    spans = F.flatten(F.transform("_met", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1)))
+    out = out.withColumn(n, F.size(w)).withColumn(met, same)
+    spans = F.flatten(F.transform(met, lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1)))
     return out.select(
         *docs.columns,
         F.struct(
-            F.col("_n").cast("long").alias("n_words"),
+            F.col(n).cast("long").alias("n_words"),
             F.size(F.array_distinct(spans)).cast("long").alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten(F.transform("_met", lambda c: c["items"])))).alias("items"),
-        ).alias("_hits"),
+            F.array_sort(F.array_distinct(F.flatten(F.transform(met, lambda c: c["items"])))).alias("items"),
+        ).alias(hits),
     )
 
 
@@ -130,4 +134,5 @@ def contamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFr
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents (all columns) in which no window of an item occurs."""
-    return contamination(docs, items, **options).filter("_hits.n_hit = 0").select(docs.columns)
+    (hits,) = free_names(docs, "_hits")
+    return contamination(docs, items, hits=hits, **options).filter(F.col(hits)["n_hit"] == 0).select(docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from trialweave.session import shuffle_width, written
 
-from .common import WordHashes, connected, mix64, shingle_hashes, sized, split_words, whole_groups
+from .common import WordHashes, connected, free_names, mix64, shingle_hashes, sized, split_words, whole_groups
 
 BANDS, ROWS, STEP = 32, 4, 16
 HASHES = BANDS * ROWS
@@ -276,20 +276,20 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     Of different texts of a group under that ``doc_id`` the one with the smallest md5 stays. Equal non-empty texts
     without a word are a group of their own; empty and null texts all stay, each ``doc_id`` once.
     """
-    columns = docs.columns
+    cls, first, every, n, id_, key_ = free_names(docs, "_cls", "_first", "_all", "_n", "_id", "_key")
     key = F.md5(F.coalesce("text", F.lit("")))
     found = ngram_links(docs, **options).select(
-        F.col("cls").alias("_cls"), F.col("class_id").alias("_class"), F.col("n_grams_known").alias("_known")
+        F.col("cls").alias(cls), F.col("class_id").alias("class"), F.col("n_grams_known").alias("known")
     )
-    ids = docs.select(F.col("doc_id").alias("_id"), key.alias("_key"))
-    repeated = ids.groupBy("_id", "_key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    firsts = ids.groupBy("_key").agg(F.min("_id").alias("_first"))
-    one = found.join(firsts, found["_cls"] == firsts["_key"]).drop("_key")
-    empty = F.col("_cls") == F.md5(F.lit(""))
-    worded = one.filter(F.col("_known") & F.col("_first").eqNullSafe(F.col("_class")))
-    worded = worded.groupBy("_class").agg(F.min("_cls").alias("_cls")).select("_cls", F.col("_class").alias("_first"), F.lit(False).alias("_all"))
-    others = one.filter(~F.col("_known")).select("_cls", "_first", empty.alias("_all"))
-    kept = docs.withColumn("_cls", key).join(worded.unionByName(others), "_cls").filter("_all or doc_id <=> _first")
-    kept = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["_id"]) & (kept["_cls"] == repeated["_key"]), "left")
-    once = kept.filter("_n is null")
-    return once.select(columns).unionByName(kept.filter("_n > 1").dropDuplicates(["doc_id", "_cls"]).select(columns))
+    ids = docs.select(F.col("doc_id").alias(id_), key.alias(key_))
+    repeated = ids.groupBy(id_, key_).agg(F.count("*").alias(n)).filter(F.col(n) > 1)
+    firsts = ids.groupBy(key_).agg(F.min(id_).alias(first))
+    one = found.join(firsts, found[cls] == firsts[key_]).drop(key_)
+    empty = F.col(cls) == F.md5(F.lit(""))
+    worded = one.filter(F.col("known") & F.col(first).eqNullSafe(F.col("class")))
+    worded = worded.groupBy("class").agg(F.min(cls).alias(cls)).select(cls, F.col("class").alias(first), F.lit(False).alias(every))
+    others = one.filter(~F.col("known")).select(cls, first, empty.alias(every))
+    kept = docs.withColumn(cls, key).join(worded.unionByName(others), cls).filter(F.col(every) | F.col("doc_id").eqNullSafe(F.col(first)))
+    kept = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated[id_]) & (kept[cls] == repeated[key_]), "left")
+    once = kept.filter(F.col(n).isNull()).select(docs.columns)
+    return once.unionByName(kept.filter(F.col(n) > 1).dropDuplicates(["doc_id", cls]).select(docs.columns))

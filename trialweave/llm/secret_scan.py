@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 # Kinds in their order, keywords, patterns, least lengths, token prefixes.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -162,10 +164,11 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.Series([redacted(t) for t in texts], dtype=object)
 
-    out = docs.withColumn("_redacted", redact("text"))
+    (clean,) = free_names(docs, "redacted")
+    out = docs.withColumn(clean, redact("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("_redacted").cast(docs.schema["n_chars"].dataType), "n_chars"))
-    return out.withColumn("text", F.col("_redacted")).select(docs.columns)
+        out = out.withColumn("n_chars", F.coalesce(F.length(clean).cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return out.withColumn("text", F.col(clean)).select(docs.columns)
 
 
 def redacted(text: str | None) -> str | None:
