@@ -55,10 +55,9 @@ def count_terms(docs: DataFrame) -> DataFrame:
             for lang, source, text in zip(batch.lang, batch.source, batch.text, strict=True):
                 n, docs = seen[lang, source]
                 held -= len(n)
-                terms = Counter(document_terms(text))
-                terms[""] = 1
+                terms = [*document_terms(text), ""]
                 n.update(terms)
-                docs.update(dict.fromkeys(terms, 1))
+                docs.update(set(terms))
                 held += len(n)
                 if held > limit:
                     yield from tables()
