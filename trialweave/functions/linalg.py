@@ -99,6 +99,25 @@ def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, float]:
     return (1 - g) * emp + g * mu * np.eye(p), g
 
 
+def ledoit_wolf_of_sums(s: np.ndarray, p: int) -> tuple[np.ndarray, float]:
+    """The same from the statistics of rows and their squared norms (``gram(x, |x|^2)``), without the rows.
+
+    The fourth central moment is expanded in sums of x, xx', |x|^2, x|x|^2 and |x|^4.
+    """
+    n, m, _, emp, _, _ = covariances(s, p, 1)
+    cuts = np.cumsum([1, p, 1, p * p, 1])
+    sx, sq, xx, fourth, third = np.split(s, cuts)[1:]
+    mm = m @ m
+    centred = (
+        fourth[0] + 4 * m @ xx.reshape(p, p) @ m + n * mm**2 - 4 * m @ third + 2 * mm * sq[0] - 4 * mm * (m @ sx)
+    )
+    mu = np.trace(emp) / p
+    delta = ((emp - mu * np.eye(p)) ** 2).sum() / p
+    beta = min(max((centred / n - (emp**2).sum()) / (n * p), 0.0), delta)
+    g = 0.0 if delta == 0 else beta / delta
+    return (1 - g) * emp + g * mu * np.eye(p), g
+
+
 def oas(emp: np.ndarray, n: float) -> np.ndarray:
     """Oracle approximating shrinkage of a covariance matrix (Chen et al. 2010)."""
     p = len(emp)

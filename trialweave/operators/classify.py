@@ -166,8 +166,19 @@ def class_covariances(stats: DataFrame, keys: Sequence[str], y: str) -> DataFram
     return sum_vectors(stats, [*keys, y], "s")
 
 
-def csp_filters(train: DataFrame, keys: Sequence[str], y: str, p: int, q: int, n: int) -> DataFrame:
-    """Spatial filters per model from the class sums of trial statistics."""
+def with_square_norm(rows: DataFrame, x: str = "x", out: str = "q") -> DataFrame:
+    """Add the squared norm of each row as a view of one column.
+
+    Statistics of ``(x, out)`` then hold the third and fourth moments that Ledoit-Wolf shrinkage needs.
+    """
+    return rows.withColumn(out, F.array(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)))
+
+
+def csp_filters(train: DataFrame, keys: Sequence[str], y: str, p: int, n: int) -> DataFrame:
+    """Spatial filters per model from the class sums of trial statistics of ``with_square_norm`` rows.
+
+    Class covariances are shrunk by Ledoit-Wolf, whose amount follows from the summed moments.
+    """
     keys = list(keys)
     both = class_covariances(train, keys, y).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(y, "s"))).alias("c"))
     types = "".join(f"{c} {train.schema[c].dataType.simpleString()}, " for c in keys)
@@ -176,9 +187,7 @@ def csp_filters(train: DataFrame, keys: Sequence[str], y: str, p: int, q: int, n
         if len(row["c"]) == 2:
             covs = []
             for c in row["c"]:
-                s = np.asarray(c["s"])
-                emp = la.covariances(s, p, q)[3]
-                covs.append(la.oas(emp, s[0]))
+                covs.append(la.ledoit_wolf_of_sums(np.asarray(c["s"]), p)[0])
             yield (*[row[c] for c in keys], la.csp(covs[1], covs[0], n).ravel())
 
     return map_rows(both, one, types + "filters array<double>")
@@ -198,11 +207,12 @@ def log_power(stats: DataFrame, filters: DataFrame, keys: Sequence[str], keep: S
     return map_rows(joined.select(*cols, "filters", "s"), one, types + "x array<double>")
 
 
-def tangent_features(stats: DataFrame, train: DataFrame, keys: Sequence[str], keep: Sequence[str], p: int, q: int, rounds: int = 6) -> DataFrame:
+def tangent_features(stats: DataFrame, train: DataFrame, keys: Sequence[str], keep: Sequence[str], p: int, q: int, rounds: int = 50, tol: float = 1e-6) -> DataFrame:
     """Tangent vectors of shrunk trial covariances at the training mean of their model.
 
     The mean is found by a fixed point: every round averages matrix logarithms with one
-    distributed sum; only one p x p matrix per model travels between rounds.
+    distributed sum; only one p x p matrix per model travels between rounds.  It ends when the
+    mean logarithm of every model is below ``tol`` in norm, or after ``rounds``.
     """
     keys = list(keys)
     types = "".join(f"{c} {train.schema[c].dataType.simpleString()}, " for c in keys)
@@ -222,13 +232,16 @@ def tangent_features(stats: DataFrame, train: DataFrame, keys: Sequence[str], ke
 
     def step(row):
         a = np.asarray(row["s"])
-        root = la.sym_fn(np.asarray(row["mean"]).reshape(p, p), np.sqrt)
-        yield (*[row[c] for c in keys], (root @ la.sym_fn_raw(a[1:].reshape(p, p) / a[0], np.exp) @ root).ravel())
+        root, log = la.sym_fn(np.asarray(row["mean"]).reshape(p, p), np.sqrt), a[1:].reshape(p, p) / a[0]
+        yield (*[row[c] for c in keys], (root @ la.sym_fn_raw(log, np.exp) @ root).ravel(), float(np.linalg.norm(log)))
 
     mean = written(mean, "riemann-mean")
     for _ in range(rounds):
         total = sum_vectors(map_rows(train.select(*keys, "s").join(mean, keys), logs, types + "v array<double>"), keys, "v")
-        mean = written(map_rows(total.join(mean, keys), step, types + "mean array<double>"), "riemann-mean")
+        moved = written(map_rows(total.join(mean, keys), step, types + "mean array<double>, moved double"), "riemann-mean")
+        mean = moved.drop("moved")
+        if (moved.agg(F.max("moved")).first()[0] or 0.0) < tol:
+            break
     cols = [*keys, *[c for c in keep if c not in keys]]
     joined = stats.join(mean, keys)
     out_types = "".join(f"{c} {joined.schema[c].dataType.simpleString()}, " for c in cols)
@@ -239,18 +252,3 @@ def tangent_features(stats: DataFrame, train: DataFrame, keys: Sequence[str], ke
         yield (*[row[c] for c in cols], la.tangent_vector(la.oas(la.covariances(s, p, q)[3], s[0]), inv))
 
     return map_rows(joined.select(*cols, "mean", "s"), vector, out_types + "x array<double>")
-
-
-def logistic_cv(rows: DataFrame, fold: str, k: int, y: str, x: str, reg: float = 0.0) -> DataFrame:
-    """Out-of-fold probabilities of a standardised logistic regression, one fit per fold."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    vec = rows.withColumn("features", array_to_vector(x)).withColumn("label", F.col(y).cast("double"))
-    out = None
-    for f in range(k):
-        model = LogisticRegression(maxIter=100, regParam=reg, standardization=True).fit(vec.where(F.col(fold) != f))
-        part = model.transform(vec.where(F.col(fold) == f)).withColumn("score", vector_to_array("probability")[1])
-        part = part.drop("features", "label", "rawPrediction", "probability", "prediction")
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.blocks import DEFAULT_WIDTH
 from ..operators.classify import (
-    cross_validated, csp_filters, fit_lda, lda_scores, log_power, logistic_cv, probability, standardised,
-    tangent_features, test_rows, train_rows,
+    cross_validated, csp_filters, fit_lda, lda_scores, log_power, probability, tangent_features, test_rows,
+    train_rows, with_square_norm,
 )
+from ..operators.logistic import fit_logistic_folds, logistic_cross_validated, logistic_scores
 from ..operators.models import (
     PRESETS, Spec, component_rows, eigenspectrum, fit, grid_models, patterns, preset, score, top_k_mean, variates,
 )
@@ -378,8 +379,9 @@ def plain_discriminant(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("logistic_probe", "M24")
 def logistic_probe(spark: SparkSession, sf: str) -> DataFrame:
-    sc = logistic_cv(_window_rows(spark, sf), "fold", FOLDS, "y", "x", 0.01)
-    return auc(sc, ["fold"], "y", "score").select("fold", "n_pos", "n_neg", F.round("auc", 4).alias("auc"))
+    """Logistic regression of all folds at once on window vectors."""
+    sc = logistic_cross_validated(_window_rows(spark, sf), [], "fold", "y", "x")
+    return auc(sc.withColumn("score", F.round("score", 6)), ["fold"], "y", "score").select("fold", "n_pos", "n_neg", F.round("auc", 4).alias("auc"))
 
 
 def _strat(spark, sf, k: int = 2):
@@ -431,8 +433,8 @@ def feature_set_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cov_rows(spark, sf):
-    _, _, both = _views(spark, sf)
-    st = written(trial_stats(both, ["trial"], "x", "y").join(_strat(spark, sf), "trial"), "trial-stats")
+    sig, _, _ = _views(spark, sf)
+    st = written(trial_stats(with_square_norm(sig), ["trial"], "x", "q").join(_strat(spark, sf), "trial"), "trial-stats")
     return st, train_rows(st, "fold", 2), test_rows(st, "fold")
 
 
@@ -440,7 +442,7 @@ def _cov_rows(spark, sf):
 def spatial_filter_decoder(spark: SparkSession, sf: str) -> DataFrame:
     """Six common spatial patterns per fold, log power, discriminant."""
     _, train, test = _cov_rows(spark, sf)
-    filters = csp_filters(train, ["model_fold"], "y", P, 1, 6)
+    filters = csp_filters(train, ["model_fold"], "y", P, 6)
     filters = written(filters, "filters")
     xtr = log_power(train, filters, ["model_fold"], ["trial", "y"], P, 1)
     xte = log_power(test, filters, ["model_fold"], ["trial", "y"], P, 1)
@@ -450,15 +452,12 @@ def spatial_filter_decoder(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("tangent_space_decoder", "M25")
 def tangent_space_decoder(spark: SparkSession, sf: str) -> DataFrame:
-    """Trial covariances in the tangent space of their training mean, then a discriminant."""
-    # channels averaged by eight keep the tangent vector short for short trials
-    sig, stim, _ = _views(spark, sf)
-    small = sig.select("trial", "t", F.posexplode("x").alias("ch", "v")).groupBy("trial", "t", F.floor(F.col("ch") / 8).alias("site")).agg(F.avg("v").alias("v"))
-    small = small.groupBy("trial", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("site", "v"))), lambda r: r.v).alias("x"))
-    st = written(trial_stats(small.join(stim, ["trial", "t"]), ["trial"], "x", "y").join(_strat(spark, sf), "trial"), "trial-stats")
-    train, test = train_rows(st, "fold", 2), test_rows(st, "fold")
-    feats = tangent_features(train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))), train, ["model_fold"], ["trial", "y", "part"], 8, 1, rounds=3)
-    feats = written(feats, "tangent")
-    m = fit_lda(feats.where("part = 'train'"), ["model_fold"], "y", "x")
-    sc = lda_scores(feats.where("part = 'test'"), m, ["model_fold"], "x")
-    return sc.select("model_fold", "trial", "y", F.round("score", 4).alias("score"))
+    """Trial covariances of all channels in the tangent space of their training mean, then logistic regression."""
+    _, train, test = _cov_rows(spark, sf)
+    parts = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    feats = written(tangent_features(parts, train, ["model_fold"], ["trial", "y", "part"], P, 1), "tangent")
+    # a model's vectors lie at its own mean, so each model is a key of its own and its held-out rows a fold of it
+    held = feats.withColumn("fold", F.when(F.col("part") == "test", 1).otherwise(0)).withColumnRenamed("model_fold", "model")
+    models = fit_logistic_folds(held, ["model"], "fold", "y", "x", tol=1e-6, leave=[1])
+    sc = logistic_scores(held.where("fold = 1"), models, ["model"], "fold", "x")
+    return sc.select(F.col("model").alias("model_fold"), "trial", "y", F.round("score", 3).alias("score"))

@@ -8,7 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.classify import cross_validated, fit_lda, lda_scores, leave_one_out_lda, match_discriminant, probability, test_rows, train_rows
+from ..operators.classify import (
+    cross_validated, csp_filters, fit_lda, lda_scores, leave_one_out_lda, log_power, match_discriminant, probability,
+    test_rows, train_rows, with_square_norm,
+)
+from ..operators.logistic import logistic_cross_validated
 from ..operators.models import Spec, component_rows, eigenspectrum, fit, grid_models, patterns, score, variates
 from ..operators.ranks import auc, cohens_d, safe_corr
 from ..operators.resample import mismatched_partners, stratified_kfold
@@ -420,3 +424,66 @@ def roi_window_decoder(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_windows"), F.count(F.when((F.col("score") > 0) == (F.col("y") == 1), 1)).alias("n_right"),
         F.round(F.avg("score"), 4).alias("mean_score"),
     )
+
+
+NEWTON = 3
+
+
+def newton_sql(steps: int, penalty: float = 1.0) -> str:
+    """Weights of a two-feature logistic regression after some Newton steps from zero, as CTEs ending in ``n{steps}``."""
+    out = ["n0 AS (SELECT fold, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM k)"]
+    for i in range(1, steps + 1):
+        out.append(
+            f"g{i} AS (SELECT z.fold, any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2, sum(p - y) AS g0, sum((p - y) * a) + any_value(w1) * {penalty} AS ga, sum((p - y) * b) + any_value(w2) * {penalty} AS gb, "
+            f"sum(p * (1 - p)) AS h00, sum(p * (1 - p) * a) AS h01, sum(p * (1 - p) * b) AS h02, sum(p * (1 - p) * a * a) + {penalty} AS h11, sum(p * (1 - p) * a * b) AS h12, sum(p * (1 - p) * b * b) + {penalty} AS h22 "
+            f"FROM (SELECT z.*, w0, w1, w2, 1 / (1 + exp(-(w0 + w1 * a + w2 * b))) AS p FROM z JOIN n{i - 1} m ON m.fold = z.fold) z GROUP BY z.fold)"
+        )
+        out.append(
+            f"d{i} AS (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM g{i}), "
+            f"n{i} AS (SELECT fold, w0 - (g0 * (h11 * h22 - h12 * h12) - ga * (h01 * h22 - h02 * h12) + gb * (h01 * h12 - h02 * h11)) / det AS w0, "
+            f"w1 - (-g0 * (h01 * h22 - h12 * h02) + ga * (h00 * h22 - h02 * h02) - gb * (h00 * h12 - h02 * h01)) / det AS w1, "
+            f"w2 - (g0 * (h01 * h12 - h11 * h02) - ga * (h00 * h12 - h01 * h02) + gb * (h00 * h11 - h01 * h01)) / det AS w2 FROM d{i})"
+        )
+    return ", ".join(out)
+
+
+@query(
+    "roi_logistic_probe", "M24 R4",
+    f"""{ROWS}, sm AS (SELECT k.fold, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM k JOIN e ON e.fold <> k.fold GROUP BY k.fold),
+    z AS (SELECT sm.fold, y, (a - ma) / sa AS a, (b - mb) / sb AS b FROM sm JOIN e ON e.fold <> sm.fold), {newton_sql(NEWTON)}
+    SELECT e.trial, e.fold, count(*) AS n, round(avg(w0 + w1 * (a - ma) / sa + w2 * (b - mb) / sb), 6) AS mean_score, round(avg(1 / (1 + exp(-(w0 + w1 * (a - ma) / sa + w2 * (b - mb) / sb)))), 6) AS p
+    FROM e JOIN n{NEWTON} m ON m.fold = e.fold JOIN sm ON sm.fold = e.fold GROUP BY ALL""",
+)
+def roi_logistic_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """Logistic regression of all folds on two regional means, three Newton steps; mean probability per trial."""
+    rows = _roi_rows(spark, sf)
+    sc = logistic_cross_validated(rows, [], "fold", "y", "x", max_steps=NEWTON, halving=False)
+    return sc.groupBy("trial", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg(probability(F.col("score"))), 6).alias("p")
+    )
+
+
+@query(
+    "roi_spatial_filters", "M26",
+    f"""{TG}, cv AS (SELECT k.fold, y, count(*) AS n, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab, avg(a) AS ma, avg(b) AS mb FROM k JOIN e ON e.fold <> k.fold GROUP BY ALL),
+    q4 AS (SELECT cv.fold, cv.y, avg(((a - ma) ** 2 + (b - mb) ** 2) ** 2) AS q4 FROM cv JOIN e ON e.fold <> cv.fold AND e.y = cv.y GROUP BY ALL),
+    lw AS (SELECT *, (va + vb) / 2 AS mu, ((va - vb) ** 2 / 2 + 2 * ab * ab) / 2 AS delta FROM cv JOIN q4 USING (fold, y)),
+    ls AS (SELECT *, CASE WHEN delta = 0 THEN 0 ELSE least(greatest((q4 - (va * va + vb * vb + 2 * ab * ab)) / (n * 2), 0), delta) / delta END AS g FROM lw),
+    sh AS (SELECT fold, y, (1 - g) * va + g * mu AS va, (1 - g) * vb + g * mu AS vb, (1 - g) * ab AS ab FROM ls),
+    pa AS (SELECT o.fold, o.va AS b11, o.vb AS b22, o.ab AS b12, o.va + z.va AS a11, o.vb + z.vb AS a22, o.ab + z.ab AS a12 FROM sh o JOIN sh z ON o.fold = z.fold AND o.y = 1 AND z.y = 0),
+    ro AS (SELECT *, abs(b12) + abs(a12) < 1e-14 * (a11 + a22) AS flat, a11 * a22 - a12 * a12 AS qa, -(b11 * a22 + b22 * a11 - 2 * b12 * a12) AS qb, b11 * b22 - b12 * b12 AS qc FROM pa),
+    ev AS (SELECT *, CASE WHEN flat THEN CASE WHEN ax = 0 THEN b11 / a11 ELSE b22 / a22 END ELSE (-qb + (1 - 2 * ax) * sqrt(greatest(qb * qb - 4 * qa * qc, 0))) / (2 * qa) END AS l FROM ro, range(2) r(ax)),
+    fl AS (SELECT fold, l, ax, CASE WHEN flat THEN 1 - ax ELSE b12 - l * a12 END AS va, CASE WHEN flat THEN ax ELSE l * a11 - b11 END AS vb, a11, a12, a22 FROM ev),
+    fn AS (SELECT fold, round(abs(l - 0.5), 12) AS far, ax, va / sqrt(va * va * a11 + 2 * va * vb * a12 + vb * vb * a22) AS fa, vb / sqrt(va * va * a11 + 2 * va * vb * a12 + vb * vb * a22) AS fb FROM fl),
+    tc AS (SELECT trial, any_value(y) AS y, any_value(fold) AS fold, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab FROM e GROUP BY trial)
+    SELECT tc.trial, y, fn.fold AS model_fold, CAST(row_number() OVER (PARTITION BY fn.fold, tc.trial ORDER BY far DESC, ax) - 1 AS INTEGER) AS comp, round(ln(fa * fa * va + 2 * fa * fb * ab + fb * fb * vb + 1e-30), 5) AS log_power FROM fn JOIN tc ON tc.fold = fn.fold""",
+)
+def roi_spatial_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Log power of held-out trials under common spatial patterns of two regional means, Ledoit-Wolf class covariances."""
+    rows = signal(spark, sf).select("trial", "t", _roi_mean().alias("x"))
+    st = written(trial_stats(with_square_norm(rows), ["trial"], "x", "q").join(_strat(spark, sf), "trial"), "trial-stats")
+    filters = written(csp_filters(train_rows(st, "fold", 2), ["model_fold"], "y", 2, 2), "filters")
+    power = log_power(test_rows(st, "fold"), filters, ["model_fold"], ["trial", "y"], 2, 1)
+    return power.select("trial", "y", "model_fold", F.posexplode("x").alias("comp", "v")).select(
+        "trial", "y", "model_fold", "comp", F.round("v", 5).alias("log_power")
+    )
