@@ -11,8 +11,9 @@ from ..operators.classify import (
 )
 from ..operators.logistic import fit_logistic_folds, logistic_cross_validated, logistic_scores
 from ..operators.models import (
-    PRESETS, Spec, component_rows, eigenspectrum, fit, grid_models, patterns, preset, score, top_k_mean, variates,
+    PRESETS, Spec, component_rows, eigenspectrum, fit, grid_models, patterns, score, top_k_mean, variates,
 )
+from ..operators.lag_products import fold_scores, lag_products, lagged_sums
 from ..operators.ordered import ntile_of
 from ..operators.ranks import auc, cohens_d, confusion, safe_corr
 from ..operators.resample import kfold, mismatched_partners, permutation_p, permuted_labels, stratified_kfold
@@ -145,15 +146,20 @@ def cca_tracking(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("model_presets", "M11 M12 M13 M3 G2 Q1")
 def model_presets(spark: SparkSession, sf: str) -> DataFrame:
-    """Named models side by side: best component (or best channel) on held-out folds."""
-    out = None
-    for name in ("forward", "backward", "cca1", "cca2"):
-        spec = preset(name)
-        st, p, q = _fold_stats(spark, sf, spec)
-        models = fit(train_stats(st, "fold"), ["fold"], P, 1, {name: spec})
-        sc = score(models, sum_vectors(st, ["fold"], "s"), ["fold"], [], p, q)
-        best = sc.groupBy("model", "fold").agg(F.max("r").alias("best_in_test"))
-        out = best if out is None else out.unionByName(best)
+    """All six named models side by side: best component (or best channel) on held-out folds.
+
+    One scan makes the lag products that five of them share; the sixth has moving averages on both sides.
+    """
+    _, _, both = _views(spark, sf)
+    rows = both.join(F.broadcast(_folds(spark, sf)), "trial")
+    lagged = {n: s for n, s in PRESETS.items() if not s.smooth}
+    lags = max(s.x_lags for s in lagged.values()), max(s.y_lags for s in lagged.values())
+    sc = fold_scores(lag_products(rows, "trial", ["fold"], *lags, width=BLOCK), P, 1, lagged, lags=lags)
+    for name, spec in PRESETS.items():
+        if spec.smooth:
+            table = lagged_sums(rows, ["trial"], ["fold"], "x", "y", spec.x_basis(), spec.y_basis(), width=BLOCK)
+            sc = sc.unionByName(fold_scores(table, P, 1, {name: spec}))
+    out = sc.groupBy("model", "fold").agg(F.max("r").alias("best_in_test"))
     sizes = spark.createDataFrame([(n, s.kind, s.x_basis().size, s.y_basis().size) for n, s in PRESETS.items()], "model string, kind string, x_lags int, y_lags int")
     return out.join(F.broadcast(sizes), "model").select("model", "kind", "x_lags", "y_lags", "fold", F.round("best_in_test", 6).alias("best_in_test"))
 

@@ -41,6 +41,7 @@ def load_all() -> dict[str, Query]:
         flagship,
         join_plans,
         model_plans,
+        curve_plans,
         nested_plans,
         projection_plans,
         resampling_plans,
