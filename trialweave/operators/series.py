@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .blocks import DEFAULT_WIDTH, framed
+from .blocks import DEFAULT_WIDTH, framed, map_blocks
 from .ordered import Run, ordered_scan
 
 
@@ -246,3 +248,37 @@ def greedy_fill(items: DataFrame, group: str, pos: str, duration: str, target: f
     place = F.row_number().over(Window.orderBy("_done", group))  # at most ``clips`` rows
     ranked = first.withColumn("clip", place)
     return run.join(ranked, group).where(F.col(pos) <= F.col("_done")).drop("_cum", "_done")
+
+
+def sliding_correlations(
+    df: DataFrame, trial: str, x: str, y: str, size: int, step: int, width: int = DEFAULT_WIDTH,
+) -> DataFrame:
+    """``(trial, win, x)``: correlation of each column of ``x`` with the first of ``y`` in overlapping windows.
+
+    Window ``win`` covers ``t`` from ``win * step`` to ``win * step + size - 1``; only whole windows count.
+    Moments are summed up once along a block with its halo, and a window is the difference of two rows
+    of that running sum, however many windows a sample is in.  A column without variance scores 0.
+    """
+    kind = df.schema[trial]
+    schema = T.StructType([kind, T.StructField("win", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        ts = pdf["t"].to_numpy()
+        v, s = np.stack(pdf[x].to_list()), np.stack(pdf[y].to_list())[:, :1]
+        # sums of squares lose digits far from zero: both sides are first moved by the block's mean
+        v, s = v - v.mean(0), s - s.mean(0)
+        run = np.cumsum(np.hstack([v, v * v, v * s, s, s * s]), axis=0)
+        run = np.vstack([np.zeros((1, run.shape[1])), run])
+        core = pdf["core"].to_numpy(dtype=bool)
+        ends = np.flatnonzero(core & ((ts + 1 - size) % step == 0) & (ts + 1 >= size))
+        first = ends - size + 1
+        whole = (first >= 0) & (ts[np.maximum(first, 0)] == ts[ends] + 1 - size)
+        ends, first = ends[whole], first[whole]
+        p = v.shape[1]
+        m = (run[ends + 1] - run[first]) / size
+        a, aa, ab, b, bb = m[:, :p], m[:, p : 2 * p], m[:, 2 * p : 3 * p], m[:, 3 * p : 3 * p + 1], m[:, 3 * p + 1 :]
+        spread = np.sqrt(np.maximum(aa - a * a, 0) * np.maximum(bb - b * b, 0))
+        r = np.where(spread > 1e-15, (ab - a * b) / np.maximum(spread, 1e-300), 0.0)
+        return pd.DataFrame({trial: pdf[trial].iloc[0], "win": (ts[ends] + 1 - size) // step, "x": list(r)}, columns=schema.names)
+
+    return map_blocks(df.select(trial, "t", x, y), [trial], task, schema, "t", before=size - 1, after=0, width=width)

@@ -122,6 +122,28 @@ def sum_vectors(df: DataFrame, by: Sequence[str], vector: str, weight: str | Non
     return _whole(_final_sum(partial, by), by)
 
 
+def sum_vectors_by_draw(df: DataFrame, vector: str, weights: str) -> DataFrame:
+    """``(draw, s)``: for each place of the array ``weights`` the sum of ``vector`` weighted by it.
+
+    A row is read once for all draws; the sums of a task are one matrix product per batch.
+    """
+    schema = T.StructType([T.StructField("draw", T.IntegerType()), T.StructField("piece", T.IntegerType()), T.StructField("a", T.ArrayType(T.DoubleType()))])
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = _Sums(["draw"])
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            sums = np.stack(pdf[weights].to_list()).astype(float).T @ np.stack(pdf[vector].to_list())
+            for draw, v in enumerate(sums):
+                acc.add((draw,), v)
+            if acc.bytes > FLUSH_BYTES:
+                yield acc.rows()
+        yield acc.rows()
+
+    return _whole(_final_sum(df.select(vector, weights).mapInPandas(task, schema), ["draw"]), ["draw"])
+
+
 def trial_stats(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Statistics vector ``s`` per key of two array columns, without any lag."""
     by = list(by)

@@ -42,6 +42,7 @@ def load_all() -> dict[str, Query]:
         join_plans,
         model_plans,
         curve_plans,
+        inference_plans,
         nested_plans,
         projection_plans,
         resampling_plans,
