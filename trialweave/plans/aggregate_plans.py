@@ -408,13 +408,13 @@ def events_inside_block(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "windowed_tracking_means", "A41",
-    f"""WITH {SIG}, {STIM}, {COND}, r AS (SELECT s.trial, s.t // 10 AS win, corr(CAST(x[4] AS DOUBLE), stim.s) AS r FROM sig s JOIN stim ON s.trial = stim.trial AND s.t = stim.t GROUP BY ALL)
-    SELECT y, win, count(*) AS n, round(avg(r), 6) AS mean_r, round(stddev_samp(r) / sqrt(count(*)), 6) AS sem FROM r JOIN cond ON r.trial = cond.trial GROUP BY ALL""",
+    f"""WITH {LONG}, {STIM}, {COND}, r AS (SELECT l.trial, ch, l.t // 10 AS win, corr(v, stim.s) AS r FROM long l JOIN stim ON l.trial = stim.trial AND l.t = stim.t GROUP BY ALL)
+    SELECT y, ch, win, count(*) AS n, round(avg(r), 6) AS mean_r, round(stddev_samp(r) / sqrt(count(*)), 6) AS sem FROM r JOIN cond ON r.trial = cond.trial GROUP BY ALL""",
 )
 def windowed_tracking_means(spark: SparkSession, sf: str) -> DataFrame:
-    j = signal(spark, sf).select("trial", "t", F.col("x")[3].alias("v")).join(stimulus(spark, sf), ["trial", "t"])
-    r = j.groupBy("trial", F.floor(F.col("t") / 10).alias("win")).agg(safe_corr("v", "s").alias("r"))
-    return r.join(trial_condition(spark, sf), "trial").groupBy("y", "win").agg(
+    j = signal(spark, sf).select("trial", "t", "x").join(stimulus(spark, sf), ["trial", "t"]).select("trial", "t", "s", F.posexplode("x").alias("ch", "v"))
+    r = j.groupBy("trial", "ch", F.floor(F.col("t") / 10).alias("win")).agg(safe_corr("v", "s").alias("r"))
+    return r.join(trial_condition(spark, sf), "trial").groupBy("y", "ch", "win").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 6).alias("mean_r"), F.round(F.stddev_samp("r") / F.sqrt(F.count("r")), 6).alias("sem")
     )
 

@@ -187,12 +187,13 @@ def marker_segment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "trial_stimulus_join", "J9",
-    f"""WITH {SIG}, {STIM} SELECT s.trial, count(*) AS n, round(sum(CAST(x[1] AS DOUBLE) * s), 6) AS xy
-    FROM sig s JOIN stim ON stim.trial = s.trial AND stim.t = s.t GROUP BY s.trial""",
+    f"""WITH {LONG}, {STIM} SELECT l.trial, ch, count(*) AS n, round(sum(v * s), 6) AS xy
+    FROM long l JOIN stim ON stim.trial = l.trial AND stim.t = l.t GROUP BY l.trial, ch""",
 )
 def trial_stimulus_join(spark: SparkSession, sf: str) -> DataFrame:
     j = signal(spark, sf).join(stimulus(spark, sf), ["trial", "t"], "inner")
-    return j.groupBy("trial").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x")[0] * F.col("s")), 6).alias("xy"))
+    j = j.select("trial", "s", F.posexplode("x").alias("ch", "v"))
+    return j.groupBy("trial", "ch").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("v") * F.col("s")), 6).alias("xy"))
 
 
 @query(

@@ -99,14 +99,14 @@ def decimation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fit_to_length", "P11",
-    f"""WITH {SIG}, s AS (SELECT trial, t, CAST(x[1] AS DOUBLE) AS v, 20 + trial * 4 AS len FROM sig), c AS (SELECT * FROM s WHERE t < len)
-    SELECT g.trial, CAST(r.t AS BIGINT) AS t, round(CASE WHEN c.v IS NULL THEN l.v ELSE c.v END, 6) AS v
-    FROM (SELECT trial, max(t) AS mt FROM c GROUP BY trial) g CROSS JOIN range(40) r(t)
-    LEFT JOIN c ON c.trial = g.trial AND c.t = r.t JOIN c l ON l.trial = g.trial AND l.t = g.mt""",
+    f"""WITH {LONG}, s AS (SELECT trial, t, ch, v, 20 + trial * 4 AS len FROM long), c AS (SELECT * FROM s WHERE t < len)
+    SELECT g.trial, g.ch, CAST(r.t AS BIGINT) AS t, round(CASE WHEN c.v IS NULL THEN l.v ELSE c.v END, 6) AS v
+    FROM (SELECT trial, ch, max(t) AS mt FROM c GROUP BY trial, ch) g CROSS JOIN range(40) r(t)
+    LEFT JOIN c ON c.trial = g.trial AND c.ch = g.ch AND c.t = r.t JOIN c l ON l.trial = g.trial AND l.ch = g.ch AND l.t = g.mt""",
 )
 def fit_to_length(spark: SparkSession, sf: str) -> DataFrame:
-    s = signal(spark, sf).where(F.col("t") < 20 + F.col("trial") * 4).select("trial", "t", F.col("x")[0].alias("v"))
-    return fit_length(s, ["trial"], "t", "v", 40).withColumn("v", F.round("v", 6))
+    s = signal_long(spark, sf).where(F.col("t") < 20 + F.col("trial") * 4)
+    return fit_length(s, ["trial", "ch"], "t", "v", 40).withColumn("v", F.round("v", 6))
 
 
 @query(

@@ -9,6 +9,8 @@ from ..operators.ranks import auc, safe_corr
 from ..operators.resample import (
     bootstrap_counts, cluster_mass, mean_difference, pairing_permutations, permutation_p, permuted_labels,
 )
+from ..operators.stats import correlation_vector, mismatch_stats
+from ..session import written
 from .adapters import COND, LONG, SIG, STIM, md5_sql, signal, stimulus, table, trial_condition
 from .aggregate_plans import LAB, _labels
 from .registry import query
@@ -53,20 +55,28 @@ def auc_permutation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "pairing_permutation", "R7 J11 O8",
-    f"""WITH {SIG}, {STIM}, ids AS (SELECT trial, row_number() OVER (ORDER BY trial) - 1 AS pos FROM (SELECT DISTINCT trial FROM sig)),
+    f"""WITH {LONG}, {STIM}, ids AS (SELECT trial, row_number() OVER (ORDER BY trial) - 1 AS pos FROM (SELECT DISTINCT trial FROM sig)),
     pp AS (SELECT 0 AS perm, trial AS i, trial AS j FROM ids UNION ALL SELECT perm, a.trial, b.trial FROM (SELECT perm, trial, row_number() OVER (PARTITION BY perm ORDER BY {md5_sql('pair', 'perm', 'trial')}, trial) - 1 AS pos FROM ids, range(1, {N_PERM + 1}) r(perm)) a JOIN ids b ON a.pos = b.pos),
-    m AS (SELECT a.trial AS i, b.trial AS j, corr(CAST(a.x[4] AS DOUBLE), b.s) AS r FROM sig a JOIN stim b ON a.t = b.t GROUP BY ALL),
-    st AS (SELECT perm, avg(r) AS stat FROM pp JOIN m USING (i, j) GROUP BY perm) """ + _p_sql("stat", 0),
+    m AS (SELECT i, j, avg(abs(r)) AS r FROM (SELECT a.trial AS i, b.trial AS j, ch, corr(a.v, b.s) AS r FROM long a JOIN stim b ON a.t = b.t GROUP BY ALL) GROUP BY i, j),
+    st AS (SELECT perm, avg(r) AS stat FROM pp JOIN m USING (i, j) GROUP BY perm)
+    SELECT round(o.stat, 6) AS observed, round((o.stat - avg(s.stat)) / (stddev_pop(s.stat) + 1e-12), 4) AS z, count(*) AS n_perm, count(*) FILTER (s.stat >= o.stat) AS n_ge, round(count(*) FILTER (s.stat >= o.stat) / count(*), 6) AS p
+    FROM st s, (SELECT stat FROM st WHERE perm = 0) o WHERE s.perm > 0 GROUP BY o.stat""",
 )
 def pairing_permutation(spark: SparkSession, sf: str) -> DataFrame:
-    """Matched pairing against shuffled pairings; every needed pair is scored once."""
-    sig = signal(spark, sf).select(F.col("trial").alias("i"), "t", F.col("x")[3].alias("v"))
-    st = stimulus(spark, sf).withColumnRenamed("trial", "j")
-    ids = sig.select(F.col("i").alias("trial")).distinct()
-    pairs = pairing_permutations(ids, "trial", N_PERM)
-    scored = pairs.select("i", "j").distinct().join(sig, "i").join(st, ["j", "t"]).groupBy("i", "j").agg(safe_corr("v", "s").alias("r"))
-    stats = pairs.join(scored, ["i", "j"]).groupBy("perm").agg(F.avg("r").alias("stat"))
-    return _p(permutation_p(stats, [], "stat", add_one=False))
+    """Matched pairing against shuffled pairings: mean absolute correlation over all channels, with z and p.
+
+    Every pair that some permutation uses is scored once; the signal is read once for all its partners.
+    """
+    sig = signal(spark, sf).select("trial", "t", "x")
+    stim = stimulus(spark, sf).select("trial", "t", F.array("s").alias("y"))
+    pairs = written(pairing_permutations(sig.select("trial").distinct(), "trial", N_PERM), "pairs")
+    cross = mismatch_stats(sig, stim, pairs.select("i", "j").distinct(), [0], [0])
+    r = correlation_vector(cross, ["i", "j"], 64, 1)
+    scored = r.select("i", "j", (F.aggregate("x", F.lit(0.0), lambda a, v: a + F.abs(v)) / F.size("x")).alias("r"))
+    stats = pairs.join(written(scored, "scored-pairs"), ["i", "j"]).groupBy("perm").agg(F.avg("r").alias("stat"))
+    out = permutation_p(stats, [], "stat", add_one=False)
+    z = (F.col("observed") - F.col("null_mean")) / (F.col("null_sd") + 1e-12)
+    return out.select(F.round("observed", 6).alias("observed"), F.round(z, 4).alias("z"), "n_perm", "n_ge", F.round("p", 6).alias("p"))
 
 
 NP = 40
@@ -134,12 +144,13 @@ def stratified_bootstrap_effect(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fold_mean_curve", "R11",
-    f"""WITH {SIG}, {STIM}, c AS (SELECT s.trial % 4 AS fold, d AS shift, corr(CAST(x[4] AS DOUBLE), stim.s) AS r FROM sig s, range(5) q(d) JOIN stim ON stim.trial = s.trial AND stim.t = s.t - d GROUP BY ALL)
-    SELECT shift, round(avg(r), 6) AS r FROM c GROUP BY shift""",
+    f"""WITH {LONG}, {STIM}, c AS (SELECT l.trial % 4 AS fold, ch, d AS shift, corr(v, stim.s) AS r FROM long l, range(5) q(d) JOIN stim ON stim.trial = l.trial AND stim.t = l.t - d GROUP BY ALL)
+    SELECT ch, shift, round(avg(r), 6) AS r FROM c GROUP BY ch, shift""",
 )
 def fold_mean_curve(spark: SparkSession, sf: str) -> DataFrame:
-    sig = signal(spark, sf).select("trial", "t", F.col("x")[3].alias("v"))
+    sig = signal(spark, sf).select("trial", "t", "x")
     st = stimulus(spark, sf).withColumn("shift", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))))
     st = st.select("trial", (F.col("t") + F.col("shift")).alias("t"), "shift", "s")
-    c = sig.join(st, ["trial", "t"]).groupBy((F.col("trial") % 4).alias("fold"), "shift").agg(safe_corr("v", "s").alias("r"))
-    return c.groupBy("shift").agg(F.round(F.avg("r"), 6).alias("r"))
+    j = sig.join(st, ["trial", "t"]).select("trial", "shift", "s", F.posexplode("x").alias("ch", "v"))
+    c = j.groupBy((F.col("trial") % 4).alias("fold"), "ch", "shift").agg(safe_corr("v", "s").alias("r"))
+    return c.groupBy("ch", "shift").agg(F.round(F.avg("r"), 6).alias("r"))

@@ -17,6 +17,7 @@ from .adapters import EV, LONG, SIG, STIM, events, md5_sql, signal, signal_long,
 from .registry import query
 
 V0 = "v AS (SELECT trial, t, CAST(x[1] AS DOUBLE) AS v, CAST(x[2] AS DOUBLE) AS w FROM sig)"
+VC = LONG + ", v AS (SELECT trial, t, ch, v FROM long)"
 BLOCK = DEFAULT_WIDTH
 
 
@@ -57,14 +58,13 @@ WIDTHS = smoother_widths(6, 2, 32)
 
 @query(
     "smoother_bank", "W4 W5 W28 F13",
-    f"WITH {SIG}, {V0} SELECT trial, t, "
-    + ", ".join(f"round(avg(v) OVER (PARTITION BY trial ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6) AS s_{n}" for n in WIDTHS)
+    f"WITH {VC} SELECT trial, t, ch, "
+    + ", ".join(f"round(avg(v) OVER (PARTITION BY trial, ch ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6) AS s_{n}" for n in WIDTHS)
     + " FROM v",
 )
 def smoother_bank_query(spark: SparkSession, sf: str) -> DataFrame:
-    v = signal(spark, sf).select("trial", "t", F.col("x")[0].alias("v"))
-    out = smoother_bank(v, ["trial"], "v", WIDTHS, width=BLOCK)
-    return out.select("trial", "t", *[F.round(f"s_{n}", 6).alias(f"s_{n}") for n in WIDTHS])
+    out = smoother_bank(signal_long(spark, sf), ["trial", "ch"], "v", WIDTHS, width=BLOCK)
+    return out.select("trial", "t", "ch", *[F.round(f"s_{n}", 6).alias(f"s_{n}") for n in WIDTHS])
 
 
 @query(
@@ -87,80 +87,80 @@ def counter_impulses_query(spark: SparkSession, sf: str) -> DataFrame:
     return counter_impulses(ev, ["user_id"], ["us", "event_id"], "k").select("event_id", "impulse")
 
 
-RUNS = f"""{SIG}, {V0}, f AS (SELECT trial, t, v, v > 0 AS m FROM v), g AS (SELECT *, t - row_number() OVER (PARTITION BY trial, m ORDER BY t) AS island FROM f),
-r AS (SELECT trial, min(t) AS start, max(t) + 1 AS "end", sum(v - 0.05) AS mass FROM g WHERE m GROUP BY trial, island)"""
+RUNS = f"""{VC}, f AS (SELECT trial, t, ch, v, v > 0 AS m FROM v), g AS (SELECT *, t - row_number() OVER (PARTITION BY trial, ch, m ORDER BY t) AS island FROM f),
+r AS (SELECT trial, ch, min(t) AS start, max(t) + 1 AS "end", sum(v - 0.05) AS mass FROM g WHERE m GROUP BY trial, ch, island)"""
 
 
 def _runs(spark, sf):
-    v = signal(spark, sf).select("trial", "t", F.col("x")[0].alias("v"))
-    return v, true_runs(v, ["trial"], "t", F.col("v") > 0, F.col("v") - 0.05)
+    v = signal_long(spark, sf)
+    return v, true_runs(v, ["trial", "ch"], "t", F.col("v") > 0, F.col("v") - 0.05)
 
 
-@query("true_runs", "W9", f'WITH {RUNS} SELECT trial, start, "end", round(mass, 6) AS mass FROM r')
+@query("true_runs", "W9", f'WITH {RUNS} SELECT trial, ch, start, "end", round(mass, 6) AS mass FROM r')
 def true_runs_query(spark: SparkSession, sf: str) -> DataFrame:
-    return _runs(spark, sf)[1].select("trial", "start", "end", F.round("mass", 6).alias("mass"))
+    return _runs(spark, sf)[1].select("trial", "ch", "start", "end", F.round("mass", 6).alias("mass"))
 
 
-@query("largest_run_mass", "W10", f"WITH {RUNS} SELECT v.trial, round(coalesce(max(mass), 0.0), 6) AS max_mass FROM (SELECT DISTINCT trial FROM v) v LEFT JOIN r ON r.trial = v.trial GROUP BY v.trial")
+@query("largest_run_mass", "W10", f"WITH {RUNS} SELECT v.trial, v.ch, round(coalesce(max(mass), 0.0), 6) AS max_mass FROM (SELECT DISTINCT trial, ch FROM v) v LEFT JOIN r ON r.trial = v.trial AND r.ch = v.ch GROUP BY v.trial, v.ch")
 def largest_run_mass(spark: SparkSession, sf: str) -> DataFrame:
     v, runs = _runs(spark, sf)
-    return largest_mass(runs, v.select("trial").distinct(), ["trial"]).select("trial", F.round("max_mass", 6).alias("max_mass"))
+    return largest_mass(runs, v.select("trial", "ch").distinct(), ["trial", "ch"]).select("trial", "ch", F.round("max_mass", 6).alias("max_mass"))
 
 
 @query(
     "non_overlapping_windows", "W11",
-    f"""WITH {SIG}, {V0} SELECT trial, t // 16 AS win, count(*) AS n, round(avg(v), 6) AS mean_v FROM v WHERE (t // 16 + 1) * 16 <= 50 GROUP BY ALL""",
+    f"""WITH {VC} SELECT trial, ch, t // 16 AS win, count(*) AS n, round(avg(v), 6) AS mean_v FROM v WHERE (t // 16 + 1) * 16 <= 50 GROUP BY ALL""",
 )
 def non_overlapping_windows(spark: SparkSession, sf: str) -> DataFrame:
-    v = signal(spark, sf).select("trial", "t", F.col("x")[0].alias("v"))
-    return full_windows(v, ["trial"], "t", 16, lengths(v, ["trial"])).groupBy("trial", "win").agg(
+    v = signal_long(spark, sf)
+    return full_windows(v, ["trial"], "t", 16, lengths(v, ["trial"])).groupBy("trial", "ch", "win").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean_v")
     )
 
 
 @query(
     "sliding_windows", "W12",
-    f"""WITH {SIG}, {V0} SELECT trial, win, round((2 * win * 5 + 20) / 2.0 / 64.0, 6) AS centre_s, count(*) AS n, round(avg(v), 6) AS mean_v
+    f"""WITH {VC} SELECT trial, ch, win, round((2 * win * 5 + 20) / 2.0 / 64.0, 6) AS centre_s, count(*) AS n, round(avg(v), 6) AS mean_v
     FROM v JOIN range(7) r(win) ON t >= win * 5 AND t < win * 5 + 20 AND win * 5 + 20 <= 50 GROUP BY ALL""",
 )
 def sliding_windows_query(spark: SparkSession, sf: str) -> DataFrame:
-    v = signal(spark, sf).select("trial", "t", F.col("x")[0].alias("v"))
+    v = signal_long(spark, sf)
     w = sliding_windows(v, ["trial"], "t", 20, 5, lengths(v, ["trial"]))
-    return w.groupBy("trial", "win").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean_v")).select(
-        "trial", "win", F.round((2 * F.col("win") * 5 + 20) / 2.0 / 64.0, 6).alias("centre_s"), "n", "mean_v"
+    return w.groupBy("trial", "ch", "win").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean_v")).select(
+        "trial", "ch", "win", F.round((2 * F.col("win") * 5 + 20) / 2.0 / 64.0, 6).alias("centre_s"), "n", "mean_v"
     )
 
 
 @query(
     "equal_windows", "W13",
-    f"""WITH {SIG}, {V0} SELECT trial, win, count(*) AS n, round(avg(v), 6) AS mean_v FROM v JOIN range(6) r(win) ON t >= win * 50 // 6 AND t < (win + 1) * 50 // 6 GROUP BY ALL""",
+    f"""WITH {VC} SELECT trial, ch, win, count(*) AS n, round(avg(v), 6) AS mean_v FROM v JOIN range(6) r(win) ON t >= win * 50 // 6 AND t < (win + 1) * 50 // 6 GROUP BY ALL""",
 )
 def equal_windows_query(spark: SparkSession, sf: str) -> DataFrame:
-    v = signal(spark, sf).select("trial", "t", F.col("x")[0].alias("v"))
+    v = signal_long(spark, sf)
     w = v.join(lengths(v, ["trial"]), "trial").withColumn("win", equal_windows(F.col("t"), F.col("_len"), 6))
-    return w.groupBy("trial", "win").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean_v"))
+    return w.groupBy("trial", "ch", "win").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean_v"))
 
 
 @query(
     "spread_windows", "W14",
-    f"""WITH {SIG}, {V0} SELECT trial, CAST(round_even(27 * i / 3.0, 0) AS BIGINT) AS start, count(*) AS n, round(avg(v), 6) AS mean_v
+    f"""WITH {VC} SELECT trial, ch, CAST(round_even(27 * i / 3.0, 0) AS BIGINT) AS start, count(*) AS n, round(avg(v), 6) AS mean_v
     FROM v JOIN range(4) r(i) ON t >= round_even(27 * i / 3.0, 0) AND t < round_even(27 * i / 3.0, 0) + 23 GROUP BY ALL""",
 )
 def spread_windows_query(spark: SparkSession, sf: str) -> DataFrame:
-    v = signal(spark, sf).select("trial", "t", F.col("x")[0].alias("v"))
-    return spread_windows(v, ["trial"], "t", 23, 4, lengths(v, ["trial"])).groupBy("trial", "start").agg(
+    v = signal_long(spark, sf)
+    return spread_windows(v, ["trial"], "t", 23, 4, lengths(v, ["trial"])).groupBy("trial", "ch", "start").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean_v")
     )
 
 
 @query(
     "equal_bins", "W15",
-    f"""WITH {SIG}, {V0}, b AS (SELECT *, ntile(7) OVER (PARTITION BY trial ORDER BY t) - 1 AS bin FROM v) SELECT trial, CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(v), 6) AS mean_v FROM b GROUP BY ALL""",
+    f"""WITH {VC}, b AS (SELECT *, ntile(7) OVER (PARTITION BY trial, ch ORDER BY t) - 1 AS bin FROM v) SELECT trial, ch, CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(v), 6) AS mean_v FROM b GROUP BY ALL""",
 )
 def equal_bins(spark: SparkSession, sf: str) -> DataFrame:
-    v = signal(spark, sf).select("trial", "t", F.col("x")[0].alias("v"))
+    v = signal_long(spark, sf)
     b = v.join(lengths(v, ["trial"]), "trial").withColumn("bin", ntile_of(F.col("t"), F.col("_len"), 7))
-    return b.groupBy("trial", "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean_v"))
+    return b.groupBy("trial", "ch", "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean_v"))
 
 
 @query(
@@ -187,17 +187,15 @@ def average_reference_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "gap_interpolation", "W21",
-    f"""WITH {SIG}, g AS (SELECT trial, t, CASE WHEN t % 7 IN (0, 3, 4) THEN NULL ELSE CAST(x[1] AS DOUBLE) END AS v FROM sig),
-    p AS (SELECT trial, t, v, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER (PARTITION BY trial ORDER BY t) AS ta, last_value(v IGNORE NULLS) OVER (PARTITION BY trial ORDER BY t) AS va,
-      first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER (PARTITION BY trial ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tb,
-      first_value(v IGNORE NULLS) OVER (PARTITION BY trial ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS vb FROM g)
-    SELECT trial, t, round(CASE WHEN va IS NULL THEN vb WHEN vb IS NULL THEN va WHEN ta = tb THEN va ELSE va + (vb - va) * (t - ta) / (tb - ta) END, 6) AS filled FROM p""",
+    f"""WITH {LONG}, g AS (SELECT trial, t, ch, CASE WHEN t % 7 IN (0, 3, 4) THEN NULL ELSE v END AS v FROM long),
+    p AS (SELECT trial, t, ch, v, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER (PARTITION BY trial, ch ORDER BY t) AS ta, last_value(v IGNORE NULLS) OVER (PARTITION BY trial, ch ORDER BY t) AS va,
+      first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER (PARTITION BY trial, ch ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tb,
+      first_value(v IGNORE NULLS) OVER (PARTITION BY trial, ch ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS vb FROM g)
+    SELECT trial, t, ch, round(CASE WHEN va IS NULL THEN vb WHEN vb IS NULL THEN va WHEN ta = tb THEN va ELSE va + (vb - va) * (t - ta) / (tb - ta) END, 6) AS filled FROM p""",
 )
 def gap_interpolation(spark: SparkSession, sf: str) -> DataFrame:
-    v = signal(spark, sf).select(
-        "trial", "t", F.when(~(F.col("t") % 7).isin(0, 3, 4), F.col("x")[0]).alias("v")
-    )
-    return interpolated(v, ["trial"], "t", "v").select("trial", "t", F.round("filled", 6).alias("filled"))
+    v = signal_long(spark, sf).withColumn("v", F.when(~(F.col("t") % 7).isin(0, 3, 4), F.col("v")))
+    return interpolated(v, ["trial", "ch"], "t", "v").select("trial", "t", "ch", F.round("filled", 6).alias("filled"))
 
 
 CLIP = """it AS (SELECT source, doc_id, n_chars / 15.0 AS dur FROM documents), o AS (SELECT *, coalesce(sum(dur + 0.5) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM it)"""
