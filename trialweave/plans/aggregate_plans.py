@@ -369,8 +369,8 @@ def sparse_repair_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "neighbour_repair", "X22",
-    f"""WITH {LONG}, {RING}, k AS (SELECT * FROM kr WHERE ch IN (3, 9) AND nbr NOT IN (3, 9)) SELECT a.trial, a.t, k.ch, round(sum(a.v / dist) / sum(1 / dist), 6) AS v, true AS repaired FROM long a JOIN k ON a.ch = k.nbr GROUP BY ALL
-    UNION ALL SELECT trial, t, ch, round(v, 6), false FROM long WHERE ch NOT IN (3, 9)""",
+    f"""WITH {SIG} SELECT trial, t, CAST(ch AS INTEGER) AS ch, CASE WHEN ch IN (3, 9) THEN round((CAST(x[ch + 2] AS DOUBLE) + CAST(x[ch + 3] AS DOUBLE) / 2 + CAST(x[ch + 4] AS DOUBLE) / 3 + CAST(x[ch + 5] AS DOUBLE) / 4) / (1.0::DOUBLE + 1.0::DOUBLE / 2 + 1.0::DOUBLE / 3 + 1.0::DOUBLE / 4), 6)
+    ELSE round(CAST(x[ch + 1] AS DOUBLE), 6) END AS v, ch IN (3, 9) AS repaired FROM sig, range(64) r(ch)""",
 )
 def neighbour_repair(spark: SparkSession, sf: str) -> DataFrame:
     long = signal_long(spark, sf)

@@ -370,8 +370,9 @@ def event_table_sinks(spark: SparkSession, sf: str) -> DataFrame:
 def feature_cache(spark: SparkSession, sf: str) -> DataFrame:
     """Trials to compute again: two thirds are absent, every even one was cached under another montage."""
     sig = signal(spark, sf)
-    feats = sig.groupBy("trial").agg(F.avg(F.col("x")[0]).alias("m")).select(
-        "trial", F.array("m").alias("feature"),
+    means = sig.select("trial", F.posexplode("x").alias("ch", "v")).groupBy("trial", "ch").agg(F.avg("v").alias("m"))
+    feats = means.groupBy("trial").agg(F.sort_array(F.collect_list(F.struct("ch", "m"))).alias("f")).select(
+        "trial", F.col("f.m").alias("feature"),
         F.when(F.col("trial") % 2 == 0, F.md5(F.lit("other"))).otherwise(F.md5(F.lit("montage"))).alias("channel_hash"),
     )
     path = scratch_path(spark, "features")

@@ -21,26 +21,33 @@ VC = LONG + ", v AS (SELECT trial, t, ch, v FROM long)"
 BLOCK = DEFAULT_WIDTH
 
 
+def _weighted(values):
+    """Sum of all values of an array times their place, which shows every column of a wide view in one number."""
+    return F.aggregate(F.transform(values, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+
+
 @query(
     "causal_lag_matrix", "W1 G1 G6",
-    f"""WITH {SIG}, {V0} SELECT trial, t, round(v, 6) AS l0_c0, round(coalesce(lag(v, 3) OVER (PARTITION BY trial ORDER BY t), 0.0), 6) AS l3_c0,
-    round(coalesce(lag(w, 7) OVER (PARTITION BY trial ORDER BY t), 0.0), 6) AS l7_c1, 512 AS width FROM v""",
+    f"""WITH {LONG}, c AS (SELECT a.trial, a.t, round(sum(z.v * (k * 64 + z.ch + 1)), 4) AS weighted FROM (SELECT DISTINCT trial, t FROM sig) a CROSS JOIN range(8) r(k) JOIN long z ON z.trial = a.trial AND z.t = a.t - k GROUP BY ALL),
+    {V0} SELECT v.trial, v.t, round(v, 6) AS l0_c0, round(coalesce(lag(v, 3) OVER (PARTITION BY v.trial ORDER BY v.t), 0.0), 6) AS l3_c0,
+    round(coalesce(lag(w, 7) OVER (PARTITION BY v.trial ORDER BY v.t), 0.0), 6) AS l7_c1, weighted, 512 AS width FROM v JOIN c ON c.trial = v.trial AND c.t = v.t""",
 )
 def causal_lag_matrix(spark: SparkSession, sf: str) -> DataFrame:
     m = causal_lags(signal(spark, sf), ["trial"], "x", 8, width=BLOCK)
     at = lambda lag, ch: F.round(F.get("lagged", F.lit(lag * 64 + ch)), 6)
-    return m.select("trial", "t", at(0, 0).alias("l0_c0"), at(3, 0).alias("l3_c0"), at(7, 1).alias("l7_c1"), F.size("lagged").alias("width"))
+    return m.select("trial", "t", at(0, 0).alias("l0_c0"), at(3, 0).alias("l3_c0"), at(7, 1).alias("l7_c1"), F.round(_weighted(F.col("lagged")), 4).alias("weighted"), F.size("lagged").alias("width"))
 
 
 @query(
     "signed_lag_matrix", "W2 Q2",
-    f"""WITH {SIG}, {V0}, n AS (SELECT trial, count(*) AS n FROM v GROUP BY 1), l AS (SELECT v.trial, t, n, lag(v, 2) OVER w AS a, lead(v, 4) OVER w AS b, v AS c FROM v JOIN n ON v.trial = n.trial WINDOW w AS (PARTITION BY v.trial ORDER BY t))
-    SELECT trial, t, round(CASE WHEN t >= 4 AND t < n - 4 THEN a ELSE 0 END, 6) AS lag_2, round(CASE WHEN t >= 4 AND t < n - 4 THEN b ELSE 0 END, 6) AS lead_4, round(CASE WHEN t >= 4 AND t < n - 4 THEN c ELSE 0 END, 6) AS lag_0 FROM l""",
+    f"""WITH {LONG}, {V0}, n AS (SELECT trial, count(*) AS n FROM v GROUP BY 1),
+    c AS (SELECT a.trial, a.t, round(sum(z.v * (i * 64 + z.ch + 1)), 4) AS weighted FROM (SELECT DISTINCT trial, t FROM sig) a JOIN n ON n.trial = a.trial AND a.t >= 4 AND a.t < n - 4 CROSS JOIN (VALUES (0, 2), (1, -4), (2, 0)) r(i, k) JOIN long z ON z.trial = a.trial AND z.t = a.t - k GROUP BY ALL), l AS (SELECT v.trial, t, n, lag(v, 2) OVER w AS a, lead(v, 4) OVER w AS b, v AS c FROM v JOIN n ON v.trial = n.trial WINDOW w AS (PARTITION BY v.trial ORDER BY t))
+    SELECT l.trial, l.t, round(CASE WHEN l.t >= 4 AND l.t < n - 4 THEN a ELSE 0 END, 6) AS lag_2, round(CASE WHEN l.t >= 4 AND l.t < n - 4 THEN b ELSE 0 END, 6) AS lead_4, round(CASE WHEN l.t >= 4 AND l.t < n - 4 THEN l.c ELSE 0 END, 6) AS lag_0, coalesce(weighted, 0.0) AS weighted FROM l LEFT JOIN c ON c.trial = l.trial AND c.t = l.t""",
 )
 def signed_lag_matrix(spark: SparkSession, sf: str) -> DataFrame:
     m = signed_lags(signal(spark, sf), ["trial"], "x", [2, -4, 0], width=BLOCK)
     at = lambda i: F.round(F.get("lagged", F.lit(i * 64)), 6)
-    return m.select("trial", "t", at(0).alias("lag_2"), at(1).alias("lead_4"), at(2).alias("lag_0"))
+    return m.select("trial", "t", at(0).alias("lag_2"), at(1).alias("lead_4"), at(2).alias("lag_0"), F.round(_weighted(F.col("lagged")), 4).alias("weighted"))
 
 
 @query(
