@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import linalg as la
 from ..session import written
-from .stats import map_rows, sum_vectors, trial_stats
+from .stats import map_rows, moved_by, pilot_mean, sum_vectors, trial_stats
 
 
 def train_rows(rows: DataFrame, fold: str, k: int) -> DataFrame:
@@ -28,8 +28,10 @@ def test_rows(rows: DataFrame, fold: str) -> DataFrame:
     return rows.withColumn("model_fold", F.col(fold).cast("int")).drop(fold)
 
 
-def _moments(rows: DataFrame, by: Sequence[str], x: str) -> DataFrame:
-    """Count, mean and population std vectors per key; a zero std counts as 1."""
+def _moments(rows: DataFrame, by: Sequence[str], x: str, pilot: DataFrame | None = None) -> DataFrame:
+    """Count, mean and population std vectors per key, summed about ``pilot``; a zero std counts as 1."""
+    if pilot is not None:
+        rows = moved_by(rows, x, pilot)
     packed = rows.withColumn("_v", F.concat(F.array(F.lit(1.0)), F.col(x), F.transform(x, lambda v: v * v)))
     s = sum_vectors(packed, by, "_v")
     n = F.col("s")[0]
@@ -39,6 +41,8 @@ def _moments(rows: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     square = F.zip_with(F.slice("s", p + 2, p), count, lambda a, m: a / m)
     std = F.zip_with(square, mean, lambda a, m: F.sqrt(F.greatest(a - m * m, F.lit(0.0))))
     out = s.select(*by, n.alias("n"), mean.alias("m"), std.alias("sd"))
+    if pilot is not None:
+        out = out.crossJoin(F.broadcast(pilot)).withColumn("m", F.zip_with("m", "pilot", lambda a, b: a + b)).drop("pilot")
     return out.withColumn("sd", F.transform("sd", lambda v: F.when(v < 1e-12, 1.0).otherwise(v)))
 
 
@@ -58,7 +62,7 @@ def fit_lda(rows: DataFrame, by: Sequence[str], y: str, x: str, shrink: str | fl
     """
     by = list(by)
     # moments are one row per model: writing them keeps this at three scans of the rows
-    base = written(_moments(rows, by, x), "moments")
+    base = written(_moments(rows, by, x, pilot_mean(rows, x)), "moments")
     attach = lambda d, e, on: d.join(e, on) if on else d.crossJoin(F.broadcast(e))
     z = attach(rows.select(*by, F.col(y).alias("_y"), x), base.drop("n"), by).select(*by, "_y", standardised(x, "m", "sd").alias("z"))
     cls = _moments(z, [*by, "_y"], "z").select(*by, "_y", F.col("n").alias("cn"), F.col("m").alias("cm"), F.col("sd").alias("csd"))
@@ -124,7 +128,8 @@ def leave_one_out_lda(rows: DataFrame, by: Sequence[str], group: str, y: str, x:
     group's own part, so the cost grows with the rows and not with rows times groups.  A group
     whose rest holds one class only gets no model, and its rows a null.
     """
-    keys = [*by, group]
+    keys, asked, pilot = [*by, group], rows, pilot_mean(rows, x)
+    rows = moved_by(rows, x, pilot)
     outer = F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: a * b)))
     packed = rows.withColumn("_v", F.concat(F.array(F.lit(1.0)), F.col(x), outer))
     own = written(sum_vectors(packed, [*keys, y], "_v"), "group-sums")
@@ -146,8 +151,10 @@ def leave_one_out_lda(rows: DataFrame, by: Sequence[str], group: str, y: str, x:
         yield (*[row[c] for c in keys], w, float(-0.5 * (m[0] + m[1]) @ w + np.log(n[1] / n[0])))
 
     models = map_rows(pair, one, types + "w array<double>, b double")
-    dot = F.aggregate(F.zip_with(x, "w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    return rows.join(models, keys, "left").withColumn(out, F.col("b") + dot).drop("w", "b")
+    moved = F.zip_with(F.zip_with(x, "pilot", lambda a, m: a - m), "w", lambda a, b: a * b)
+    dot = F.aggregate(moved, F.lit(0.0), lambda a, v: a + v)
+    scored = asked.join(models, keys, "left").crossJoin(F.broadcast(pilot)).withColumn(out, F.col("b") + dot)
+    return scored.drop("w", "b", "pilot")
 
 
 def match_discriminant(rows: DataFrame, fold: str, other_fold: str, k: int, own: str = "own", x: str = "x") -> DataFrame:

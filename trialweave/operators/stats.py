@@ -122,6 +122,22 @@ def sum_vectors(df: DataFrame, by: Sequence[str], vector: str, weight: str | Non
     return _whole(_final_sum(partial, by), by)
 
 
+def pilot_mean(df: DataFrame, x: str) -> DataFrame:
+    """One row ``pilot``: the mean of an array column, element by element."""
+    s = sum_vectors(df.select(F.concat(F.array(F.lit(1.0)), F.col(x)).alias("_v")), [], "_v")
+    n, size = F.col("s")[0], F.size("s")
+    return written(s.select(F.transform(F.slice("s", F.lit(2), size - 1), lambda v: v / n).alias("pilot")), "pilot")
+
+
+def moved_by(df: DataFrame, x: str, pilot: DataFrame) -> DataFrame:
+    """``df`` with ``x`` less the pilot mean.
+
+    Covariances do not change, but sums of products of the moved values keep the digits that raw sums lose
+    where the mean is large; sums of any parts of the rows stay mergeable, as all are moved alike.
+    """
+    return df.crossJoin(F.broadcast(pilot)).withColumn(x, F.zip_with(x, "pilot", lambda a, b: a - b)).drop("pilot")
+
+
 def sum_vectors_by_draw(df: DataFrame, vector: str, weights: str) -> DataFrame:
     """``(draw, s)``: for each place of the array ``weights`` the sum of ``vector`` weighted by it.
 

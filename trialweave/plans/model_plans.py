@@ -20,7 +20,7 @@ from ..operators.resample import kfold, mismatched_partners, permutation_p, perm
 from ..operators.selection import decimated
 from ..operators.series import equal_windows, lengths
 from ..operators.spectral import log_bands, band_pass, fir_bank
-from ..operators.stats import lagged_stats, mismatch_stats, sum_vectors, total_stats, train_stats, trial_stats
+from ..operators.stats import lagged_stats, mismatch_stats, moved_by, pilot_mean, sum_vectors, total_stats, train_stats, trial_stats
 from .adapters import COND, LONG, SIG, STIM, md5_sql, signal, signal_long, stimulus, trial_condition
 from ..session import written
 from .registry import query
@@ -56,7 +56,9 @@ def _fold_stats(spark, sf, spec: Spec, shifts=None):
     FROM long a JOIN long b ON a.trial = b.trial AND a.t = b.t JOIN m ma ON ma.ch = a.ch JOIN m mb ON mb.ch = b.ch GROUP BY a.ch, b.ch""",
 )
 def pooled_covariance(spark: SparkSession, sf: str) -> DataFrame:
+    """Population covariance of all channels from sums about a pilot mean."""
     _, _, both = _views(spark, sf)
+    both = moved_by(both, "x", pilot_mean(both, "x"))
     s = total_stats(trial_stats(both, ["trial"], "x", "y"))
     return s.select("s", F.posexplode(F.slice("s", 1 + P + 2, P * P)).alias("i", "xx")).select(
         F.floor(F.col("i") / P).cast("int").alias("i"), (F.col("i") % P).cast("int").alias("j"),
@@ -90,6 +92,7 @@ def mean_abs_correlation(spark: SparkSession, sf: str) -> DataFrame:
             yield (ch, float(v))
 
     _, _, both = _views(spark, sf)
+    both = moved_by(both, "x", pilot_mean(both, "x"))
     s = total_stats(trial_stats(both, ["trial"], "x", "y"))
     return map_rows(s, one, "ch int, mean_abs_r double")
 
@@ -357,6 +360,7 @@ def hierarchy_tracking(spark: SparkSession, sf: str) -> DataFrame:
 @query("covariance_spectrum", "M40")
 def covariance_spectrum(spark: SparkSession, sf: str) -> DataFrame:
     _, _, both = _views(spark, sf)
+    both = moved_by(both, "x", pilot_mean(both, "x"))
     return eigenspectrum(total_stats(trial_stats(both, ["trial"], "x", "y")), P, 1, 30).withColumn("share", F.round("share", 8))
 
 

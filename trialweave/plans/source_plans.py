@@ -10,11 +10,12 @@ from ..sources.logs import (
     append_checked, discover_log, last_by_id, merge_new, next_ids, read_or_empty, read_sessions,
     scored_trials, session_summary, stale_keys, write_stamped,
 )
+from ..sources.multiplexed import scan_recordings, write_recordings
 from ..sources.recordings import (
     decode_samples, markers_of, recording_start, sample_to_micros, scan_channel_map,
     scan_electrodes, scan_headers, scan_markers,
 )
-from .adapters import EV, SIG, events, signal, table, words
+from .adapters import LONG, EV, SIG, events, signal, table, words
 from .registry import query
 
 DAY0 = 1_704_067_200_000_000  # 2024-01-01 in epoch microseconds
@@ -127,6 +128,19 @@ def multiplexed_samples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "raw_recording_scan", "S6 P8",
+    f"WITH {LONG} SELECT trial, t, count(*) AS n_ch, round(sum(v * (ch + 1)), 4) AS weighted FROM long GROUP BY trial, t",
+)
+def raw_recording_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Recordings on disk, a file per trial, read in byte ranges of 16 samples."""
+    path = scratch_path(spark, "recordings")
+    write_recordings(signal(spark, sf).select(F.col("trial").alias("recording"), "t", "x"), path)
+    back = scan_recordings(spark, path, 64, samples_per_split=16)
+    weighted = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return back.select(F.col("recording").cast("bigint").alias("trial"), "t", F.size("x").cast("bigint").alias("n_ch"), F.round(weighted, 4).alias("weighted"))
+
+
 PART = 1000  # rows per document, by place in the session: a long session is several documents
 
 
