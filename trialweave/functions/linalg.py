@@ -10,10 +10,6 @@ import math
 import numpy as np
 
 
-def stats_length(p: int, q: int) -> int:
-    return 1 + p + q + p * p + q * q + p * q
-
-
 def gram(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Statistics vector of the rows of two views."""
     return np.concatenate([
@@ -183,47 +179,6 @@ def clip8(x: np.ndarray) -> np.ndarray:
     return np.clip(np.nan_to_num(x, nan=0.0, posinf=8.0, neginf=-8.0), -8.0, 8.0)
 
 
-def _beta_cf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 300):
-        for num in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-14:
-            break
-    return h
-
-
-def t_two_sided(t: float, dof: float) -> float:
-    """Two-sided p-value of Student's t."""
-    if not math.isfinite(t) or dof <= 0:
-        return float("nan")
-    x = dof / (dof + t * t)
-    a, b = dof / 2.0, 0.5
-    if x >= 1.0:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_cf(a, b, x) / a
-    return 1.0 - front * _beta_cf(b, a, 1 - x) / b
-
-
-def spearman_p(rho: float, n: int) -> float:
-    if n < 3 or abs(rho) >= 1:
-        return 0.0 if n >= 3 else float("nan")
-    return t_two_sided(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
-
-
 def haufe(cov: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Unit-norm activation pattern of a linear filter."""
     a = cov @ w

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import written
-from .stats import _Sums, _final_sum, _key_fields, _whole, map_rows, sum_vectors
+from .stats import _Sums, _final_sum, _key_fields, _whole, map_rows, moved_by, pilot_mean, sum_vectors
 
 MAX_NUMBERS = 1 << 24
 
@@ -22,7 +22,8 @@ MAX_NUMBERS = 1 << 24
 def _train_moments(rows: DataFrame, by: Sequence[str], fold: str, x: str) -> DataFrame:
     """``(by..., model_fold, m, sd)``: mean and population std of the rows outside each fold; a zero std counts as 1."""
     by = list(by)
-    packed = rows.withColumn("_v", F.concat(F.array(F.lit(1.0)), F.col(x), F.transform(x, lambda v: v * v)))
+    pilot = pilot_mean(rows, x)
+    packed = moved_by(rows.select(*by, fold, x), x, pilot).withColumn("_v", F.concat(F.array(F.lit(1.0)), F.col(x), F.transform(x, lambda v: v * v)))
     held = written(sum_vectors(packed, [*by, fold], "_v"), "fold-moments")
     total = sum_vectors(held, by, "s").withColumnRenamed("s", "_all")
     both = held.join(total, by) if by else held.crossJoin(F.broadcast(total))
@@ -31,7 +32,8 @@ def _train_moments(rows: DataFrame, by: Sequence[str], fold: str, x: str) -> Dat
     mean = F.transform(F.slice("s", 2, p), lambda v: v / n)
     var = F.zip_with(F.transform(F.slice("s", p + 2, p), lambda v: v / n), mean, lambda q, m: F.greatest(q - m * m, F.lit(0.0)))
     sd = F.transform(var, lambda v: F.when(v < 1e-24, 1.0).otherwise(F.sqrt(v)))
-    return s.where(n > 0.5).select(*by, "model_fold", mean.alias("m"), sd.alias("sd"))
+    near = s.where(n > 0.5).select(*by, "model_fold", mean.alias("m"), sd.alias("sd"))
+    return near.crossJoin(F.broadcast(pilot)).withColumn("m", F.zip_with("m", "pilot", lambda a, b: a + b)).drop("pilot")
 
 
 def _keys_of(pdf: pd.DataFrame, by: Sequence[str]):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import linalg as la
 from ..session import written
-from .stats import map_rows, sum_vectors, trial_stats
+from .stats import map_rows, moved_by, pilot_mean, sum_vectors, trial_stats
 
 #: Numbers that the bases of all folds may have together when they go to every task.
 MAX_NUMBERS = 1 << 22
@@ -22,13 +22,14 @@ def fold_bases(rows: DataFrame, fold: str, x: str, k: int) -> DataFrame:
     One Gram matrix per fold; a training part is the total minus the fold.  The basis is stored by
     component, each with its largest weight positive.
     """
-    packed = rows.withColumn("_one", F.array(F.lit(1.0)))
+    pilot = pilot_mean(rows, x)
+    packed = moved_by(rows.select(fold, x), x, pilot).withColumn("_one", F.array(F.lit(1.0)))
     held = written(trial_stats(packed, [fold], x, "_one"), "fold-grams")
     total = sum_vectors(held, [], "s").withColumnRenamed("s", "_all")
 
     def one(row):
         s = np.asarray(row["_all"]) - np.asarray(row["s"])
-        p = len(row["x0"])
+        p = len(row["pilot"])
         if s[0] < 0.5:
             return
         _, m, _, cov, _, _ = la.covariances(s, p, 1)
@@ -37,11 +38,10 @@ def fold_bases(rows: DataFrame, fold: str, x: str, k: int) -> DataFrame:
         _, v = la.spectrum(cov / np.outer(sd, sd))
         v = v[:, : min(k, p)]
         v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
-        yield (int(row[fold]), m, sd, v.T.ravel())
+        yield (int(row[fold]), m + np.asarray(row["pilot"]), sd, v.T.ravel())
 
-    shape = rows.select(F.col(x).alias("x0")).limit(1)
-    joined = held.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(shape))
-    return map_rows(joined.select(fold, "s", "_all", "x0"), one, "model_fold int, m array<double>, sd array<double>, basis array<double>")
+    joined = held.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(pilot))
+    return map_rows(joined.select(fold, "s", "_all", "pilot"), one, "model_fold int, m array<double>, sd array<double>, basis array<double>")
 
 
 def fold_components(rows: DataFrame, fold: str, k_folds: int, x: str, k: int) -> DataFrame:

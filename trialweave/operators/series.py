@@ -274,11 +274,13 @@ def sliding_correlations(
         first = ends - size + 1
         whole = (first >= 0) & (ts[np.maximum(first, 0)] == ts[ends] + 1 - size)
         ends, first = ends[whole], first[whole]
+        if not len(ends):
+            return pd.DataFrame([], columns=schema.names)
         p = v.shape[1]
         m = (run[ends + 1] - run[first]) / size
         a, aa, ab, b, bb = m[:, :p], m[:, p : 2 * p], m[:, 2 * p : 3 * p], m[:, 3 * p : 3 * p + 1], m[:, 3 * p + 1 :]
         spread = np.sqrt(np.maximum(aa - a * a, 0) * np.maximum(bb - b * b, 0))
         r = np.where(spread > 1e-15, (ab - a * b) / np.maximum(spread, 1e-300), 0.0)
-        return pd.DataFrame({trial: pdf[trial].iloc[0], "win": (ts[ends] + 1 - size) // step, "x": list(r)}, columns=schema.names)
+        return pd.DataFrame({trial: [pdf[trial].iloc[0]] * len(ends), "win": (ts[ends] + 1 - size) // step, "x": list(r)}, columns=schema.names)
 
     return map_blocks(df.select(trial, "t", x, y), [trial], task, schema, "t", before=size - 1, after=0, width=width)
