@@ -30,12 +30,14 @@ class Spec:
     shrink: float = 0.0
     rcond: float = 1e-8
     alpha: float = 0.0
+    x_first: int = 0  # first delay of either side; below zero it reaches ahead
+    y_first: int = 0
 
     def x_basis(self):
-        return Smooth(smoother_widths(21, 2, 128)) if self.smooth else Lags(range(self.x_lags))
+        return Smooth(smoother_widths(21, 2, 128)) if self.smooth else Lags(range(self.x_first, self.x_first + self.x_lags))
 
     def y_basis(self):
-        return Smooth(smoother_widths(21, 2, 128)) if self.smooth else Lags(range(self.y_lags))
+        return Smooth(smoother_widths(21, 2, 128)) if self.smooth else Lags(range(self.y_first, self.y_first + self.y_lags))
 
 
 # Lag counts and reductions of the six named models.

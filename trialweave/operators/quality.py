@@ -28,18 +28,18 @@ def channel_stats(long: DataFrame, by: Sequence[str], v: str = "v") -> DataFrame
 def robust_z(df: DataFrame, by: Sequence[str], value: str, out: str, floor: float = 2.220446049250313e-16, add: float | None = None) -> DataFrame:
     """``0.6745 * (x - median) / MAD`` per group, nulls and NaN left out.
 
-    The divisor is ``max(MAD, floor)``, or ``MAD + add`` where ``add`` is given.
+    The divisor is ``max(MAD, floor)``, or ``MAD + add`` where ``add`` is given.  ``df`` has one row per
+    channel and key, so a group is as large as the montage and its medians are one exact aggregate.
     """
     by = list(by)
-    # one row per channel, read by both medians: write it once instead of deriving it four times
     clean = written(df.withColumn("_x", F.when(~F.isnan(value), F.col(value))), "robust-z")
 
-    def attach(rows: DataFrame, source: DataFrame, col: str, name: str) -> DataFrame:
-        med = exact_quantiles(source, by, col, {name: 0.5})
+    def attach(rows: DataFrame, col: str, name: str) -> DataFrame:
+        med = rows.groupBy(*by).agg(F.percentile(col, F.lit(0.5)).alias(name))
         return rows.join(med, by) if by else rows.crossJoin(F.broadcast(med))
 
-    centred = attach(clean, clean, "_x", "_med").withColumn("_dev", F.abs(F.col("_x") - F.col("_med")))
-    both = attach(centred, centred, "_dev", "_mad")
+    centred = attach(clean, "_x", "_med").withColumn("_dev", F.abs(F.col("_x") - F.col("_med")))
+    both = attach(centred, "_dev", "_mad")
     div = F.greatest(F.col("_mad"), F.lit(floor)) if add is None else F.col("_mad") + F.lit(add)
     return both.withColumn(out, F.lit(0.6745) * (F.col("_x") - F.col("_med")) / div).drop("_x", "_med", "_dev", "_mad")
 

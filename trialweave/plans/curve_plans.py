@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.lag_products import assemble, fold_scores, lag_products, lagged_sums
-from ..operators.models import Spec
+from ..operators.models import Spec, fit, patterns
 from ..operators.responses import component_summary, impulse_responses, transfer_function
 from ..operators.spectral import band_pass, fir_bank, log_bands
 from ..operators.stats import map_rows, total_stats, trial_stats
 from ..session import written
-from .adapters import LONG, STIM
+from .adapters import COND, LONG, STIM, trial_condition
 from .model_plans import BLOCK, P, _folds, _views
 from .registry import query
 from .roi_plans import G, J, SH, SHIFTS, _roi, solve_sql
@@ -185,3 +185,48 @@ def roi_component_maps(spark: SparkSession, sf: str) -> DataFrame:
     tf = transfer_function(parts, ["comp"], "taps", RATE).select("comp", F.lit("transfer").alias("kind"), F.col("bin").alias("i"), F.col("magnitude").alias("v"))
     topo = parts.select("comp", F.lit("map").alias("kind"), F.posexplode("topo").alias("i", "v"))
     return tf.unionByName(topo).withColumn("v", F.round("v", 6))
+
+
+@query(
+    "signed_delay_response", "M14 M20",
+    f"""WITH {LONG}, {STIM}, {COND}, l AS (SELECT trial, t, coalesce(lead(s) OVER w, 0.0) AS a, s AS b FROM stim WINDOW w AS (PARTITION BY trial ORDER BY t)),
+    c AS (SELECT y, ch, count(*) * var_pop(a) AS aa, count(*) * var_pop(b) AS bb, count(*) * covar_pop(a, b) AS ab, count(*) * covar_pop(a, v) AS av, count(*) * covar_pop(b, v) AS bv FROM long JOIN l USING (trial, t) JOIN cond USING (trial) GROUP BY ALL)
+    SELECT y, ch, round(((bb + 1) * av - ab * bv) / ((aa + 1) * (bb + 1) - ab * ab), 6) AS ahead, round(((aa + 1) * bv - ab * av) / ((aa + 1) * (bb + 1) - ab * ab), 6) AS now FROM c""",
+)
+def signed_delay_response(spark: SparkSession, sf: str) -> DataFrame:
+    """Ridge response of every channel with delays -1 and 0, for each attended condition."""
+    _, _, both = _views(spark, sf)
+    spec = Spec("ridge_forward", y_first=-1, y_lags=2, alpha=1.0)
+    rows = both.join(F.broadcast(trial_condition(spark, sf).withColumnRenamed("y", "cond")), "trial")
+    total = lagged_sums(rows, ["trial"], ["cond"], "x", "y", spec.x_basis(), spec.y_basis(), width=BLOCK)
+    taps = impulse_responses(total, ["cond"], P, 2, spec)
+    return taps.select(F.col("cond").alias("y"), "ch", F.round(F.col("taps")[0], 6).alias("ahead"), F.round(F.col("taps")[1], 6).alias("now"))
+
+
+@query("final_patterns", "M20 M14 M27")
+def final_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Three pattern sets of all data: forward response and backward pattern of attend-audio trials, and the forward
+    response of attend-visual trials to two visual features (level and change of the second half of the channels)."""
+    from ..operators.series import frame_change
+
+    sig, stim, both = _views(spark, sf)
+    cond = F.broadcast(trial_condition(spark, sf).withColumnRenamed("y", "cond"))
+    seen = frame_change(sig.select("trial", "t", F.slice("x", 33, 32).alias("x")), ["trial"], "x", width=BLOCK)
+    visual = sig.join(seen.select("trial", "t", F.array("level", "change").alias("y")), ["trial", "t"])
+    out = None
+    for name, rows, wanted, spec, features in (
+        ("audio_forward", both, 1, Spec("ridge_forward", y_first=-2, y_lags=9, alpha=1.0), 1),
+        ("audio_backward", both, 1, Spec("ridge_backward", x_first=-2, x_lags=5, alpha=1.0), 1),
+        ("visual_forward", visual, 0, Spec("ridge_forward", y_first=-2, y_lags=9, alpha=1.0), 2),
+    ):
+        chosen = rows.join(cond, "trial").where(F.col("cond") == wanted)
+        total = written(lagged_sums(chosen, ["trial"], ["cond"], "x", "y", spec.x_basis(), spec.y_basis(), width=BLOCK), "total")
+        models = fit(total, ["cond"], P, features, {name: spec})
+        if name == "audio_backward":
+            pt = patterns(models, total, ["cond"], P * spec.x_lags, 1).select("comp", F.posexplode("px").alias("i", "w"))
+        else:  # weights of every channel: delay outer, feature inner
+            long = models.select("k", F.posexplode("ay").alias("i", "w"))
+            pt = long.select((F.col("i") % F.col("k")).cast("int").alias("comp"), F.floor(F.col("i") / F.col("k")).cast("int").alias("i"), "w")
+        pt = pt.select(F.lit(name).alias("kind"), "comp", "i", F.round("w", 6).alias("w"))
+        out = pt if out is None else out.unionByName(pt)
+    return out

@@ -294,8 +294,12 @@ def _variates(spark, sf):
 
 @query("tracking_features", "M36 M35 W13 A32 K1")
 def tracking_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-trial tracking: mean, first component, early, late, slope and spread over six windows."""
-    rows = component_rows(_variates(spark, sf))
+    """Per-trial tracking: engagement, mean, first component, early, late, slope and spread over six windows.
+
+    Engagement is the mean less that against three other trials' stimuli.
+    """
+    var = _variates(spark, sf)
+    rows = component_rows(var)
     rows = rows.join(lengths(rows, ["trial"]), "trial").withColumn("win", equal_windows(F.col("t"), F.col("_len"), 6))
     whole = rows.groupBy("trial", "comp").agg(safe_corr("a", "b").alias("r")).groupBy("trial").agg(
         F.avg("r").alias("mean_r"), F.max(F.when(F.col("comp") == 0, F.col("r"))).alias("first_r")
@@ -305,10 +309,21 @@ def tracking_features(spark: SparkSession, sf: str) -> DataFrame:
         F.avg(F.when(F.col("win") < 3, F.col("r"))).alias("early"), F.avg(F.when(F.col("win") >= 3, F.col("r"))).alias("late"),
         F.regr_slope("r", F.col("win").cast("double")).alias("slope"), F.stddev_pop("r").alias("spread"),
     )
-    out = whole.join(shape, "trial")
+    out = whole.join(shape, "trial").join(mismatch_mean(var, 3), "trial").withColumn("engagement", F.col("mean_r") - F.col("null_r")).drop("null_r")
     return out.select("trial", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
+def mismatch_mean(var: DataFrame, m: int) -> DataFrame:
+    """``(trial, null_r)``: mean correlation of a trial's signal variates with those of ``m`` other trials' stimuli."""
+    trials = var.select("trial").distinct().withColumn("stim", F.col("trial"))
+    pairs = mismatched_partners(trials, "trial", "stim", m)
+    u = var.select(F.col("trial").alias("i"), "t", "u")
+    v = var.select(F.col("trial").alias("j"), "t", "v")
+    z = pairs.join(u, "i").join(v, ["j", "t"]).select("i", "j", F.posexplode(F.arrays_zip("u", "v")).alias("comp", "z"))
+    r = z.groupBy("i", "j", "comp").agg(safe_corr("z.u", "z.v").alias("r"))
+    return r.groupBy(F.col("i").alias("trial")).agg(F.avg("r").alias("null_r"))
+
+
 @query("attention_decision", "M32 W18")
 def attention_decision(spark: SparkSession, sf: str) -> DataFrame:
     """Audio or visual by the sign of the difference of standardised tracking scores."""
@@ -417,17 +432,19 @@ def temporal_generalisation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("whole_window_decoder", "M30 R5 X12")
 def whole_window_decoder(spark: SparkSession, sf: str) -> DataFrame:
-    """One discriminant on window features with a label-permutation p-value."""
+    """One discriminant on the window features of all channels, its confusion counts and a label-permutation p-value."""
     cols = ["bin0", "bin1", "bin2", "bin3", "log_var", "log_alpha"]
-    per = window_features(spark, sf).groupBy("trial", F.floor(F.col("ch") / 8).alias("site")).agg(*[F.avg(c).alias(c) for c in cols])
-    x = per.groupBy("trial").agg(F.sort_array(F.collect_list(F.struct("site", F.array(*cols).alias("v")))).alias("s"))
+    per = window_features(spark, sf)
+    x = per.groupBy("trial").agg(F.sort_array(F.collect_list(F.struct("ch", F.array(*cols).alias("v")))).alias("s"))
     x = x.select("trial", F.flatten(F.transform("s", lambda r: r.v)).alias("x"))
     labels = permuted_labels(trial_condition(spark, sf), "trial", "y", 10)
     folds = _strat(spark, sf).select("trial", "fold")
     rows = labels.join(x, "trial").join(folds, "trial")
-    sc = cross_validated(written(rows, "features"), ["perm"], "fold", 2, "y", "x")
-    st = auc(sc.withColumn("score", F.round("score", 9)), ["perm"], "y", "score").withColumnRenamed("auc", "stat")
-    return permutation_p(st, [], "stat").select(F.round("observed", 6).alias("auc"), "n_perm", "n_ge", F.round("p", 6).alias("p"))
+    sc = written(cross_validated(written(rows, "features"), ["perm"], "fold", 2, "y", "x").select("perm", "y", F.round("score", 9).alias("score")), "scores")
+    st = auc(sc, ["perm"], "y", "score").withColumnRenamed("auc", "stat")
+    cells = confusion(sc.where("perm = 0").withColumn("pred", (F.col("score") > 0).cast("int")), ["perm"], "y", "pred").drop("perm", "accuracy")
+    p = permutation_p(st, [], "stat").select(F.round("observed", 6).alias("auc"), "n_perm", "n_ge", F.round("p", 6).alias("p"))
+    return p.crossJoin(F.broadcast(cells))
 
 
 @query("feature_set_comparison", "M31 M39 X10")

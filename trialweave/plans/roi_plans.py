@@ -20,7 +20,7 @@ from ..operators.series import equal_windows, lengths, sign_fixed
 from ..operators.stats import correlation_vector, lagged_stats, mismatch_stats, sum_vectors, total_stats, train_stats, trial_stats
 from ..session import written
 from .adapters import COND, LONG, SIG, STIM, md5_sql, signal, stimulus, trial_condition
-from .model_plans import BLOCK, FOLD_SQL, FOLDS, _folds, _strat
+from .model_plans import BLOCK, FOLD_SQL, FOLDS, _folds, _strat, mismatch_mean
 from .registry import query
 from .signal_plans import WELCH, _psd
 
@@ -173,23 +173,26 @@ def roi_covariance_spectrum(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "roi_tracking_features", "M7 M36 W13 A32",
-    f"""{J}, {W}, u AS (SELECT j.trial, t, t * 6 // 50 AS w0, wa * a + wb * b AS u, s FROM j JOIN w ON w.fold = j.fold), wn AS (SELECT trial, win, corr(u, s) AS r FROM u JOIN range(6) q(win) ON t >= win * 50 // 6 AND t < (win + 1) * 50 // 6 GROUP BY ALL),
-    f AS (SELECT trial, avg(r) FILTER (win < 3) AS early, avg(r) FILTER (win >= 3) AS late, regr_slope(r, win) AS slope, stddev_pop(r) AS spread FROM wn GROUP BY trial), g AS (SELECT trial, corr(u, s) AS mean_r FROM u GROUP BY trial)
-    SELECT trial, round(mean_r, 6) AS mean_r, round(early, 6) AS early, round(late, 6) AS late, round(slope, 6) AS slope, round(spread, 6) AS spread FROM f JOIN g USING (trial)""",
+    f"""{J}, {W}, {MATES}, u AS (SELECT j.trial, t, t * 6 // 50 AS w0, wa * a + wb * b AS u, s FROM j JOIN w ON w.fold = j.fold), wn AS (SELECT trial, win, corr(u, s) AS r FROM u JOIN range(6) q(win) ON t >= win * 50 // 6 AND t < (win + 1) * 50 // 6 GROUP BY ALL),
+    f AS (SELECT trial, avg(r) FILTER (win < 3) AS early, avg(r) FILTER (win >= 3) AS late, regr_slope(r, win) AS slope, stddev_pop(r) AS spread FROM wn GROUP BY trial), g AS (SELECT trial, corr(u, s) AS mean_r FROM u GROUP BY trial),
+    nu AS (SELECT trial, avg(r) AS null_r FROM (SELECT pr.i AS trial, pr.j, corr(u.u, z.s) AS r FROM pr JOIN u ON u.trial = pr.i JOIN stim z ON z.trial = pr.j AND z.t = u.t GROUP BY ALL) GROUP BY trial)
+    SELECT trial, round(mean_r - null_r, 6) AS engagement, round(mean_r, 6) AS mean_r, round(early, 6) AS early, round(late, 6) AS late, round(slope, 6) AS slope, round(spread, 6) AS spread FROM f JOIN g USING (trial) JOIN nu USING (trial)""",
 )
 def roi_tracking_features(spark: SparkSession, sf: str) -> DataFrame:
     sig, stim, _ = _roi(spark, sf)
     st = _stats(spark, sf)
     models = _positive(fit(train_stats(st, "fold"), ["fold"], 2, 1, {"rcca": SPEC}))
-    rows = component_rows(written(variates(sig, stim, models, _folds(spark, sf), [0], [0], width=BLOCK), "variates"))
-    whole = rows.groupBy("trial").agg(safe_corr("a", "b").alias("mean_r"))
+    var = written(variates(sig, stim, models, _folds(spark, sf), [0], [0], width=BLOCK), "variates")
+    rows = component_rows(var)
+    whole = rows.groupBy("trial").agg(safe_corr("a", "b").alias("mean_r")).join(mismatch_mean(var, 3), "trial")
+    whole = whole.withColumn("engagement", F.col("mean_r") - F.col("null_r"))
     win = rows.join(lengths(rows, ["trial"]), "trial").withColumn("win", equal_windows(F.col("t"), F.col("_len"), 6))
     win = win.groupBy("trial", "win").agg(safe_corr("a", "b").alias("r"))
     shape = win.groupBy("trial").agg(
         F.avg(F.when(F.col("win") < 3, F.col("r"))).alias("early"), F.avg(F.when(F.col("win") >= 3, F.col("r"))).alias("late"),
         F.regr_slope("r", F.col("win").cast("double")).alias("slope"), F.stddev_pop("r").alias("spread"),
     )
-    return whole.join(shape, "trial").select("trial", *[F.round(c, 6).alias(c) for c in ("mean_r", "early", "late", "slope", "spread")])
+    return whole.join(shape, "trial").select("trial", *[F.round(c, 6).alias(c) for c in ("engagement", "mean_r", "early", "late", "slope", "spread")])
 
 
 @query(
