@@ -171,6 +171,24 @@ def with_flat_reference(x: Column, order: Sequence[int]) -> Column:
     return F.transform(F.filter(keyed, lambda r: r.p >= 0), lambda r: r.v)
 
 
+def upsampled(df: DataFrame, by: Sequence[str], t: str, value: str, factor: int, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """``factor`` times as many samples, on straight lines between neighbours; nothing follows the last sample."""
+    near = framed(df.select(*by, t, value), by, {"_next": lambda w: F.lead(value).over(w), "_at": lambda w: F.lead(t).over(w)}, t, after=1, width=width)
+    steps = F.when(F.col("_at") == F.col(t) + 1, F.sequence(F.lit(0), F.lit(factor - 1))).otherwise(F.array(F.lit(0)))
+    rows = near.withColumn("_k", F.explode(steps))
+    line = F.when(F.col("_k") == 0, F.col(value)).otherwise(F.col(value) + (F.col("_next") - F.col(value)) * F.col("_k") / factor)
+    return rows.select(*by, (F.col(t) * factor + F.col("_k")).alias(t), line.alias(value))
+
+
+def after_onset(df: DataFrame, segments: DataFrame, key: str, skip: int, t: str = "t") -> DataFrame:
+    """The samples of each segment ``(key, start, end, ...)`` without its first ``skip``, with time counted from there.
+
+    Segments are few per series, so samples are met by an equi-join on the series and filtered by the range.
+    """
+    inside = df.join(segments, key).where((F.col(t) >= F.col("start") + skip) & (F.col(t) < F.col("end")))
+    return inside.withColumn(t, F.col(t) - F.col("start") - skip).drop("start", "end")
+
+
 def interpolated(df: DataFrame, by: Sequence[str], t: str, value: str, min_valid: int = 8) -> DataFrame:
     """Linear interpolation across missing values, ends held flat.
 
