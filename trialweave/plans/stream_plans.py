@@ -26,7 +26,7 @@ def _markers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str, delay: str = "1 hour") -> DataFrame:
-    """The events as overlapping batches of markers, read one file at a time."""
+    """The events as four or more overlapping batches of markers, two files each."""
     return marker_stream(spark, write_marker_feed(_markers(spark, sf), scratch_path(spark, "live")), delay)
 
 
@@ -69,16 +69,20 @@ def stream_twin_suppression(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stream_reaction_time", "T4",
-    f"""WITH {EV} SELECT b.event_id AS beep, round(min(a.us - b.us) / 1e6, 6) AS rt_s FROM ev b JOIN ev a ON a.user_id = b.user_id AND a.event_type = 'view' AND a.us > b.us AND a.us <= b.us + 21600000000 WHERE b.event_type = 'click' GROUP BY b.event_id""",
+    f"""WITH {EV} SELECT b.event_id AS beep, round(min(a.us - b.us) / 1e6, 6) AS rt_s FROM ev b LEFT JOIN ev a ON a.user_id = b.user_id AND a.event_type = 'view' AND a.us > b.us AND a.us <= b.us + 21600000000
+    WHERE b.event_type = 'click' AND b.us + 86400000000 < {MAX_US} GROUP BY b.event_id""",
 )
 def stream_reaction_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Time from a beep to the first answer within six hours, null without one, of beeps that the watermark has passed by a day."""
     path = scratch_path(spark, "beeps")
     feed = write_marker_feed(_markers(spark, sf), path)
     beeps = marker_stream(spark, feed).where("label = 'audio_onset'")
     answers = marker_stream(spark, feed).where("label = 'av_onset'")
     out = drain(responses(beeps, answers, "6 hours"))
     rt = (F.unix_micros("answer_ts") - F.unix_micros("beep_ts")) / 1e6
-    return out.where("answer is not null").groupBy("beep").agg(F.round(F.min(rt), 6).alias("rt_s"))
+    last = events(spark, sf).agg((F.max("us") - 3_600_000_000).alias("_last"))
+    passed = out.crossJoin(F.broadcast(last)).where(F.unix_micros("beep_ts") + 86_400_000_000 < F.col("_last"))
+    return passed.groupBy("beep").agg(F.round(F.min(rt), 6).alias("rt_s"))
 
 
 def _win_sql(size_h: int, slide_h: int) -> str:

@@ -20,7 +20,7 @@ MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 PAYLOAD = "label string, trial bigint, marker_id bigint, value double, k int"
 
 
-def marker_stream(spark: SparkSession, path: str, delay: str = "1 hour", files: int = 1) -> DataFrame:
+def marker_stream(spark: SparkSession, path: str, delay: str = "1 hour", files: int = 2) -> DataFrame:
     """JSON-lines marker files as a stream with event time ``ts`` and parsed payload fields.
 
     ``files`` is the number of files that one batch reads at most.
@@ -186,16 +186,21 @@ def write_markers(markers: DataFrame, path: str) -> None:
     markers.write.option("timestampFormat", MICROS).json(path)
 
 
-def write_marker_feed(markers: DataFrame, path: str, slices: int = 2, jitter_s: int = 1500) -> str:
+#: Files of a slice of the feed at least, and markers in a file at most.
+SLICE_FILES, FILE_ROWS = 2, 1_000_000
+
+
+def write_marker_feed(markers: DataFrame, path: str, slices: int = 4, jitter_s: int = 1500) -> str:
     """Marker files as several batches that overlap: each marker moves by up to ``jitter_s`` in the order
-    of arrival, and every slice of arrival time is one folder with one file.  Returns the glob to read."""
+    of arrival, and every slice of arrival time is one folder.  Its files are as many as its markers ask for,
+    each written by a task of its own.  Returns the glob to read."""
     moved = F.unix_micros("ts") + (F.pmod(F.xxhash64("session", "payload"), F.lit(2 * jitter_s)) - jitter_s) * 1_000_000
     held = markers.withColumn("_at", moved)
-    low, high = held.agg(F.min("_at"), F.max("_at")).first()
-    width = ((high or 0) - (low or 0)) // slices + 1
+    low, high, rows = held.agg(F.min("_at"), F.max("_at"), F.count(F.lit(1))).first()
+    width, files = ((high or 0) - (low or 0)) // slices + 1, max(SLICE_FILES, -(-rows // (slices * FILE_ROWS)))
     for i in range(slices):
         part = held.where(F.floor((F.col("_at") - F.lit(low or 0)) / width) == i).drop("_at")
-        write_markers(part.repartition(1), f"{path}/{i}")
+        write_markers(part.repartition(files), f"{path}/{i}")
     return f"{path}/*"
 
 
