@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialweave.functions import linalg as la
-from trialweave.operators.classify import cross_validated, csp_filters, fit_lda, logistic_cv, train_rows
+from trialweave.operators.classify import cross_validated, csp_filters, fit_lda, train_rows, with_square_norm
+from trialweave.operators.logistic import logistic_cross_validated
 from trialweave.operators.components import unmixing, without_artifacts
 from trialweave.operators.models import PRESETS, Spec, component_rows, fit, preset, score, variates
 from trialweave.operators.ranks import auc, safe_corr
@@ -145,7 +146,7 @@ def test_cross_validation_finds_classes_and_null_does_not(spark):
     good = auc(cross_validated(df, [], "fold", 4, "y", "x"), [], "y", "score").head().auc
     null = permuted_labels(df, "id", "y", 6).where("perm > 0")
     chance = auc(cross_validated(null, ["perm"], "fold", 4, "y", "x"), ["perm"], "y", "score").agg(F.avg("auc")).head()[0]
-    logit = auc(logistic_cv(df, "fold", 4, "y", "x"), [], "y", "score").head().auc
+    logit = auc(logistic_cross_validated(df, [], "fold", "y", "x"), [], "y", "score").head().auc
     assert good > 0.8 and logit > 0.8 and abs(chance - 0.5) < 0.08
 
 
@@ -162,8 +163,8 @@ def test_spatial_filters_separate_power(spark):
         x = rng.normal(size=(200, 4))
         x[:, k % 2] *= 4
         rows += [(k, k % 2, r.tolist(), [0.0]) for r in x]
-    st = trial_stats(spark.createDataFrame(rows, "trial int, y int, x array<double>, z array<double>"), ["trial", "y"], "x", "z")
-    f = csp_filters(st.withColumn("m", F.lit(0)), ["m"], "y", 4, 1, 2).head().filters
+    st = trial_stats(with_square_norm(spark.createDataFrame(rows, "trial int, y int, x array<double>, z array<double>")), ["trial", "y"], "x", "q")
+    f = csp_filters(st.withColumn("m", F.lit(0)), ["m"], "y", 4, 2).head().filters
     assert set(np.abs(np.asarray(f).reshape(4, 2)).argmax(0)) == {0, 1}
 
 
