@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.linalg import covariances
 from ..session import written
-from .ordered import exact_quantiles
 from .spectral import matrix_applied
 from .stats import map_rows
 

@@ -8,12 +8,12 @@ from ..operators.lag_products import assemble, fold_scores, lag_products, lagged
 from ..operators.models import Spec, fit, patterns
 from ..operators.responses import component_summary, impulse_responses, transfer_function
 from ..operators.spectral import band_pass, fir_bank, log_bands
-from ..operators.stats import map_rows, total_stats, trial_stats
+from ..operators.stats import map_rows
 from ..session import written
 from .adapters import COND, LONG, STIM, trial_condition
 from .model_plans import BLOCK, P, _folds, _views
 from .registry import query
-from .roi_plans import G, J, SH, SHIFTS, _roi, solve_sql
+from .roi_plans import G, J, SHIFTS, _roi, solve_sql
 
 RATE = 64.0
 

@@ -13,7 +13,7 @@ from ..operators.principal import fold_components
 from ..operators.ranks import spearman
 from ..operators.resample import bootstrap_counts, cluster_mass, permuted_labels
 from ..operators.series import sign_agreed, sign_fixed, sliding_correlations
-from ..operators.stats import sum_vectors_by_draw, total_stats, trial_stats
+from ..operators.stats import sum_vectors_by_draw, trial_stats
 from ..session import written
 from .adapters import COND, LONG, STIM, md5_sql, signal, table, trial_condition
 from .aggregate_plans import TIER
