@@ -40,8 +40,8 @@ def _permuted_sums(rows: DataFrame, by: Sequence[str], fold: str, x: str) -> Dat
                 ones = np.hstack([labels.sum(0)[:, None], labels.T @ v])
                 acc.add(key if isinstance(key, tuple) else (key,), np.concatenate([[len(v)], v.sum(0), (v.T @ v).ravel(), ones.ravel()]))
                 if acc.bytes > FLUSH_BYTES:
-                    yield acc.rows()
-        yield acc.rows()
+                    yield from acc.frames()
+        yield from acc.frames()
 
     partial = rows.select(*keys, x, "labels").mapInPandas(task, schema)
     return _whole(_final_sum(partial, keys), keys)

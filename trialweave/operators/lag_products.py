@@ -55,10 +55,10 @@ def sum_over_blocks(
                     held = []
                 held.append(part)
                 if acc.bytes > FLUSH_BYTES:
-                    yield acc.rows()
+                    yield from acc.frames()
         if held:
             close()
-        yield acc.rows()
+        yield from acc.frames()
 
     return _whole(_final_sum(dealt.mapInPandas(task, schema), names), names)
 
@@ -148,8 +148,8 @@ def lag_products(
                     views.append(view)
                 acc.add(tuple(row[c] for c in sum_by), gram(*views))
                 if acc.bytes > FLUSH_BYTES:
-                    yield acc.rows()
-        yield acc.rows()
+                    yield from acc.frames()
+        yield from acc.frames()
 
     hung = _whole(_final_sum(tails.mapInPandas(overhang, schema), sum_by), sum_by).withColumnRenamed("s", "_e")
     joined = whole.join(hung, sum_by) if sum_by else whole.crossJoin(F.broadcast(hung))

@@ -96,8 +96,8 @@ def fit_logistic_folds(
                         upper = ((z * (p * (1 - p))[:, None]).T @ z)[np.triu_indices(z.shape[1])]
                         acc.add(model, np.concatenate([[lost], z.T @ error, upper]))
                         if acc.bytes > 96 << 20:
-                            yield acc.rows()
-            yield acc.rows()
+                            yield from acc.frames()
+            yield from acc.frames()
 
         def solve(row):
             key = tuple(row[c] for c in names)

@@ -129,10 +129,11 @@ def bootstrap_mean_map(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stratified_bootstrap_effect(spark: SparkSession, sf: str) -> DataFrame:
     q = _labels(spark, sf).select("doc_id", "quality", F.col("score").cast("double").alias("score"))
-    draws = bootstrap_counts(q, ["quality"], "doc_id", NB).join(q, ["quality", "doc_id"])
+    carry = {"c": F.count(F.lit(1)), "s": F.sum("score"), "ss": F.sum(F.col("score") * F.col("score"))}
+    draws = bootstrap_counts(q, ["quality"], "doc_id", NB, carry=carry).where("doc_id is not null")
     # weighted moments per (bootstrap, label): a drawn copy is a weight, never a copied row
-    m, v = F.col("mult"), F.col("score")
-    g = draws.groupBy("boot", "quality").agg(F.sum(m).alias("n"), F.sum(m * v).alias("s"), F.sum(m * v * v).alias("ss"))
+    m = F.col("mult")
+    g = written(draws.groupBy("boot", "quality").agg(*[F.sum(m * F.col(a)).alias(b) for a, b in (("c", "n"), ("s", "s"), ("ss", "ss"))]), "moments")
     pick = lambda c, y: F.max(F.when(F.col("quality") == y, F.col(c)))
     e = g.groupBy("boot").agg(*[pick(c, y).alias(f"{c}{y}") for c in ("n", "s", "ss") for y in (0, 1)])
     ss = lambda y: F.col(f"ss{y}") - F.col(f"s{y}") * F.col(f"s{y}") / F.col(f"n{y}")

@@ -11,9 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 MARKER_LINE = r"^Mk(\d+)=([^,]*),([^,]*),(\d+),(\d+),(\d+)(?:,(\d{20}))?"
 
 
-def scan_markers(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ``Mk`` line; partition folders (for example ``session=``) become columns."""
+def scan_markers(spark: SparkSession, path: str, owner: str | None = None) -> DataFrame:
+    """One row per ``Mk`` line; partition folders (for example ``session=``) become columns.
+
+    With ``owner`` each line is headed by the name of its recording and a tab, and that becomes the column.
+    """
     raw = spark.read.text(path)
+    if owner:
+        head = F.substring_index("value", "\t", 1)
+        rest = F.col("value").substr(F.length(head) + 2, F.length("value"))
+        raw = raw.where(F.col("value").contains("\t")).withColumns({owner: F.nullif(head, F.lit("")), "value": rest})
     part = lambda i: F.regexp_extract("value", MARKER_LINE, i)
     keys = [c for c in raw.columns if c != "value"]
     return raw.where(F.col("value").startswith("Mk")).select(

@@ -74,11 +74,9 @@ def assembler(gap_s: float) -> Callable:
     latest event time wins.
     """
 
-    def latest(state: list, at: int, rows: pd.DataFrame, value: str, kind: type) -> None:
-        if len(rows):
-            last = rows.iloc[-1]
-            if state[at + 1] is None or last["s"] >= state[at + 1]:
-                state[at], state[at + 1] = kind(last[value]), float(last["s"])
+    def latest(state: list, at: int, seen: list[tuple], kind: type) -> None:
+        if seen and (state[at + 1] is None or seen[-1][0] >= state[at + 1]):
+            state[at], state[at + 1] = kind(seen[-1][1]), seen[-1][0]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -89,15 +87,21 @@ def assembler(gap_s: float) -> Callable:
             return
         s = list(state.get) if state.exists else [None, 0, None, None, None, None, None, 0.0]
         for pdf in batches:
-            pdf = pdf.assign(s=pd.to_datetime(pdf["ts"]).map(pd.Timestamp.timestamp)).sort_values("s", kind="stable")
-            s[7] = max(s[7], float(pdf["s"].max()))
-            audio, av = pdf[pdf["label"] == "audio_onset"]["s"], pdf[pdf["label"] == "av_onset"]["s"]
-            if len(audio) and (s[1] < 2 or audio.max() >= s[2]):
-                s[0], s[1], s[2] = float(audio.max()), 2, float(audio.max())
-            elif s[1] < 2 and len(av) and (s[1] == 0 or av.min() < s[2]):
-                s[0], s[1], s[2] = float(av.min()), 1, float(av.min())
-            latest(s, 3, pdf[pdf["label"] == "block_end"], "value", float)
-            latest(s, 5, pdf[pdf["label"] == "probe_response"], "k", int)
+            # a trial has few markers: plain lists, as a frame operation costs more than all its rows
+            rows: dict[str, list[tuple]] = {"audio_onset": [], "av_onset": [], "block_end": [], "probe_response": []}
+            times = [t.timestamp() for t in pdf["ts"]]
+            labels, values, ks = (pdf[c].tolist() for c in ("label", "value", "k"))
+            for at in sorted(range(len(times)), key=times.__getitem__):
+                if labels[at] in rows:
+                    rows[labels[at]].append((times[at], ks[at] if labels[at] == "probe_response" else values[at]))
+            s[7] = max(s[7], max(times))
+            audio, av = rows["audio_onset"], rows["av_onset"]
+            if audio and (s[1] < 2 or audio[-1][0] >= s[2]):
+                s[0], s[1], s[2] = audio[-1][0], 2, audio[-1][0]
+            elif s[1] < 2 and av and (s[1] == 0 or av[0][0] < s[2]):
+                s[0], s[1], s[2] = av[0][0], 1, av[0][0]
+            latest(s, 3, rows["block_end"], float)
+            latest(s, 5, rows["probe_response"], int)
         state.update(tuple(s))
         due = max(s[7] + gap_s, state.getCurrentWatermarkMs() / 1000.0 + 0.001)
         state.setTimeoutTimestamp(int(due * 1000))
