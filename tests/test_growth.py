@@ -1,5 +1,7 @@
 """Sums, bootstraps, marker files and trial state at sizes that used to grow with the data."""
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -63,3 +65,23 @@ def test_marker_files_do_not_grow_with_the_sessions(spark, tmp_path):
     assert len(spark.read.text(path).inputFiles()) < 100
     marks = scan_markers(spark, path, "session").where("kind = 'Stimulus'").collect()
     assert sorted((int(m["session"] or 0), m["mk"], m["code"], m["sample"]) for m in marks) == [(i, i + 2, "click", i + 1) for i in range(300)]
+
+
+def test_trial_state_calls_do_not_grow_with_the_trials(spark, tmp_path):
+    from trialweave.streaming.markers import GROUPS, assemble_trials, drain, marker_stream, write_markers
+
+    rows = spark.range(0, 9000, 1, 2).selectExpr(
+        "id div 3 as session", "timestamp_seconds(1704067200 + id % 3) as ts",
+        "to_json(named_struct('label', element_at(array('audio_onset', 'block_end', 'probe_response'), cast(id % 3 + 1 as int)), "
+        "'trial', id % 2, 'marker_id', id, 'value', 1.5, 'k', 7)) as payload",
+    )
+    last = spark.sql("select 99999L as session, timestamp_seconds(1704967200) as ts, '{\"label\": \"trial_start\", \"trial\": 1}' as payload")
+    write_markers(rows, str(tmp_path / "in" / "0"))
+    time.sleep(1.1)  # files are read in the order of their time
+    write_markers(last, str(tmp_path / "in" / "1"))
+    stream = marker_stream(spark, str(tmp_path / "in" / "*"), "1 second", files=2)
+    out = drain(assemble_trials(stream, 30.0)).collect()
+    assert len({(r.session, r.trial) for r in out}) == len(out) == 6000
+    assert GROUPS < 6000
+    # markers 0, 2 of a session fall in one trial and marker 1 in the other, so no trial is complete
+    assert not any(r.complete for r in out) and sum(r.probe == 7 for r in out) == 3000

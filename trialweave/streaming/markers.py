@@ -62,58 +62,72 @@ def drain_updates(stream: DataFrame, keys: list[str], name: str = "updates") ->
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("_r")).select(*keys, "_r.*")
 
 
-STATE = "onset double, onset_rank int, onset_ts double, block double, block_ts double, probe int, probe_ts double, seen_s double"
+TRIAL_STATE = (
+    "session:bigint,trial:bigint,onset:double,onset_rank:int,onset_ts:double,block:double,block_ts:double,probe:int,probe_ts:double,"
+    "seen_s:double,due_s:double"
+)
+STATE = f"trials array<struct<{TRIAL_STATE}>>"
 TRIALS = "session bigint, trial bigint, onset_s double, block_dur_s double, probe int, complete boolean"
+#: State groups that trials are dealt to: a call of the state function costs more than a trial.
+GROUPS = 4096
 
 
 def assembler(gap_s: float) -> Callable:
-    """State function: collects the markers of a trial until the watermark has passed its last one by ``gap_s``.
+    """State function: collects the markers of trials until the watermark has passed a trial's last one by ``gap_s``.
 
     Nothing is emitted earlier, because a marker that belongs to the trial may still come.  The last
     audio onset wins over the first av onset whichever arrives first; for the other markers the
-    latest event time wins.
+    latest event time wins.  A group holds many trials, each with a due time of its own; the group's
+    time-out is the earliest of them.
     """
-
-    def latest(state: list, at: int, seen: list[tuple], kind: type) -> None:
-        if seen and (state[at + 1] is None or seen[-1][0] >= state[at + 1]):
-            state[at], state[at + 1] = kind(seen[-1][1]), seen[-1][0]
+    names = TRIALS.replace(",", "").split()[::2]
+
+    def add(trial: list, at: float, label: str, value, k) -> None:
+        """One marker; the markers of a batch come in order of time."""
+        onset, block, probe = 2, 5, 7
+        if label == "audio_onset" and (trial[3] < 2 or at >= trial[4]):
+            trial[onset : onset + 3] = at, 2, at
+        elif label == "av_onset" and (trial[3] == 0 or (trial[3] == 1 and at < trial[4])):
+            trial[onset : onset + 3] = at, 1, at
+        elif label == "block_end" and (trial[6] is None or at >= trial[6]):
+            trial[block : block + 2] = float(value), at
+        elif label == "probe_response" and (trial[8] is None or at >= trial[8]):
+            trial[probe : probe + 2] = (int(k) if k == k else None), at
+        trial[9] = max(trial[9], at)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            onset, _, _, block, block_at, probe, probe_at, _ = state.get
-            state.remove()
-            done = onset is not None and block_at is not None and probe_at is not None
-            yield pd.DataFrame([(*key, onset, block, probe, done)], columns=TRIALS.replace(",", "").split()[::2])
-            return
-        s = list(state.get) if state.exists else [None, 0, None, None, None, None, None, 0.0]
-        for pdf in batches:
-            # a trial has few markers: plain lists, as a frame operation costs more than all its rows
-            rows: dict[str, list[tuple]] = {"audio_onset": [], "av_onset": [], "block_end": [], "probe_response": []}
+        now = state.getCurrentWatermarkMs()
+        trials = {(t[0], t[1]): list(t) for t in state.get[0]} if state.exists else {}
+        touched = set()
+        for pdf in batches if not state.hasTimedOut else ():
+            whole = lambda c: [None if v != v else int(v) for v in pdf[c].tolist()]  # noqa: B023, E731
             times = [t.timestamp() for t in pdf["ts"]]
-            labels, values, ks = (pdf[c].tolist() for c in ("label", "value", "k"))
-            for at in sorted(range(len(times)), key=times.__getitem__):
-                if labels[at] in rows:
-                    rows[labels[at]].append((times[at], ks[at] if labels[at] == "probe_response" else values[at]))
-            s[7] = max(s[7], max(times))
-            audio, av = rows["audio_onset"], rows["av_onset"]
-            if audio and (s[1] < 2 or audio[-1][0] >= s[2]):
-                s[0], s[1], s[2] = audio[-1][0], 2, audio[-1][0]
-            elif s[1] < 2 and av and (s[1] == 0 or av[0][0] < s[2]):
-                s[0], s[1], s[2] = av[0][0], 1, av[0][0]
-            latest(s, 3, rows["block_end"], float)
-            latest(s, 5, rows["probe_response"], int)
-        state.update(tuple(s))
-        due = max(s[7] + gap_s, state.getCurrentWatermarkMs() / 1000.0 + 0.001)
-        state.setTimeoutTimestamp(int(due * 1000))
+            ids, labels, values, ks = list(zip(whole("session"), whole("trial"))), *(pdf[c].tolist() for c in ("label", "value", "k"))
+            for i in sorted(range(len(times)), key=times.__getitem__):
+                trial = trials.setdefault(ids[i], [*ids[i], None, 0, None, None, None, None, None, 0.0, 0.0])
+                add(trial, times[i], labels[i], values[i], ks[i])
+            touched.update(ids)
+        for ident in touched:
+            trials[ident][10] = max(trials[ident][9] + gap_s, now / 1000.0 + 0.001)
+        done = [trials.pop(ident) for ident, t in list(trials.items()) if ident not in touched and int(t[10] * 1000) < now]
+        if trials:
+            state.update(([tuple(t) for t in trials.values()],))
+            state.setTimeoutTimestamp(max(int(min(t[10] for t in trials.values()) * 1000), now))
+        elif state.exists:
+            state.remove()
+        if done:
+            whole_trial = lambda t: t[2] is not None and t[6] is not None and t[8] is not None
+            yield pd.DataFrame([(t[0], t[1], t[2], t[5], t[7], whole_trial(t)) for t in done], columns=names)
 
     return step
 
 
 def assemble_trials(markers: DataFrame, gap_s: float) -> DataFrame:
     """Trials from markers, each emitted once, when no more of its markers can come."""
-    return markers.select("session", "trial", "ts", "label", "value", "k").groupBy("session", "trial").applyInPandasWithState(
-        assembler(gap_s), TRIALS, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    lone = F.when(F.col("session").isNull(), -1).when(F.col("trial").isNull(), -2)  # missing keys spoil no whole number
+    dealt = F.coalesce(lone, F.pmod(F.xxhash64("session", "trial"), F.lit(GROUPS)).cast("int"))
+    rows = markers.select("session", "trial", "ts", "label", "value", "k", dealt.alias("_group"))
+    return rows.groupBy("_group").applyInPandasWithState(assembler(gap_s), TRIALS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def trial_table(markers: DataFrame, span: str) -> DataFrame:
