@@ -67,7 +67,8 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
     full = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     parts = full.mapInPandas(count, "lang string, source string, term string, n long, docs long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    dealt = parts.repartition("lang", "term")  # the sums by term then need no other shuffle
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: str, total: str, kept: str) -> Column:
@@ -151,14 +152,15 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, bloc
     ties by item). Part ``pair``: each other source and the sum of f over all terms, 0 where there is none. Part
     ``term``: the ``top`` terms that occur in the source and have a larger share there than in the language.
     """
-    counts = written(count_terms(docs), "term-counts")
-    groups = written(counts.filter("term = ''").select("lang", "source"), "groups")
-    kept = written(
-        counts.filter("term <> ''").groupBy("lang", "term").agg(
+    # the empty term is kept in any case, as its cells are the groups
+    known = written(
+        count_terms(docs).groupBy("lang", "term").agg(
             F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("cells")
-        ).filter(F.col("docs") >= least_docs).select("lang", "term", "total", "cells"),
+        ).filter((F.col("docs") >= least_docs) | (F.col("term") == "")).select("lang", "term", "total", "cells"),
         "kept-terms",
     )
+    groups = written(known.filter("term = ''").select("lang", F.explode("cells.source").alias("source")), "groups")
+    kept = known.filter("term <> ''")
     cells = kept.select("lang", "term", "total", F.explode("cells").alias("c")).select("lang", "term", "total", "c.source", "c.n")
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_total"))
     sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("source_total"))
