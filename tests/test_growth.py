@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from trialweave.operators.resample import bootstrap_counts
-from trialweave.operators.stats import EMIT_BYTES, PIECE, _Sums, map_rows, sum_vectors
+from trialweave.operators import stats
+from trialweave.operators.stats import EMIT_BYTES, PIECE, _Sums, map_rows, sum_vectors, trial_stats
 from trialweave.plans.source_plans import marker_files
 from trialweave.sources.recordings import scan_markers
 
@@ -45,6 +46,20 @@ def test_sums_of_repeated_and_missing_keys(spark):
         assert np.array_equal(s, base * len(ids) + ids.sum())
 
 
+def test_a_trial_leaves_its_task_as_one_vector(spark, monkeypatch):
+    seen = []
+    final = stats._final_sum
+    monkeypatch.setattr(stats, "_final_sum", lambda partial, by, blocks=False: seen.append(partial) or final(partial, by, blocks))
+    rows = spark.range(0, 2000, 1, 8).select(
+        (F.col("id") % 40).alias("trial"), F.floor(F.col("id") / 40).alias("t"), F.array(F.col("id") * 1.0, F.lit(2.0)).alias("x"), F.array(F.lit(1.0)).alias("y")
+    ).repartition(8, "trial", "t")
+    got = {r["trial"]: np.array(r["s"]) for r in trial_stats(rows, ["trial"], "x", "y", "t").collect()}
+    assert seen[0].groupBy("trial", "piece").count().agg(F.max("count")).first()[0] == 1
+    for k in range(40):
+        ids = np.arange(k, 2000, 40.0)
+        assert np.allclose(got[k][:4], [50, ids.sum(), 100, 50]) and np.allclose(got[k][4], (ids**2).sum())
+
+
 def test_bootstrap_carries_the_rows_of_an_id_without_a_broadcast(spark):
     rows = spark.createDataFrame([(g, i, float(i * g + r)) for g in (1, 2) for i in range(50) for r in range(1 + i % 2)], "g int, id int, v double")
     draws = bootstrap_counts(rows, ["g"], "id", 5, carry={"c": F.count(F.lit(1)), "s": F.sum("v")})

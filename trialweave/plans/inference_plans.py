@@ -152,7 +152,7 @@ def bootstrap_model_map(spark: SparkSession, sf: str) -> DataFrame:
     Patterns are signed to agree with the one of all data; reliability is their mean correlation with it.
     """
     _, _, both = _views(spark, sf)
-    st = written(trial_stats(both, ["trial"], "x", "y"), "trial-stats")
+    st = written(trial_stats(both, ["trial"], "x", "y", "t"), "trial-stats")
     drawn = bootstrap_counts(st.select("trial"), [], "trial", BOOTS).groupBy("trial").agg(F.map_from_entries(F.collect_list(F.struct("boot", "mult"))).alias("m"))
     times = F.transform(F.sequence(F.lit(0), F.lit(BOOTS)), lambda b: F.when(b == 0, F.lit(1.0)).otherwise(F.coalesce(F.try_element_at("m", b), F.lit(0)).cast("double")))
     weighted = st.join(drawn, "trial", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,bigint>"))).select("s", times.alias("w"))

@@ -141,7 +141,7 @@ def roi_shift_curves(spark: SparkSession, sf: str) -> DataFrame:
 def regression_pattern(spark: SparkSession, sf: str) -> DataFrame:
     """Activation pattern of the full-rank reconstruction filter over all 64 channels."""
     sig = signal(spark, sf).select("trial", "t", "x").join(stimulus(spark, sf), ["trial", "t"]).withColumn("y", F.array("s"))
-    total = written(total_stats(trial_stats(sig, ["trial"], "x", "y")), "total")
+    total = written(total_stats(trial_stats(sig, ["trial"], "x", "y", "t")), "total")
     pt = patterns(fit(total, [], 64, 1, {"backward": Spec("backward", rcond=1e-12)}), total, [], 64, 1)
     long = pt.select("comp", F.posexplode("px").alias("ch", "weight"))
     return sign_fixed(long, ["comp"], "ch", "weight").select("ch", F.round("weight", 6).alias("weight"))
@@ -484,7 +484,7 @@ def roi_logistic_probe(spark: SparkSession, sf: str) -> DataFrame:
 def roi_spatial_filters(spark: SparkSession, sf: str) -> DataFrame:
     """Log power of held-out trials under common spatial patterns of two regional means, Ledoit-Wolf class covariances."""
     rows = signal(spark, sf).select("trial", "t", _roi_mean().alias("x"))
-    st = written(trial_stats(with_square_norm(rows), ["trial"], "x", "q").join(_strat(spark, sf), "trial"), "trial-stats")
+    st = written(trial_stats(with_square_norm(rows), ["trial"], "x", "q", "t").join(_strat(spark, sf), "trial"), "trial-stats")
     filters = written(csp_filters(train_rows(st, "fold", 2), ["model_fold"], "y", 2, 2), "filters")
     power = log_power(test_rows(st, "fold"), filters, ["model_fold"], ["trial", "y"], 2, 1)
     return power.select("trial", "y", "model_fold", F.posexplode("x").alias("comp", "v")).select(
