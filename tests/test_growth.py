@@ -46,6 +46,26 @@ def test_sums_of_repeated_and_missing_keys(spark):
         assert np.array_equal(s, base * len(ids) + ids.sum())
 
 
+def test_pairs_travel_without_products_inside_a_side(spark, tmp_path, monkeypatch):
+    from trialweave.plans import resampling_plans as plans
+
+    rng, seen, vector = np.random.default_rng(3), [], plans.correlation_vector
+    monkeypatch.setattr(plans, "correlation_vector", lambda st, *a: seen.append((st, vector(st, *a))) or seen[0][1])
+    x = rng.normal(size=(200, 64)).astype("float32")
+    rows = pd.DataFrame({"vec_id": range(200), "embedding": list(x.tolist()), "label": 1})
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert plans.pairing_permutation(spark, str(tmp_path)).first()["n_perm"] == 100
+    pairs, r = seen[0]
+    assert pairs.agg(F.max(F.size("s"))).first()[0] == 1 + 64 + 1 + 64 + 1 + 64
+    s = {(w["trial"], w["t"]): w["s"] for w in plans.stimulus(spark, str(tmp_path)).collect()}
+    found = r.collect()
+    assert len(found) == 16
+    for w in found:
+        other = np.array([s[w["j"], t] for t in range(50)])
+        want = [np.corrcoef(x[50 * w["i"] : 50 * w["i"] + 50, c], other)[0, 1] for c in range(64)]
+        assert np.allclose(w["x"], want, atol=1e-9)
+
+
 def test_a_trial_leaves_its_task_as_one_vector(spark, monkeypatch):
     seen = []
     final = stats._final_sum

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.linalg import moments
 from ..operators.ordered import exact_quantiles
 from ..operators.ranks import auc, safe_corr
 from ..operators.resample import (
@@ -70,7 +71,7 @@ def pairing_permutation(spark: SparkSession, sf: str) -> DataFrame:
     sig = signal(spark, sf).select("trial", "t", "x")
     stim = stimulus(spark, sf).select("trial", "t", F.array("s").alias("y"))
     pairs = written(pairing_permutations(sig.select("trial").distinct(), "trial", N_PERM), "pairs")
-    cross = mismatch_stats(sig, stim, pairs.select("i", "j").distinct(), [0], [0])
+    cross = mismatch_stats(sig, stim, pairs.select("i", "j").distinct(), [0], [0], sums=moments)
     r = correlation_vector(cross, ["i", "j"], 64, 1)
     scored = r.select("i", "j", (F.aggregate("x", F.lit(0.0), lambda a, v: a + F.abs(v)) / F.size("x")).alias("r"))
     stats = pairs.join(written(scored, "scored-pairs"), ["i", "j"]).groupBy("perm").agg(F.avg("r").alias("stat"))

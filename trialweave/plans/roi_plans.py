@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.linalg import moments
 from ..operators.classify import (
     cross_validated, csp_filters, fit_lda, lda_scores, leave_one_out_lda, log_power, match_discriminant, probability,
     test_rows, train_rows, with_square_norm,
@@ -400,7 +401,7 @@ def roi_match_discriminant(spark: SparkSession, sf: str) -> DataFrame:
     folds = _folds(spark, sf)
     pairs = mismatched_partners(sig.select("trial").distinct().withColumn("stim", F.col("trial")), "trial", "stim", 3)
     same = pairs.select("i").distinct().withColumn("j", F.col("i"))
-    cross = mismatch_stats(sig, stim, written(pairs.select("i", "j").unionByName(same), "pairs"), [0], [0], width=BLOCK)
+    cross = mismatch_stats(sig, stim, written(pairs.select("i", "j").unionByName(same), "pairs"), [0], [0], width=BLOCK, sums=moments)
     rows = correlation_vector(cross, ["i", "j"], 2, 1).withColumn("own", (F.col("i") == F.col("j")).cast("int"))
     rows = rows.join(folds.select(F.col("trial").alias("i"), "fold"), "i").join(folds.select(F.col("trial").alias("j"), F.col("fold").alias("other")), "j")
     sc = match_discriminant(written(rows, "match-rows"), "fold", "other", FOLDS)
