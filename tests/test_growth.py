@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trialweave.operators.resample import bootstrap_counts
 from trialweave.operators import stats
-from trialweave.operators.stats import EMIT_BYTES, PIECE, _Sums, map_rows, sum_vectors, trial_stats
+from trialweave.operators.stats import EMIT_BYTES, HOLD_BYTES, PIECE, _Sums, _task_sums, map_rows, sum_vectors, trial_stats
 from trialweave.plans.source_plans import marker_files
 from trialweave.sources.recordings import scan_markers
 
@@ -46,6 +46,48 @@ def test_sums_of_repeated_and_missing_keys(spark):
         assert np.array_equal(s, base * len(ids) + ids.sum())
 
 
+def test_pieces_of_many_keys_pass_through_a_task(spark):
+    schema = stats._piece_schema(spark.range(0).withColumnRenamed("id", "k"), ["k"])
+    caught = []
+
+    class Partial:
+        def mapInPandas(self, task, schema):
+            caught.append(task)
+
+    Partial.schema = schema
+    _task_sums(Partial(), ["k"])
+    taken, given, most, got = 0, 0, 0, {}
+
+    def batches():
+        nonlocal taken, most
+        for k in range(100):  # 100 keys of 12 pieces in two blocks each: 20 MB
+            for block in range(2):
+                yield pd.DataFrame({"k": [k] * 12, "piece": range(12), "a": [np.full(PIECE, float(k + block))] * 12})
+            taken += 12 * PIECE * 8
+            most = max(most, taken - given)
+
+    rows = 0
+    for frame in caught[0](batches()):
+        given += sum(v.nbytes for v in frame["a"])
+        rows += len(frame)
+        assert sum(v.nbytes for v in frame["a"]) <= EMIT_BYTES + 8 * PIECE
+        for k, piece, v in zip(frame["k"], frame["piece"], frame["a"]):
+            got[k, piece] = got.get((k, piece), 0) + v
+    assert most <= HOLD_BYTES + EMIT_BYTES + 2 * 12 * PIECE * 8
+    assert rows == len(got) == 1200 and all((v == 2 * k + 1).all() for (k, _), v in got.items())
+
+
+def test_sums_of_keys_that_do_not_come_again_are_not_held():
+    once, again = _Sums(["k"]), _Sums(["k"])
+    for k in range(300):
+        once.add((k,), np.ones(2 * PIECE))
+    for k in range(1500):
+        again.add((k % 300,), np.ones(2 * PIECE))
+    assert once.full and not again.full and once.bytes == again.bytes > HOLD_BYTES
+    list(once.frames())
+    assert not once.full and once.bytes == once.adds == 0
+
+
 def test_pairs_travel_without_products_inside_a_side(spark, tmp_path, monkeypatch):
     from trialweave.plans import resampling_plans as plans
 
