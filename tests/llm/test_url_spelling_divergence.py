@@ -147,6 +147,29 @@ def test_spelling_with_salted_keys(spark):
     assert got == want
 
 
+def joins_of(df):
+    df.collect()
+    return re.findall(r"(\w+Join) ", df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+
+
+def test_spelling_broadcasts_no_signatures(spark):
+    from trialweave.llm.common import sized
+    from trialweave.llm.spelling import near_pairs, spelling_variants
+
+    # no key is crowded, so Spark drops the join with the shares and takes 20 signatures of a word for one row
+    words = ["spread", "spreads", "parser", "parsers", "banana", "bananas"]
+    table = spark.createDataFrame([(w, 5) for w in words], "word string, n long")
+    pairs = near_pairs(table, 6)
+    assert joins_of(pairs) == ["SortMergeJoin"]
+    assert sorted(r["b"] for r in pairs.collect()) == ["banana", "parser", "spread"]
+    docs = spark.createDataFrame([(1, "parser " * 25 + "parsers " * 5)], "doc_id long, text string")
+    out = spelling_variants(docs)
+    assert joins_of(out) == ["SortMergeJoin"]
+    assert spelled(out) == {"parser": (None, "parser", 25, 1, None), "parsers": ("parser", "parser", 5, 1, 25)}
+    assert joins_of(table.join(sized(table), "word")) == ["BroadcastHashJoin"]
+    assert joins_of(table.join(sized(table, 0), "word")) == ["SortMergeJoin"]
+
+
 def test_spelling_on_the_table(spark):
     from trialweave.llm.queries import QUERIES
 

@@ -95,9 +95,9 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def sized(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
     """``df`` marked for broadcast if the summed size of its rows (as JSON, and 64 bytes each) is within
-    ``limit``, else as it is: then the join shuffles both sides."""
+    ``limit``, else for a merge join: left to itself, Spark goes by the compressed size of the files."""
     held = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 64)).first()[0] or 0
-    return F.broadcast(df) if held <= limit else df
+    return F.broadcast(df) if held <= limit else df.hint("merge")
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

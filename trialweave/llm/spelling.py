@@ -130,6 +130,7 @@ def near_pairs(words: DataFrame, least_letters: int, hot: int = HOT) -> DataFram
     """``a``, ``b``, ``na``, ``nb``: each pair of words one edit apart once, ``a`` the longer (or else the lesser).
 
     Keys with more than ``hot`` rows are salted: one side is dealt to shares, the other goes to each of them.
+    The signatures are merged, never broadcast: Spark takes the exploded rows for as few bytes as the words' files.
     """
     half = least_letters // 2
     signed = _signed(written(letter_vectors(words), "letter-vectors"), half)
@@ -152,7 +153,7 @@ def near_pairs(words: DataFrame, least_letters: int, hot: int = HOT) -> DataFram
         mask = sum(PART << (BITS * i) for i in range(PARTS) if i not in out)
         held = F.when(differ.bitwiseAND(F.lit(mask)) == 0, F.lit(mask).cast("long")).otherwise(held)
     once = (F.col("front") == fronts) & (fronts | ends) & (held == F.col("mask"))
-    met = left.join(right, ["key", "salt"]).filter(ordered & once)
+    met = left.join(right.hint("merge"), ["key", "salt"]).filter(ordered & once)
     return met.filter(F.levenshtein("a", "b", 1) == 1).select("a", "b", "na", "nb")
 
 
@@ -192,7 +193,7 @@ def spelling_variants(docs: DataFrame, least_letters: int = 6, least_n: int = 5,
     best = both.groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), F.col("near"))).alias("best")
     )
-    known = words.join(best, "word", "left")
+    known = words.join(best.hint("merge"), "word", "left")
     strong = -F.col("best.less") >= factor * F.col("n")
     known = written(
         known.select(
@@ -203,6 +204,6 @@ def spelling_variants(docs: DataFrame, least_letters: int = 6, least_n: int = 5,
         "word-forms",
     )
     roots = follow_forms(known.filter("form IS NOT NULL"))
-    return known.join(roots, "word", "left").select(
+    return known.join(roots.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
