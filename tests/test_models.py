@@ -150,6 +150,34 @@ def test_cross_validation_finds_classes_and_null_does_not(spark):
     assert good > 0.8 and logit > 0.8 and abs(chance - 0.5) < 0.08
 
 
+@pytest.mark.parametrize("n, ones, shrink", [(60, 25, "auto"), (60, 25, 0.1), (12, 1, "auto")])
+def test_label_arrays_give_the_scores_of_a_fit_per_permutation(spark, n, ones, shrink):
+    from trialweave.operators.decode_null import label_rows
+
+    _, _, df = two_classes(spark, n, 5)
+    df = df.withColumn("y", (F.col("id") % 12 < ones / n * 12).cast("int"))
+    df = df.unionByName(df.where("id < 3")).unionByName(df.where("id < 1"))  # ids may repeat
+    direct = cross_validated(permuted_labels(df, "id", "y", 40), ["perm"], "fold", 4, "y", "x", shrink)
+    labels = label_rows(permuted_labels(df.select("id", "y"), "id", "y", 40), "id", 40)
+    rows = labels.join(df.select("id", "fold", "x").dropDuplicates(["id"]), "id").repartition(5)
+    packed = cross_validated(rows, [], "fold", 4, "labels", "x", shrink)
+    listed = lambda d: sorted((r["perm"], r["model_fold"], r["y"], r["score"]) for r in d.collect())
+    got, want = listed(packed), listed(direct)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and {r[0] for r in want} == set(range(41))
+    np.testing.assert_allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-7, atol=1e-7)
+    assert len(want) == 41 * df.count() or ones == 1  # no model where the training rows are of one class
+
+
+def test_whole_window_decoder_draws_a_thousand_permutations(spark, sf):
+    from trialweave.plans import model_plans as m
+
+    got = m.whole_window_decoder(spark, sf).collect()
+    n = m.trial_condition(spark, sf).count()
+    assert len(got) == 1 and got[0].n_perm == 1000 and 0 <= got[0].n_ge <= 1000
+    assert got[0].p == pytest.approx((got[0].n_ge + 1) / 1001, abs=1e-6)
+    assert got[0].c00 + got[0].c01 + got[0].c10 + got[0].c11 == n
+
+
 def test_permuted_labels_keep_counts(spark):
     _, y, df = two_classes(spark)
     got = permuted_labels(df.drop("x"), "id", "y", 5).groupBy("perm").agg(F.sum("y").alias("s"), F.count("*").alias("n")).collect()

@@ -7,14 +7,14 @@ model only ever sees statistics.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import linalg as la
-from ..session import written
+from ..session import bounded_batches, written
 from .stats import map_rows, moved_by, pilot_mean, sum_vectors, trial_stats
 
 
@@ -53,6 +53,25 @@ def standardised(x: str, m: str, sd: str, clip: float | None = 8.0) -> Column:
     return F.transform(z, lambda v: F.greatest(F.lit(-clip), F.least(F.lit(clip), F.nanvl(v, F.lit(0.0)))))
 
 
+def _two_class_weights(parts: list[tuple], shrink: str | float) -> tuple[np.ndarray, float]:
+    """Weights and bias from count, mean, std, products and fourth moment of class 0 and class 1."""
+    p, total = len(parts[0][1]), sum(c[0] for c in parts)
+    cov = np.zeros((p, p))
+    for n, _, scale, products, fourth in parts:
+        emp = products / n
+        mu = np.trace(emp) / p
+        if shrink == "auto":
+            delta = ((emp - mu * np.eye(p)) ** 2).sum() / p
+            beta = min(max((fourth / n - (emp**2).sum()) / (n * p), 0.0), delta)
+            g = 0.0 if delta == 0 else beta / delta
+        else:
+            g = float(shrink)
+        cov += n / total * ((1 - g) * emp + g * mu * np.eye(p)) * np.outer(scale, scale)
+    (n0, m0, *_), (n1, m1, *_) = parts
+    w = np.linalg.lstsq(cov, m1 - m0, rcond=None)[0]
+    return w, float(-0.5 * (m0 + m1) @ w + np.log(n1 / n0))
+
+
 def fit_lda(rows: DataFrame, by: Sequence[str], y: str, x: str, shrink: str | float = "auto") -> DataFrame:
     """Two-class discriminants: ``(by..., m, sd, w, b)``.
 
@@ -74,29 +93,13 @@ def fit_lda(rows: DataFrame, by: Sequence[str], y: str, x: str, shrink: str | fl
     types = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in by)
 
     def one(row):
-        parts = row["c"]
-        if len(parts) < 2:
+        if len(row["c"]) < 2:
             return
-        p = len(parts[0]["cm"])
-        total = sum(c["cn"] for c in parts)
-        cov = np.zeros((p, p))
-        for c in parts:
-            n, s = c["cn"], np.asarray(c["s"])
-            emp = s[2 + p : 2 + p + p * p].reshape(p, p) / n
-            if shrink == "auto":
-                fourth = s[2 + p + p * p]
-                mu = np.trace(emp) / p
-                delta = ((emp - mu * np.eye(p)) ** 2).sum() / p
-                beta = min(max((fourth / n - (emp**2).sum()) / (n * p), 0.0), delta)
-                g = 0.0 if delta == 0 else beta / delta
-            else:
-                g, mu = float(shrink), np.trace(emp) / p
-            scale = np.asarray(c["csd"])
-            cov += n / total * ((1 - g) * emp + g * mu * np.eye(p)) * np.outer(scale, scale)
-        m0, m1 = np.asarray(parts[0]["cm"]), np.asarray(parts[1]["cm"])
-        w = np.linalg.lstsq(cov, m1 - m0, rcond=None)[0]
-        b = -0.5 * (m0 + m1) @ w + np.log(parts[1]["cn"] / parts[0]["cn"])
-        yield (*[row[c] for c in by], w, float(b))
+        parts = []
+        for c in row["c"]:
+            p, s = len(c["cm"]), np.asarray(c["s"])
+            parts.append((c["cn"], np.asarray(c["cm"]), np.asarray(c["csd"]), s[2 + p : 2 + p + p * p].reshape(p, p), s[2 + p + p * p]))
+        yield (*[row[c] for c in by], *_two_class_weights(parts, shrink))
 
     weights = map_rows(pair, one, types + "w array<double>, b double")
     return attach(weights, base.drop("n"), by)
@@ -115,12 +118,105 @@ def probability(score: Column) -> Column:
 
 
 def cross_validated(rows: DataFrame, by: Sequence[str], fold: str, k: int, y: str, x: str, shrink: str | float = "auto") -> DataFrame:
-    """Out-of-fold decision values of every row."""
+    """Out-of-fold decision values of every row.
+
+    Where ``y`` is an array, it holds the row's label in each permutation: the result is then
+    ``(by..., model_fold, perm, y, score)``, a row for each row and permutation.
+    """
     keys = [*by, "model_fold"]
+    if isinstance(rows.schema[y].dataType, T.ArrayType):
+        return _relabelled_scores(rows, keys, fold, k, y, x, shrink)
     models = written(fit_lda(train_rows(rows, fold, k), keys, y, x, shrink), "discriminants")
     return lda_scores(test_rows(rows, fold), models, keys, x)
 
 
+#: Permutations that a task fits side by side: it holds two p x p sums for each of them.
+PERM_BLOCK = 32
+
+
+class _Relabelled:
+    """The discriminants of a block of permutations, from standardised rows that pass by twice."""
+
+    def __init__(self, shrink: str | float):
+        self.shrink, self.sums, self.products, self.w = shrink, None, None, None
+
+    def moments(self, z: np.ndarray, labels: np.ndarray) -> None:
+        new = []
+        for c in (0, 1):
+            own = (labels == c).T.astype(float)
+            new.append(np.concatenate([own.sum(1)[:, None], own @ z, own @ (z * z)], axis=1))
+        self.sums = np.stack(new) if self.sums is None else self.sums + np.stack(new)
+
+    def scatter(self, z: np.ndarray, labels: np.ndarray) -> None:
+        p = z.shape[1]
+        if self.products is None:
+            self.n = self.sums[:, :, 0]
+            count = np.maximum(self.n, 1.0)[:, :, None]
+            self.m = self.sums[:, :, 1 : 1 + p] / count
+            sd = np.sqrt(np.maximum(self.sums[:, :, 1 + p :] / count - self.m * self.m, 0.0))
+            self.sd = np.where(sd < 1e-12, 1.0, sd)
+            self.products, self.fourth = np.zeros((*self.n.shape, p, p)), np.zeros(self.n.shape)
+        for c, i in np.ndindex(*self.n.shape):
+            u = (z[labels[:, i] == c] - self.m[c, i]) / self.sd[c, i]
+            self.products[c, i] += u.T @ u
+            self.fourth[c, i] += ((u * u).sum(1) ** 2).sum()
+
+    def scores(self, z: np.ndarray) -> np.ndarray:
+        """A column for each permutation, nan where its rows are of one class."""
+        if self.w is None:
+            perms = self.n.shape[1]
+            self.w, self.b = np.full((perms, z.shape[1]), np.nan), np.full(perms, np.nan)
+            for i in np.flatnonzero(self.n.min(0) > 0.5):
+                parts = [(self.n[c, i], self.m[c, i], self.sd[c, i], self.products[c, i], self.fourth[c, i]) for c in (0, 1)]
+                self.w[i], self.b[i] = _two_class_weights(parts, self.shrink)
+        return z @ self.w.T + self.b
+
+
+def _relabelled_scores(rows: DataFrame, keys: Sequence[str], fold: str, k: int, labels: str, x: str, shrink: str | float) -> DataFrame:
+    """``(keys..., perm, y, score)``: ``fit_lda`` and ``lda_scores`` for all permutations of the labels.
+
+    Rows are standardised once for each fold, as that does not depend on labels, and dealt to blocks of
+    permutations.  They pass by in a task, sorted: for the class moments, for the products, and the held-out
+    ones for their scores.  A task so holds the sums of its block, whatever the number of rows, and only scores leave it.
+    """
+    keys = list(keys)
+    train = train_rows(rows, fold, k)
+    base = written(_moments(train, keys, x, pilot_mean(train, x)), "moments")
+    blocks = -(-(rows.agg(F.max(F.size(labels))).first()[0] or 0) // PERM_BLOCK)
+
+    def dealt(part: DataFrame, *passes: int) -> DataFrame:
+        z = part.join(base.drop("n"), keys).select(*keys, labels, standardised(x, "m", "sd").alias("z"))
+        z = z.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in passes])))
+        z = z.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))))
+        return z.withColumn(labels, F.slice(labels, F.col("block") * PERM_BLOCK + 1, F.lit(PERM_BLOCK)))
+
+    order = [*keys, "block", "pass"]
+    seen = dealt(train, 0, 1).unionByName(dealt(test_rows(rows, fold), 2))
+    tasks = min(max(base.count() * blocks, 1), 4096)
+    bounded_batches(rows.sparkSession)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = models = None
+        for pdf in batches:
+            for new, part in pdf.groupby(order, sort=False):
+                z, y = np.stack(part["z"].to_list()), np.stack(part[labels].to_list())
+                if new[:-1] != at:
+                    at, models = new[:-1], _Relabelled(shrink)
+                if new[-1] == 0:
+                    models.moments(z, y)
+                elif new[-1] == 1:
+                    models.scatter(z, y)
+                else:
+                    score = models.scores(z)
+                    row, perm = np.nonzero(~np.isnan(score))
+                    out = pd.DataFrame({"perm": perm + at[-1] * PERM_BLOCK, "y": y[row, perm], "score": score[row, perm]})
+                    yield out.assign(**dict(zip(keys, at)))[[*keys, "perm", "y", "score"]]
+
+    fields = [seen.schema[c] for c in keys]
+    fields += [T.StructField("perm", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("score", T.DoubleType())]
+    return seen.repartition(tasks, *keys, "block").sortWithinPartitions(*order).mapInPandas(task, T.StructType(fields))
+
+
 def leave_one_out_lda(rows: DataFrame, by: Sequence[str], group: str, y: str, x: str, out: str = "score") -> DataFrame:
     """Decision value of each row under the discriminant of all rows outside its ``group``.
 

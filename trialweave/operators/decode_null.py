@@ -25,6 +25,16 @@ def label_arrays(labels: DataFrame, trial: str, n_perm: int, y: str = "y") -> Da
     return labels.where(F.col("perm") <= n_perm).groupBy(trial).agg(F.transform(packed, lambda r: r[y].cast("int")).alias("labels"))
 
 
+def label_rows(labels: DataFrame, trial: str, n_perm: int, y: str = "y") -> DataFrame:
+    """The same where a trial may come more than once: a row with labels for each time it comes."""
+    packed = F.sort_array(F.collect_list(F.struct("perm", F.col(y).cast("int").alias("y"))))
+    all_of = labels.where(F.col("perm") <= n_perm).groupBy(trial).agg(packed.alias("_all"))
+    times = (F.size("_all") / (n_perm + 1)).cast("int")
+    each = all_of.withColumn("_times", times).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    own = F.transform(F.sequence(F.lit(0), F.lit(n_perm)), lambda i: F.get("_all", i * F.col("_times") + F.col("_k"))["y"])
+    return each.select(trial, own.alias("labels"))
+
+
 def _permuted_sums(rows: DataFrame, by: Sequence[str], fold: str, x: str) -> DataFrame:
     """``(by..., fold, s)``: n, sums, products, then per permutation the count and sums of class 1."""
     keys = [*by, fold]
